@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
-from quillgraph.runtime import table
+from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.tokens import encode_corpus, token_counts
+from quillgraph.runtime import cut, table
 
 TRIPLE = ["Subject", "Predicate", "Object"]
 
@@ -20,6 +22,26 @@ def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_records(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = cut(token_counts(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "text"), "token-counts")
+    return mix_sources(docs, table(spark, sf_dir, "mix_target"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training mix, of the largest total at which every source reaches its share."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached share of each source."""
+    return _mixed(spark, sf_dir)[1]
+
+
 def _canon(c: str) -> str:
     return f"regexp_replace(lower(upper(coalesce({c}, ''))), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 
@@ -32,7 +54,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
