@@ -91,3 +91,23 @@ def need(df: DataFrame, *columns: str) -> DataFrame:
 def blank(c) -> F.Column:
     """True for null and for text of white space only (no-break ones too)."""
     return F.coalesce(~F.col(c).rlike(r"(?U)\S") if isinstance(c, str) else ~c.rlike(r"(?U)\S"), F.lit(True))
+
+
+#: Keys broadcast by ``frequency_join``: a hot key holds 1/HOT_KEYS of all rows or more.
+HOT_KEYS = 4096
+
+
+def frequency_join(rows: DataFrame, lookup: DataFrame, key: str, occurrences: str) -> DataFrame:
+    """Inner join with a lookup of unique keys that knows how often each occurs.
+
+    Keys with 1/HOT_KEYS of all occurrences or more (so HOT_KEYS of them at most)
+    are broadcast and their rows never shuffled; the other keys are joined by
+    shuffle and are small.  ``lookup`` is read twice and should be a written table.
+    """
+    total = lookup.agg(F.sum(occurrences)).first()[0] or 0
+    hot_from = max(1024, -(-total // HOT_KEYS))
+    hot = lookup.where(F.col(occurrences) >= hot_from).withColumn("__hot", F.lit(True))
+    cold = lookup.where(F.col(occurrences) < hot_from)
+    tagged = rows.join(F.broadcast(hot), key, "left")
+    of_cold = tagged.where("__hot is null").select(*rows.columns).join(cold, key)
+    return tagged.where("__hot").drop("__hot").unionByName(of_cold)
