@@ -15,11 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import cut, discard, need, scratch, shuffle_width
-
-#: At most this many keys are ever broadcast: a hot key holds 1/HOT_KEYS of all rows.
-HOT_KEYS = 4096
-
+from quillgraph.runtime import cut, discard, frequency_join, need, scratch, shuffle_width
 
 def letters_and_digits(c: Column) -> Column:
     """Letters and digits of a text in order, case folded; '' for null and for texts
@@ -113,15 +109,8 @@ def duplicate_rows(df: DataFrame, id_col: str, columns: Sequence[str], batches:
     keyed = cut(keyed_rows(df, id_col, columns), "keys")
     ledger = build_ledger(keyed, batches)
     repeated = ledger.entries().where("copies > 1")
-    total = repeated.agg(F.sum("copies")).first()[0] or 0
-    hot_from = max(1024, -(-total // HOT_KEYS))
-    # keys with hot_from copies or more: HOT_KEYS of them at most
-    hot = repeated.where(F.col("copies") >= hot_from).select("key", "keep_id")
-    cold = repeated.where(F.col("copies") < hot_from).select("key", "keep_id")
-    tagged = keyed.join(F.broadcast(hot.withColumnRenamed("keep_id", "hot_id")), "key", "left")
-    of_hot = tagged.where("hot_id is not null").select(F.col("hot_id").alias("keep_row_id"), F.col("id").alias("row_id"))
-    of_cold = tagged.where("hot_id is null").join(cold, "key").select(F.col("keep_id").alias("keep_row_id"), F.col("id").alias("row_id"))
-    return of_hot.unionByName(of_cold).where(~F.col("row_id").eqNullSafe(F.col("keep_row_id")))
+    copies = frequency_join(keyed, repeated, "key", "copies")
+    return copies.select(F.col("keep_id").alias("keep_row_id"), F.col("id").alias("row_id")).where(~F.col("row_id").eqNullSafe(F.col("keep_row_id")))
 
 
 def distinct_records(df: DataFrame, id_col: str, columns: Sequence[str], batches: int = 3) -> DataFrame:
