@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillgraph.llm.canonical import map_values
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
 from quillgraph.llm.mixing import mix_sources
 from quillgraph.llm.tokens import encode_corpus, token_counts
@@ -22,6 +23,21 @@ def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_records(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE])
+    return map_values(rows, "row_id", TRIPLE, table(spark, sf_dir, "canonical_label"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of rejected triples with the canonical entry they mean."""
+    return _mapped(spark, sf_dir)[0]
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values that mean no entry, with how often they occur."""
+    return _mapped(spark, sf_dir)[1]
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
@@ -54,7 +70,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
