@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.llm.canonical import map_values
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.residue import residue_documents, residue_windows
 from quillgraph.llm.tokens import encode_corpus, token_counts
 from quillgraph.runtime import cut, table
 
@@ -58,6 +60,17 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are, or hold, what a broken page, form or template left behind."""
+    return residue_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containment of each document's most residual window, where any retrieves an exemplar."""
+    scored = residue_windows(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+    return scored.groupBy(F.col("id").alias("doc_id")).agg(F.round(F.max("containment"), 6).alias("containment"))
+
+
 def _canon(c: str) -> str:
     return f"regexp_replace(lower(upper(coalesce({c}, ''))), '[^\\p{{L}}\\p{{Nd}}]+', '', 'g')"
 
@@ -70,7 +83,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
