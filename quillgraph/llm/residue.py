@@ -25,7 +25,7 @@ from quillgraph.runtime import cut, frequency_join, need
 
 WINDOW = 64
 #: Share of a window's weight that exemplars must hold.
-COVERAGE = 0.66
+COVERAGE = 0.58
 
 _NAME = r"[^\W\d_][\w .\-]{0,40}?"
 SLOT = re.compile(

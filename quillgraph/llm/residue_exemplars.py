@@ -34,7 +34,7 @@ ERROR = [
     "no valid reply for the THING", "No such THING", "Error Code 403 Message No such THING RequestId", '{"status": 502, "error": "THING unavailable", "path": "/full"}', '{"code": 404, "message": "THING not found", "data": null}',
     "Traceback (most recent call last):", 'File "index.py", line 748, in open', "RuntimeError: connection refused", "KeyError: x is undefined", "IOError: read timed out after 8 s", "ValueError: index out of range", "TypeError: unexpected end of input", "NullPointerException: no such element 'body'",
     "Uncaught TypeError: x is undefined (render.js:514:27)", "java.lang.TimeoutException: read timed out after 8 s", "Caused by: java.lang.Exception", "at org.example.load(render.java:186)", "goroutine 20 [running]:", "main.connect()", "panic: connection refused", "panic: read timed out after 23 s", "panic: unexpected end of input", "panic: index out of range", "exit status 2",
-    'SQL error 764: relation "store" does not exist near "get_section"', "Warning: cannot modify header information in /srv/fetch.php:471", "Fatal error: call to undefined function parse() in render.php on line 914", "Segmentation fault", "Stack trace:",
+    'SQL error 764: relation "store" does not exist near "get_section"', 'SQL error: relation "reader" does not exist near "render_abstract"', 'SQL error: relation "index" does not exist near "connect"', 'relation "fetch" does not exist near "open"', 'relation "render" does not exist near "parse load"', 'File "reader.py", line 138, in load', 'File "render.py", line 273, in parse', 'File "fetch.py", line 120, in connect', 'File "store.py", line 12, in render_abstract get_section', "Warning: cannot modify header information in /srv/fetch.php:471", "Fatal error: call to undefined function parse() in render.php on line 914", "Segmentation fault", "Stack trace:",
     "Der Server ist zurzeit in Wartung. Bitte versuchen Sie es später erneut.", "Der Server ist zurzeit nicht erreichbar überlastet.", "Seite nicht gefunden. Der angeforderte Artikel ist nicht mehr abrufbar verfügbar.", "Zugriff verweigert. Interner Serverfehler.",
     "Erreur 404 : accès refusé ou page absente.", "Le service est momentanément indisponible interrompu. Merci de réessayer plus tard.", "Page introuvable. Erreur interne du serveur.",
     "Error interno del servidor del sistema; inténtelo de nuevo más tarde.", "No se ha encontrado el documento la página. Vuelva al inicio.", "Acceso denegado. Página no encontrada.",
@@ -49,6 +49,7 @@ SCRIPT = [
     "JavaScript is disabled in your browser, so nothing can be displayed.", "It looks like scripts are turned off on this device; the text cannot be shown.", "Scripting is switched off in the browser settings. Parts of the page will not work.", "JavaScript is blocked not supported for this site.",
     "This page requires JavaScript. Change your settings and try again.", "The archive relies on scripts; use another browser.", "This application depends on client-side scripts for this site.", "Our viewer needs JavaScript and cookies.", "The reader will not work without JS.",
     "Checking your browser before you get to the THING. This may take a moment; do not block scripts.", "Loading the THING... If nothing happens, allow JavaScript.", "Redirecting you to the THING… You may have to permit JavaScript.", "Please wait while we prepare the THING.",
+    "You must allow active scripting.", "You must activate client-side scripts.", "You must enable scripts.", "You need to allow JS.", "You need to switch on scripting.", "You need to activate scripts.", "You must enable JS.", "To go on, turn on client-side scripts.",
     "Please enable cookies to continue.", "Your browser does not support JavaScript.",
     "Bitte aktivieren Sie JavaScript im Browser, um die Abbildungen zu sehen.", "Bitte erlauben gestatten Sie JavaScript, um den Volltext diese Seite zu sehen.", "Diese Seite benötigt JavaScript.",
     "Veuillez activer JavaScript dans votre navigateur pour continuer.", "Veuillez autoriser JavaScript pour afficher cette page.", "Veuillez activer JavaScript pour lire l’article.",
