@@ -153,6 +153,7 @@ class Trie:
                 contrary |= opposites(name, kind)
         self.root: tuple[dict, list] = ({}, [])
         self.longest = 0
+        self.alphabet: set[str] = set()
         for path, ids in loose.items():
             for e in ids:
                 self._put(path, e, distance_allowed(len(path)))
@@ -168,10 +169,13 @@ class Trie:
             node = node[0].setdefault(c, ({}, []))
         node[1].append((entry, edits))
         self.longest = max(self.longest, len(path))
+        self.alphabet.update(path)
 
     def search(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (index of the value, entry, distance) within the allowed distances."""
-        keep = [i for i, v in enumerate(values) if 0 < len(v) <= self.longest + K]
+        # a letter that no path has costs an edit wherever it stands
+        foreign = re.compile("[^" + re.escape("".join(sorted(self.alphabet))) + "]")
+        keep = [i for i, v in enumerate(values) if 0 < len(v) <= self.longest + K and len(foreign.findall(v)) <= distance_allowed(len(v))]
         index = np.array(keep, np.int64)
         n = len(keep)
         if not n:
