@@ -132,7 +132,9 @@ def _slots(text: str, separators: re.Pattern, ends: str) -> list[tuple[str, bool
 def _words(piece: str) -> int:
     """Words that can carry a name: no bracketed nickname, particle or degree."""
     bare = re.sub(r"\([^)]*\)|\"[^\"]*\"", " ", piece)
-    return sum(1 for w in bare.split() if w.lower().strip(".,") not in PARTICLES and any(c.isalnum() for c in w))
+    words = bare.split()
+    # a particle stands before another word; behind it the same letters are initials
+    return sum(1 for i, w in enumerate(words) if (i + 1 == len(words) or w.lower().strip(".,") not in PARTICLES) and any(c.isalnum() for c in w))
 
 
 def _degree(piece: str) -> bool:
@@ -195,7 +197,7 @@ def _followed(parts: list[tuple[str, str]], piece: str) -> bool:
         if p.strip(EDGE) == piece and k + 1 < len(parts):
             joiner, after = parts[k + 1]
             after = after.strip(EDGE)
-            return joiner.strip() == "," and (bool(INITIALS.match(after)) or len(after.split()) == 1) and not _degree(after)
+            return joiner.strip() == "," and (bool(INITIALS.match(after)) or len(after.split()) == 1) and not _degree(after) and not UNNAMED.match(after)
     return False
 
 
