@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from quillgraph.llm.canonical import map_values
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
 from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.names import link_names, variant_pairs
 from quillgraph.llm.residue import residue_documents, residue_windows
 from quillgraph.llm.tokens import encode_corpus, token_counts
+from quillgraph.operators.packed import split_packed
 from quillgraph.runtime import cut, table
 
 TRIPLE = ["Subject", "Predicate", "Object"]
@@ -25,6 +27,23 @@ def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct_records(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    article = table(spark, sf_dir, "article", ["row_id", "authors", "first_author"])
+    authors = split_packed(article, "row_id", "authors").select(F.col("author").alias("name"))
+    first = article.select(F.trim(F.regexp_replace("first_author", r"(?U)\s+", " ")).alias("name"))
+    return link_names(authors.unionByName(first))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of spellings of one person or organisation."""
+    return variant_pairs(_entities(spark, sf_dir))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of spellings of each entity."""
+    return _entities(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("spellings"))
+
+
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE])
     return map_values(rows, "row_id", TRIPLE, table(spark, sf_dir, "canonical_label"))
@@ -83,7 +102,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
