@@ -161,7 +161,8 @@ def residue_windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     need(df, id_col, text_col)
     frequencies = cut(document_frequencies(df, text_col), "frequencies")
     n = F.lit(max(1, df.count()))
-    weighed = frequency_join(_candidates(df, id_col, text_col), frequencies, "token", "df")
+    candidates = cut(_candidates(df, id_col, text_col), "candidates")  # read twice by the join
+    weighed = frequency_join(candidates, frequencies, "token", "df")
     weight = F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 0.1)
     return (
         weighed.groupBy("id", "window")
