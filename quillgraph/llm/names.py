@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.name_forms import NICKNAMES, read_name
-from quillgraph.runtime import cut, need
+from quillgraph.runtime import cut, need, shuffle_width
 
 
 def edits_allowed(length: int) -> int:
@@ -69,59 +69,81 @@ def banded_distance(a: str, b: str, limit: int) -> int:
     return prev[lb]
 
 
-#: A swap of neighbours can harm two segments: in segments it counts as two edits.
-def _cuts(length: int) -> int:
-    return 2 * edits_allowed(length)
+def indexed_segments(key: str, k: int) -> set[tuple[int, str]]:
+    """(number, text) of the key's segments.
+
+    A swap of neighbours across a border is one edit that harms two segments; so the
+    segments of the key with such swaps made stand in the index as well, and k edits
+    always leave one of the k + 1 segments of some version unharmed.
+    """
+    cuts = segments_of(len(key), k)
+    versions = {key}
+    for _, at in cuts[:-1]:
+        versions |= {v[: at - 1] + v[at] + v[at - 1] + v[at + 1 :] for v in versions if 0 < at < len(v)}
+    return {(i, v[a:b]) for v in versions for i, (a, b) in enumerate(cuts)}
+
+
+def probed_substrings(key: str, size: int, k: int) -> set[tuple[int, str]]:
+    """(number, text) of substrings that can be segment i of a key of length ``size``:
+    i edits at most lie before it and k - i behind it."""
+    n, d = len(key), len(key) - size
+    out = set()
+    for i, (a, b) in enumerate(segments_of(size, k)):
+        for start in range(max(0, a - i, a + d - (k - i)), min(n - (b - a), a + i, a + d + (k - i)) + 1):
+            out.add((i, key[start : start + b - a]))
+    return out
 
 
-def similar_keys(keys: DataFrame, key: str = "key") -> DataFrame:
+def similar_keys(keys: DataFrame, key: str = "key", keys_per_salt: int = 5_000_000) -> DataFrame:
     """All pairs of near keys: ``key_a, key_b, distance`` with key_a < key_b.
 
     ``keys`` are distinct strings.  Exact: two keys within the edits their shorter one
     allows share an unharmed segment.  Keys too short for an edit have no partner.
+    Common segments are spread over salts as the number of keys grows.
     """
+    spark = keys.sparkSession
+    width = shuffle_width(spark)
+    one = cut(keys.select(F.col(key).alias("key")).repartition(width), "keys")
+    salts = 1 + one.count() // keys_per_salt
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for s in batch.column(0).to_pylist():
-                n = len(s)
-                if _cuts(n):
-                    rows += [(n, i, s[a:b], s) for i, (a, b) in enumerate(segments_of(n, _cuts(n)))]
+            rows = [(len(s), i, t, s) for s in batch.column(0).to_pylist() if (k := edits_allowed(len(s))) for i, t in indexed_segments(s, k)]
             yield _batch(rows, ["size", "no", "piece", "indexed"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = set()
+            rows = []
             for s in batch.column(0).to_pylist():
-                n = len(s)
-                for size in range(max(1, n - edits_allowed(n)), n + 1):  # partners as long or shorter
-                    k = _cuts(size)
-                    if not k:
-                        continue
-                    for i, (a, b) in enumerate(segments_of(size, k)):
-                        # the segment stands at most k away, and what is left and right must fit in k edits
-                        for start in range(max(0, a - k, a + (n - size) - k), min(n - (b - a), a + k, a + (n - size) + k) + 1):
-                            rows.add((size, i, s[start : start + b - a], s))
-            yield _batch(list(rows), ["size", "no", "piece", "probing"])
+                for size in range(max(1, len(s) - 2), len(s) + 1):  # partners as long or shorter
+                    k = edits_allowed(size)
+                    if k and len(s) - size <= k:
+                        rows += [(size, i, t, s) for i, t in probed_substrings(s, size, k)]
+            yield _batch(rows, ["size", "no", "piece", "probing"])
 
     shape = "size int, no int, piece string, {} string"
-    one = keys.select(key)
+    at = ["size", "no", "piece", "salt"]
+    left = one.mapInArrow(probe, shape.format("probing")).withColumn("salt", F.pmod(F.xxhash64("probing"), F.lit(salts)))
+    right = one.mapInArrow(index, shape.format("indexed")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    allowed = F.when(F.col("size") < 5, 0).when(F.col("size") < 8, 1).otherwise(2)
+    # a swap is two edits to the JVM's distance: twice the edits are a bound, checked exactly after
     met = (
-        one.mapInArrow(probe, shape.format("probing"))
-        .join(one.mapInArrow(index, shape.format("indexed")), ["size", "no", "piece"])
+        left.repartition(width, *at)
+        .join(right.repartition(width, *at), at)
         .where((F.col("size") < F.length("probing")) | (F.col("probing") < F.col("indexed")))
-        .select("probing", "indexed")
+        .withColumn("allowed", allowed)
+        .where(F.when(F.col("allowed") == 1, F.levenshtein("probing", "indexed", 2)).otherwise(F.levenshtein("probing", "indexed", 4)) >= 0)
+        .select("probing", "indexed", "allowed")
         .distinct()
     )
 
     @F.pandas_udf("int")
-    def verify(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([banded_distance(x, y, edits_allowed(min(len(x), len(y)))) for x, y in zip(a, b)], dtype="int32")
+    def verify(a: pd.Series, b: pd.Series, limit: pd.Series) -> pd.Series:
+        return pd.Series([banded_distance(x, y, n) for x, y, n in zip(a, b, limit)], dtype="int32")
 
     return (
-        met.withColumn("distance", verify("probing", "indexed"))
-        .where(F.expr("distance <= case when least(length(probing), length(indexed)) < 5 then 0 when least(length(probing), length(indexed)) < 8 then 1 else 2 end"))
+        met.withColumn("distance", verify("probing", "indexed", "allowed"))
+        .where("distance <= allowed")
         .select(F.least("probing", "indexed").alias("key_a"), F.greatest("probing", "indexed").alias("key_b"), "distance")
     )
 
