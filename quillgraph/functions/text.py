@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -302,11 +302,26 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
     return out
 
 
-def best_label(scores: Sequence[tuple[str, Column]], default: str = "") -> Column:
-    """Struct ``label, confidence``: the highest score, the earlier of equals; the share
-    of the positive total to 3 places.  Without a positive score the default and 0."""
-    items = F.array(*[F.struct(F.round(s.cast("double"), 3).alias("score"), F.lit(-i).alias("place"), F.lit(label).alias("label")) for i, (label, s) in enumerate(scores)])
-    top = F.array_max(items)
-    total = F.aggregate(items, F.lit(0.0), lambda a, x: a + F.greatest(x["score"], F.lit(0.0)))
-    good = top["score"] > 0
-    return F.struct(F.when(good, top["label"]).otherwise(default).alias("label"), F.when(good, F.bround(top["score"] / F.greatest(total, top["score"]), 3)).otherwise(0.0).alias("confidence"))
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def best_label(labels: Sequence[str], scores: Column, default: str = "") -> Column:
+    """Struct ``label, confidence, score``: the highest of an array of scores, the earlier
+    of equals; the share of the positive total to 3 places.  Without a positive score
+    the default and zeros."""
+    names = F.array(*[F.lit(x) for x in labels])
+    items = F.transform(scores, lambda s, i: F.struct(F.round(s.cast("double"), 3).alias("score"), (-i).alias("place"), F.get(names, i).alias("label")))
+
+    def pick(all_: Column) -> Column:
+        top = F.array_max(all_)
+        total = F.aggregate(all_, F.lit(0.0), lambda a, x: a + F.greatest(x["score"], F.lit(0.0)))
+        good = top["score"] > 0
+        return F.struct(
+            F.when(good, top["label"]).otherwise(default).alias("label"),
+            F.when(good, F.bround(top["score"] / F.greatest(total, top["score"]), 3)).otherwise(0.0).alias("confidence"),
+            F.when(good, top["score"]).otherwise(0.0).alias("score"),
+        )
+
+    return let(items, pick)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
+from quillgraph.operators.retrieval import contains_join
 
 
 def _ascii_words(c: Column) -> Column:
@@ -66,24 +67,6 @@ def current_articles(articles: DataFrame) -> DataFrame:
     return last.select("pmcid", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``qid, id, term``: which of the terms (``qid, term``, three letters or more) each
-    text (``id, text``) holds as a substring.
-
-    Every term is looked up by its rarest three letters, so a substring join is an
-    equi-join on trigrams followed by a check: exact, and no pair is met that doesn't
-    share those letters.
-    """
-    spans = F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1)))
-    grams = texts.where("length(text) >= 3").select("id", "text", F.explode(F.array_distinct(F.transform(spans, lambda i: F.substring(F.col("text"), i, 3)))).alias("gram"))
-    t = terms.where("length(term) >= 3").distinct()
-    of_term = t.select("qid", "term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring(F.col("term"), i, 3)))).alias("gram"))
-    wanted = of_term.select("gram").distinct()
-    frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = of_term.join(frequency, "gram", "left").groupBy("qid", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("qid", "term", F.col("g.gram").alias("gram"))
-    return grams.join(rarest, "gram").where(F.col("text").contains(F.col("term"))).select("qid", "id", "term")
-
-
 def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10) -> DataFrame:
     """``qid, pmcid, score, rank``: the best articles of each question.
 

@@ -26,83 +26,88 @@ def is_preprint(title: Column, journal: Column, kinds: Column, doi: Column) -> C
     return T.contains_any(hay, C.PREPRINT_SOURCES) | named | prefixed
 
 
-def section_score(sections: Column, terms: Sequence[str], bonus: Sequence[str] = (), passing: Sequence[str] = ()) -> Column:
-    """Weighted score of terms over ``array<struct<label, text, weight>>``, to 3 places."""
+def normal_sections(sections: Column) -> Column:
+    """Sections with their texts squeezed and in lower case."""
+    return F.transform(sections, lambda s: F.struct(s["label"].alias("label"), T.normalize_label(s["text"]).alias("text"), s["weight"].alias("weight")))
 
-    def one(acc: Column, s: Column) -> Column:
-        t = T.normalize_label(s["text"])
-        hits = T.mentions(t, terms)
+
+def section_score(normal: Column, terms: Sequence[str], bonus: Sequence[str] = (), passing: Sequence[str] = ()) -> Column:
+    """Weighted score of terms over normal sections, to 3 places."""
+
+    def one(s: Column, hits: Column) -> Column:
         score = F.when(hits > 0, F.least(hits, F.lit(4)) * s["weight"]).otherwise(0.0)
         if bonus:
-            score = score + F.when(T.contains_any(t, bonus), s["weight"] * 1.75).otherwise(0.0)
+            score = score + F.when(T.contains_any(s["text"], bonus), s["weight"] * 1.75).otherwise(0.0)
         if passing:
-            score = score - F.when(T.contains_any(t, passing), s["weight"] * 1.1).otherwise(0.0)
-        score = score + F.when(s["label"].isin(*C.EVIDENCE_SECTIONS) & (hits > 0), s["weight"] * 0.6).otherwise(0.0)
-        return acc + score
-
-    return F.round(F.aggregate(sections, F.lit(0.0), one), 3)
-
+            score = score - F.when(T.contains_any(s["text"], passing), s["weight"] * 1.1).otherwise(0.0)
+        return score + F.when(s["label"].isin(*C.EVIDENCE_SECTIONS) & (hits > 0), s["weight"] * 0.6).otherwise(0.0)
 
-def topic_mentions(c: Column) -> Column:
-    """Mentions of the topic; its short form counts only beside a full one."""
-    t = F.concat(F.lit(" "), T.normalize_label(c), F.lit(" "))
-    full = T.mentions(t, C.TOPIC_TERMS)
-    return full + F.when(full > 0, T.mentions(t, C.TOPIC_SHORT)).otherwise(0)
+    return F.round(F.aggregate(normal, F.lit(0.0), lambda acc, s: acc + T.let(T.mentions(s["text"], terms), lambda hits: one(s, hits))), 3)
 
 
-def _text_of(sections: Column, labels: Sequence[str]) -> Column:
-    return F.array_join(F.transform(F.filter(sections, lambda s: s["label"].isin(*labels)), lambda s: s["text"]), " ")
+def topic_mentions(normal: Column) -> Column:
+    """Mentions of the topic in a normal text; its short form counts only beside a full one."""
+    return T.let(
+        F.concat(F.lit(" "), normal, F.lit(" ")),
+        lambda t: T.let(T.mentions(t, C.TOPIC_TERMS), lambda full: full + F.when(full > 0, T.mentions(t, C.TOPIC_SHORT)).otherwise(0)),
+    )
 
 
 def topic(sections: Column, combined: Column) -> Column:
     """Struct ``ds, confidence, score``: is the article about the topic?"""
-    title, abstract = (F.coalesce(F.get(F.filter(sections, lambda s, k=k: s["label"] == k), F.lit(0))["text"], F.lit("")) for k in ("title", "abstract"))
-    evidence = _text_of(sections, C.EVIDENCE_SECTIONS)
-    named = T.contains_any(T.normalize_label(title), C.TOPIC_TERMS)
-    in_abstract, raw = topic_mentions(abstract), topic_mentions(combined)
     flag = lambda c, v: F.when(c, v).otherwise(0.0)
-    score = F.round(
-        section_score(sections, C.TOPIC_TERMS, C.TOPIC_PATIENTS, C.TOPIC_PASSING)
-        + flag(named, 4.0)
-        + F.when(in_abstract >= 2, 2.5).when(in_abstract == 1, 1.0).otherwise(0.0)
-        + flag(topic_mentions(evidence) >= 1, 3.0)
-        + flag(T.contains_any(T.normalize_label(evidence), C.TOPIC_PATIENTS), 2.5)
-        + F.when(raw >= 5, 1.2).when(raw == 0, -1.0).otherwise(0.0),
-        3,
-    )
-    yes = (score >= 5.0) | ((score >= 3.5) & named)
-    sure = F.when(score >= 8.0, 0.95).when(score >= 5.0, 0.82).when(yes, 0.72).when(score <= 1.5, 0.80).otherwise(0.62)
-    return F.struct(F.when(yes, "Yes").otherwise("No").alias("ds"), sure.alias("confidence"), score.alias("score"))
+
+    def first(normal: Column, label: str) -> Column:
+        return F.coalesce(F.get(F.filter(normal, lambda s: s["label"] == label), F.lit(0))["text"], F.lit(""))
+
+    def verdict(score: Column, named: Column) -> Column:
+        yes = (score >= 5.0) | ((score >= 3.5) & named)
+        sure = F.when(score >= 8.0, 0.95).when(score >= 5.0, 0.82).when(yes, 0.72).when(score <= 1.5, 0.80).otherwise(0.62)
+        return F.struct(F.when(yes, "Yes").otherwise("No").alias("ds"), sure.alias("confidence"), score.alias("score"))
+
+    def judge(normal: Column) -> Column:
+        named = T.contains_any(first(normal, "title"), C.TOPIC_TERMS)
+        evidence = F.array_join(F.transform(F.filter(normal, lambda s: s["label"].isin(*C.EVIDENCE_SECTIONS)), lambda s: s["text"]), " ")
+        by_abstract = T.let(topic_mentions(first(normal, "abstract")), lambda n: F.when(n >= 2, 2.5).when(n == 1, 1.0).otherwise(0.0))
+        by_evidence = T.let(evidence, lambda e: flag(topic_mentions(e) >= 1, 3.0) + flag(T.contains_any(e, C.TOPIC_PATIENTS), 2.5))
+        by_all = T.let(topic_mentions(T.normalize_label(combined)), lambda n: F.when(n >= 5, 1.2).when(n == 0, -1.0).otherwise(0.0))
+        score = F.round(section_score(normal, C.TOPIC_TERMS, C.TOPIC_PATIENTS, C.TOPIC_PASSING) + flag(named, 4.0) + by_abstract + by_evidence + by_all, 3)
+        return T.let(score, lambda s: verdict(s, named))
+
+    return T.let(normal_sections(sections), judge)
 
 
 def organism(sections: Column, ds: Column) -> Column:
     """Struct ``label, confidence, score``; '' below a score of 4."""
-    scores = []
-    for name, words in C.ORGANISMS.items():
-        s = F.greatest(section_score(sections, words, C.ORGANISM_CONTEXT[name], C.ORGANISM_PASSING), F.lit(0.0))
-        if name == "Human":
-            s = F.when((ds != "Yes") & (s > 0), F.greatest(F.lit(0.0), s - 2.0)).otherwise(s)
-        scores.append((name, s))
-    b = T.best_label(scores)
-    top = F.array_max(F.array(*[F.round(s, 3) for _, s in scores]))
-    top = F.when(b["label"] != "", top).otherwise(0.0)
-    return F.struct(
-        F.when(top >= 4.0, b["label"]).otherwise("").alias("label"),
-        F.when(top >= 7.0, F.greatest(b["confidence"], F.lit(0.90))).when(top >= 4.0, F.greatest(b["confidence"], F.lit(0.78))).otherwise(0.0).alias("confidence"),
-        top.alias("score"),
-    )
+
+    def scores(normal: Column) -> Column:
+        each = [F.greatest(section_score(normal, words, C.ORGANISM_CONTEXT[name], C.ORGANISM_PASSING), F.lit(0.0)) for name, words in C.ORGANISMS.items()]
+        human = list(C.ORGANISMS).index("Human")
+        return F.transform(F.array(*each), lambda s, i: F.when((i == human) & (ds != "Yes"), F.greatest(F.lit(0.0), s - 2.0)).otherwise(s))
+
+    def judge(b: Column) -> Column:
+        return F.struct(
+            F.when(b["score"] >= 4.0, b["label"]).otherwise("").alias("label"),
+            F.when(b["score"] >= 7.0, F.greatest(b["confidence"], F.lit(0.90))).when(b["score"] >= 4.0, F.greatest(b["confidence"], F.lit(0.78))).otherwise(0.0).alias("confidence"),
+            b["score"].alias("score"),
+        )
+
+    return T.let(normal_sections(sections), lambda n: T.let(T.best_label(list(C.ORGANISMS), scores(n)), judge))
+
+
+def _by_keywords(text: Column, rules: dict, default: str) -> Column:
+    best = T.let(text, lambda t: T.best_label(list(rules), F.array(*[T.keyword_hits(t, w) for w in rules.values()]), default))
+    return F.struct(best["label"].alias("label"), best["confidence"].alias("confidence"))
 
 
 def axis(combined: Column) -> Column:
     """Struct ``label, confidence`` by keywords present."""
-    t = T.normalize_label(combined)
-    return T.best_label([(k, T.keyword_hits(t, v)) for k, v in C.AXES.items()])
+    return _by_keywords(T.normalize_label(combined), C.AXES, "")
 
 
 def article_type(combined: Column) -> Column:
     """Struct ``label, confidence`` by keywords present; of equals the first rule."""
-    t = T.normalize_label(combined)
-    return T.best_label([(k, T.keyword_hits(t, v)) for k, v in C.TYPES.items()], "Original")
+    return _by_keywords(T.normalize_label(combined), C.TYPES, "Original")
 
 
 def first_reading(title: Column, abstract: Column, body: Column, kinds: Column) -> Column:
@@ -117,7 +122,7 @@ def first_reading(title: Column, abstract: Column, body: Column, kinds: Column)
     ds = F.when(T.contains_any(upto(5000), C.TOPIC_TERMS), "Yes").otherwise("No")
     found = F.filter(F.array(*[F.when(T.contains_any(upto(6000), w), F.lit(k)) for k, w in C.ORGANISMS.items()]), lambda x: x.isNotNull())
     names = F.when(F.size(found) > 0, F.left(F.array_join(found, ", "), F.lit(200))).when(ds == "Yes", "Human").otherwise("Unknown")
-    ax = T.best_label([(k, T.keyword_hits(upto(8000), v)) for k, v in C.AXES.items()], "Comorbidities")["label"]
+    ax = _by_keywords(upto(8000), C.AXES, "Comorbidities")["label"]
     return F.struct(kind.otherwise("Original").alias("type"), ds.alias("ds"), names.alias("organism"), F.when(ds == "Yes", ax).otherwise("Other").alias("axis"))
 
 

@@ -38,6 +38,24 @@ def inverse_frequency(docs: DataFrame) -> DataFrame:
     return document_frequency(docs).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("N") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
+def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``qid, id, term``: which of the terms (``qid, term``, three letters or more) each
+    text (``id, text``) holds as a substring.
+
+    Every term is looked up by its rarest three letters, so a substring join is an
+    equi-join on trigrams followed by a check: exact, and no pair is met that doesn't
+    share those letters.
+    """
+    spans = F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1)))
+    grams = texts.where("length(text) >= 3").select("id", "text", F.explode(F.array_distinct(F.transform(spans, lambda i: F.substring(F.col("text"), i, 3)))).alias("gram"))
+    t = terms.where("length(term) >= 3").distinct()
+    of_term = t.select("qid", "term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring(F.col("term"), i, 3)))).alias("gram"))
+    wanted = of_term.select("gram").distinct()
+    frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_term.join(frequency, "gram", "left").groupBy("qid", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("qid", "term", F.col("g.gram").alias("gram"))
+    return grams.join(rarest, "gram").where(F.col("text").contains(F.col("term"))).select("qid", "id", "term")
+
+
 def question_focus(questions: DataFrame, idf: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(strong, shape)``: the most specific tokens ``qid, token, idf`` of each question,
     and ``qid, phrases, intent_terms``.
@@ -80,10 +98,14 @@ def query_weights(questions: DataFrame, strong: DataFrame, shape: DataFrame) ->
 
 
 def query_phrases(questions: DataFrame, shape: DataFrame) -> DataFrame:
-    """``qid, phrases``: array of (phrase, weight); repeated phrases stay."""
-    asked = questions.select("qid", F.transform(T.phrases(F.col("text")), lambda p: F.struct(p.alias("phrase"), F.lit(5.0).alias("w"))).alias("a"))
-    focus = shape.select("qid", F.transform("phrases", lambda p: F.struct(p.alias("phrase"), F.lit(7.0).alias("w"))).alias("f"))
-    return asked.join(focus, "qid").select("qid", F.concat("f", "a").alias("phrases"))
+    """``qid, term, w, in_focus``: weight of each phrase over all its repeats."""
+    asked = questions.select("qid", F.explode(T.phrases(F.col("text"))).alias("term"), F.lit(5.0).alias("w"), F.lit(False).alias("in_focus"))
+    focus = shape.select("qid", F.explode("phrases").alias("term"), F.lit(7.0).alias("w"), F.lit(True).alias("in_focus"))
+    parts = asked.unionByName(focus)
+    if "answer" in questions.columns:
+        told = questions.select("qid", F.explode(T.phrases(F.col("answer"))).alias("term"), F.lit(0.35).alias("w"), F.lit(False).alias("in_focus"))
+        parts = parts.unionByName(told)
+    return parts.groupBy("qid", "term").agg(F.sum("w").alias("w"), F.max("in_focus").alias("in_focus"))
 
 
 def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool = True) -> DataFrame:
@@ -97,23 +119,28 @@ def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool =
     strong, shape = question_focus(questions, idf)
     strong, shape = cut(strong, "strong"), cut(shape, "shape")
     weights = query_weights(questions, strong, shape).join(idf, "token", "left").withColumn("w", F.col("w") * F.coalesce("idf", F.lit(1.0)))
+    marked = weights.join(strong.select("qid", "token", F.lit(True).alias("is_strong")), ["qid", "token"], "left").join(
+        shape.select("qid", F.explode("intent_terms").alias("token"), F.lit(True).alias("is_intent")), ["qid", "token"], "left"
+    )
     hits = (
-        weights.join(postings(docs), "token")
+        marked.join(postings(docs), "token")
         .groupBy("qid", "doc")
-        .agg(F.sum("w").alias("base"), F.count("*").alias("n"), F.collect_set("token").alias("common"))
+        .agg(F.sum("w").alias("base"), F.count("*").alias("n"), F.max("is_strong").alias("by_strong"), F.max("is_intent").alias("by_intent"))
+    )
+    terms = cut(query_phrases(questions, shape), "phrases")
+    held = (
+        contains_join(docs.select(F.col("doc").alias("id"), F.col("searchable").alias("text")), terms.select("qid", "term"))
+        .join(terms, ["qid", "term"])
+        .groupBy("qid", F.col("id").alias("doc"))
+        .agg(F.sum(F.col("w") * 3).alias("bonus"), F.max("in_focus").alias("by_phrase"))
     )
-    told = query_phrases(questions, shape).join(shape.select("qid", "intent_terms", F.col("phrases").alias("focus_phrases")), "qid")
-    strong_sets = strong.groupBy("qid").agg(F.collect_set("token").alias("strong"))
-    # a question's own columns are at most some hundred texts and joined by qid
-    full = hits.join(told, "qid").join(strong_sets, "qid", "left").join(docs.select("doc", "searchable", F.array_contains("tokens", "dravet").alias("topical")), "doc")
+    of_question = shape.select("qid", (F.size("intent_terms") > 0).alias("has_intent")).join(strong.select("qid").distinct().withColumn("has_strong", F.lit(True)), "qid", "left")
+    full = hits.join(held, ["qid", "doc"], "left").join(of_question, "qid").join(docs.select("doc", F.array_contains("tokens", "dravet").alias("topical")), "doc")
     base = F.col("base") * F.when(F.col("n") >= 2, 1 + F.least(F.col("n"), F.lit(8)) * 0.18).otherwise(1.0)
-    bonus = F.aggregate("phrases", F.lit(0.0), lambda a, p: a + F.when(F.col("searchable").contains(p["phrase"]), p["w"] * 3).otherwise(0.0))
-    out = full.withColumn("score", F.round(base + bonus + F.when(F.col("topical"), 0.25).otherwise(0.0), 6))
+    out = full.withColumn("score", F.round(base + F.coalesce("bonus", F.lit(0.0)) + F.when(F.col("topical"), 0.25).otherwise(0.0), 6))
     if focus:
-        has_strong = F.size(F.coalesce("strong", F.array().cast("array<string>"))) > 0
-        by_strong = F.arrays_overlap("common", "strong") | F.exists("focus_phrases", lambda p: F.col("searchable").contains(p))
-        by_intent = F.arrays_overlap("common", "intent_terms")
-        out = out.where(F.when(has_strong, by_strong).when(F.size("intent_terms") > 0, by_intent).otherwise(True))
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        out = out.where(F.when(yes("has_strong"), yes("by_strong") | yes("by_phrase")).when(F.col("has_intent"), yes("by_intent")).otherwise(True))
     return out.select("qid", "doc", "score")
 
 
@@ -140,7 +167,7 @@ def article_rank(found: DataFrame, docs: DataFrame, refs: DataFrame, most: int =
     rows = once.join(reference_index(refs).where("pmcid is not null"), ["ns", "np", "no"])
     results = F.lower("Section") == "results"
     ranked = rows.groupBy("qid", "pmcid").agg(
-        F.round(F.sum(F.col("score") * F.when(results, 1.25).otherwise(1.0)), 6).alias("score"), F.max(results.cast("int")).alias("in_results")
+        F.round(F.sum(F.col("score") * F.when(results, 1.25).otherwise(1.0)), 3).alias("score"), F.max(results.cast("int")).alias("in_results")
     )
     w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("in_results").desc(), "pmcid")
     return ranked.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)

@@ -34,7 +34,7 @@ def facet_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facet_date_window(spark: SparkSession, d: str) -> DataFrame:
-    return facets.filter_articles(table(spark, d, "article", ["row_id", "date"]), window="year", as_of=AS_OF)
+    return facets.filter_articles(table(spark, d, "article", ["row_id", "date"]), window="year", as_of=AS_OF).select("row_id", F.col("date").cast("string"))
 
 
 def facet_filters(spark: SparkSession, d: str) -> DataFrame:
@@ -48,7 +48,7 @@ def facet_text_search(spark: SparkSession, d: str) -> DataFrame:
 
 
 def facet_article_list(spark: SparkSession, d: str) -> DataFrame:
-    return facets.article_list(table(spark, d, "article", ["row_id", "pmcid", "title", "journal", "date"]))
+    return facets.article_list(table(spark, d, "article", ["row_id", "pmcid", "title", "journal", "date"])).withColumn("date", F.col("date").cast("string"))
 
 
 def chatlog_search(spark: SparkSession, d: str) -> DataFrame:
@@ -171,10 +171,10 @@ ORACLES = {
     "facet_axis_counts": _counts("axis"),
     "facet_organism_counts": _counts("organism"),
     "facet_all": "SELECT 'type' AS facet, type AS value, count(*)::BIGINT AS n FROM article GROUP BY 2 UNION ALL SELECT 'axis', axis, count(*) FROM article GROUP BY 2 UNION ALL SELECT 'organism', organism, count(*) FROM article GROUP BY 2 UNION ALL SELECT 'all', NULL, count(*) FROM article",
-    "facet_date_window": "SELECT row_id, date FROM article WHERE date >= DATE '2026-01-01' - INTERVAL 365 DAY",
+    "facet_date_window": "SELECT row_id, date::VARCHAR AS date FROM article WHERE date >= DATE '2026-01-01' - INTERVAL 365 DAY",
     "facet_filters": "SELECT row_id, type, organism FROM article WHERE date BETWEEN DATE '2020-01-01' AND DATE '2025-12-31' AND ds = 'Yes' AND type IN ('Original', 'Review') AND organism IN ('Human', 'Mouse')",
     "facet_text_search": "SELECT row_id, title FROM article WHERE contains(lower(title), 'seizure') OR contains(lower(abstract), 'seizure')",
-    "facet_article_list": "SELECT row_id, pmcid, title, journal, date FROM article ORDER BY date DESC NULLS LAST, title ASC NULLS FIRST, row_id",
+    "facet_article_list": "SELECT row_id, pmcid, title, journal, date::VARCHAR AS date FROM article ORDER BY article.date DESC NULLS LAST, title ASC NULLS FIRST, row_id",
     "chatlog_search": f"SELECT doc_id, CASE WHEN length({D.strip('text')}) > 80 THEN left({D.strip('text')}, 80) || '…' ELSE {D.strip('text')} END AS short FROM documents WHERE contains(lower(text), 'ataxia') OR contains(lower(coalesce(source, '')), 'ataxia')",
     "article_snapshot": f"SELECT pmcid, row_id, title, journal, year FROM ({_SNAP})",
     "article_upsert": f"WITH o AS ({_SNAP}), n AS (SELECT pmcid, ds, axis FROM ingest_result WHERE pmcid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pmcid ORDER BY row_id DESC) = 1), d AS (SELECT pmcid, arg_max(ds, row_id) FILTER (ds IS NOT NULL) AS ds, arg_max(axis, row_id) FILTER (axis IS NOT NULL) AS axis FROM ingest_result WHERE pmcid IS NOT NULL GROUP BY 1) "
@@ -188,6 +188,9 @@ ORACLES = {
     "processed_pmcids": _DONE,
     "eligible_articles": _ELIGIBLE,
     "unprocessed_articles": f"SELECT row_id, pmcid FROM ({_ELIGIBLE}) e WHERE NOT EXISTS (SELECT 1 FROM ({_DONE}) p WHERE p.pmcid = e.pmcid)",
+    "pages_link_candidates": "WITH l AS (SELECT row_id, list_filter([replace(coalesce(pdf_path, ''), '\"', ''), replace(coalesce(url, ''), '\"', '') || '#top', replace(coalesce(url, ''), '\"', '')], lambda x: x <> '') AS l FROM article), e AS (SELECT row_id, unnest(l) AS x, unnest(range(len(l))) AS pos FROM l), "
+    f"c AS (SELECT row_id, pos, {D.strip("regexp_replace(replace(x, '&amp;', '&'), '#.*$', '')")} AS x FROM e), u AS (SELECT row_id, pos, CASE WHEN regexp_matches(x, '(?i)^https?://') THEN x WHEN starts_with(x, '//') THEN 'https:' || x WHEN starts_with(x, '/') THEN '{BASE}' || x ELSE '{BASE}/' || x END AS url FROM c WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(mailto|javascript|data):')) "
+    "SELECT row_id, url, (CASE WHEN contains(lower(url), '/pmc/') AND contains(lower(url), 'pdf') THEN 0 WHEN regexp_matches(lower(url), '\\.pdf(\\?|$)') THEN 1 ELSE 2 END)::INT AS priority, min(pos)::INT AS pos FROM u GROUP BY row_id, url",
     "control_normalize": "SELECT row_id, least(greatest(coalesce(TRY_CAST(pmcid AS INT), 200), 1), 1000)::INT AS pmc_sync_retmax, least(greatest(coalesce(TRY_CAST(row_id AS INT), 60), 5), 1440)::INT AS kg_cache_ttl_minutes, 'on_demand' AS kg_cache_mode, false AS automated_kg_cache_reset_enabled FROM ingest_result",
     "jats_sections": "SELECT doc_id, true AS ok, (CASE WHEN length(regexp_replace(regexp_replace(coalesce(section, '') || coalesce(text, ''), '[^\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]', ' ', 'g'), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g')) > 0 THEN 1 ELSE 0 END)::INT AS n_sections, "
     "CASE WHEN n_sections = 0 THEN '' WHEN contains(lower(section), 'method') THEN 'methods' WHEN contains(lower(section), 'result') THEN 'results' WHEN contains(lower(section), 'discussion') THEN 'discussion' WHEN contains(lower(section), 'introduction') THEN 'introduction' ELSE 'default' END AS label FROM documents",
