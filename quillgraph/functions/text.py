@@ -77,17 +77,26 @@ def article_tokens(c: Column) -> Column:
     return F.transform(F.filter(words(F.lower(c)), lambda t: F.length(t) >= 3), singular)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Texts of ``n`` neighbouring tokens in order."""
-    last = F.size(tokens) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def spans(t: Column) -> Column:
+        last = F.size(t) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(t, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, spans)
 
 
 def phrases(c: Column) -> Column:
     """2-, 3- and 4-grams of words that are no stopword, 5 to 80 letters; repeats stay."""
     stop = F.array(*[F.lit(w) for w in C.STOPWORDS])
     kept = F.filter(words(split_camel(c)), lambda t: (F.length(t) >= 3) & ~F.array_contains(stop, t))
-    return F.filter(F.concat(ngrams(kept, 2), ngrams(kept, 3), ngrams(kept, 4)), lambda p: F.length(p).between(5, 80))
+    return let(kept, lambda k: F.filter(F.concat(ngrams(k, 2), ngrams(k, 3), ngrams(k, 4)), lambda p: F.length(p).between(5, 80)))
 
 
 def lookup(c: Column, table: dict, default: Column | None = None) -> Column:
@@ -302,11 +311,6 @@ def contains_any(c: Column, needles: Sequence[str]) -> Column:
     return out
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def best_label(labels: Sequence[str], scores: Column, default: str = "") -> Column:
     """Struct ``label, confidence, score``: the highest of an array of scores, the earlier
     of equals; the share of the positive total to 3 places.  Without a positive score

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
 from quillgraph.operators.retrieval import contains_join
+from quillgraph.runtime import cut
 
 
 def _ascii_words(c: Column) -> Column:
@@ -73,40 +74,51 @@ def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10) -> Data
     Candidates come in stages: titles with a phrase (40 for each phrase, by pmcid); if
     fewer than two, titles with both first anchors (60); then abstracts with one of
     three phrases or both anchors (80); if none, titles with any anchor (60), then with
-    any intent term (40).  All stages are flags of one pass over the hits; their guards
-    are counts over each question.
+    any intent term (40).  The first four stages are flags of one pass, their guards
+    counts over each question; the broad last two are looked for only for the questions
+    that have nothing yet.
     """
     a = articles.where("pmcid is not null").select("pmcid", F.lower(T.text_or_empty(F.col("title"))).alias("low_title"), F.lower(T.text_or_empty(F.col("abstract"))).alias("low_abstract"), "title", "journal", "first_author", "authors", "year")
-    t = terms.withColumn("usable", F.filter("phrases", lambda p: F.length(p) >= 5))
-    each = t.select("qid", F.explode(F.array_distinct(F.concat("usable", "anchors", "intents"))).alias("term"))
-    in_title = contains_join(a.select(F.col("pmcid").alias("id"), F.col("low_title").alias("text")), each)
-    in_abstract = contains_join(a.select(F.col("pmcid").alias("id"), F.col("low_abstract").alias("text")), each)
-    hits = (
-        in_title.withColumn("at", F.lit("t"))
-        .unionByName(in_abstract.withColumn("at", F.lit("a")))
-        .groupBy("qid", F.col("id").alias("pmcid"))
-        .agg(F.collect_set(F.when(F.col("at") == "t", F.col("term"))).alias("tt"), F.collect_set(F.when(F.col("at") == "a", F.col("term"))).alias("ta"))
-        .join(t, "qid")
-    )
+    titles, abstracts = (a.select(F.col("pmcid").alias("id"), F.col(c).alias("text")) for c in ("low_title", "low_abstract"))
+    long_enough = lambda c: F.filter(c, lambda p: F.length(p) >= 5)
+    both = terms.where("size(anchors) >= 2").select("qid", F.get("anchors", F.lit(0)).alias("term"), F.get("anchors", F.lit(1)).alias("also"))
+    phrase = lambda c: terms.select("qid", F.explode(long_enough(c)).alias("term"), F.lit(None).cast("string").alias("also"))
+    in_title = cut(contains_join(titles, phrase(F.col("phrases")).unionByName(both)), "title-hits")
+    in_abstract = contains_join(abstracts, phrase(F.slice("phrases", 1, 3)).unionByName(both))
     # a title phrase stands for at most 40 articles
-    by_phrase = hits.select("qid", "pmcid", F.explode(F.array_intersect("usable", "tt")).alias("p"))
-    nth = F.row_number().over(Window.partitionBy("qid", "p").orderBy("pmcid"))
-    first = by_phrase.withColumn("n", nth).where("n <= 40").select("qid", "pmcid").distinct().withColumn("s1", F.lit(True))
-    two = lambda c: (F.size("anchors") >= 2) & (F.size(F.array_intersect(F.slice("anchors", 1, 2), c)) == 2)
-    some = lambda x, y: F.size(F.array_intersect(x, y)) > 0
-    m = hits.join(first, ["qid", "pmcid"], "left").select(
-        "qid", "pmcid", "usable", "anchors", "intents", F.coalesce("s1", F.lit(False)).alias("i1"),
-        two(F.col("tt")).alias("s2"), some(F.filter(F.slice("phrases", 1, 3), lambda p: F.length(p) >= 5), F.col("ta")).alias("s3"), two(F.col("ta")).alias("s4"),
-        some("anchors", F.col("tt")).alias("s5"), some("intents", F.col("tt")).alias("s6"), "phrases",
-    )
+    nth = F.row_number().over(Window.partitionBy("qid", "term").orderBy("id"))
+    by_phrase = in_title.where("also is null").withColumn("n", nth).where("n <= 40")
+    stage = lambda df, k: df.select("qid", F.col("id").alias("pmcid"), F.lit(k).alias("stage"))
+    found = (
+        stage(by_phrase, 1)
+        .unionByName(stage(in_title.where("also is not null"), 2))
+        .unionByName(in_abstract.select("qid", F.col("id").alias("pmcid"), F.when(F.col("also").isNull(), 3).otherwise(4).alias("stage")))
+        .groupBy("qid", "pmcid")
+        .agg(*[F.max(F.col("stage") == k).alias(f"s{k}") for k in (1, 2, 3, 4)])
+    )
+    narrow = cut(_staged(found.withColumn("i1", F.col("s1")), ((2, 60, 2), (3, 80, 2), (4, 80, 2))), "narrow")
+    none_yet = cut(terms.join(narrow.select("qid").distinct(), "qid", "left_anti"), "none-yet")
+    any_of = lambda c, k: none_yet.select("qid", F.explode(F.array_distinct(c)).alias("term"), F.lit(str(k)).alias("k"))
+    broad_terms = cut(any_of(F.col("anchors"), 5).unionByName(any_of(F.col("intents"), 6)), "broad-terms")
+    broad = contains_join(titles, broad_terms.select("qid", "term")).join(broad_terms, ["qid", "term"])
+    late = broad.groupBy("qid", F.col("id").alias("pmcid")).agg(F.max(F.col("k") == "5").alias("s5"), F.max(F.col("k") == "6").alias("s6"))
+    late = _staged(late.withColumn("i1", F.lit(False)), ((5, 60, 1), (6, 40, 1)))
+    flags = [f"i{k}" for k in range(1, 7)]
+    keep = lambda df: df.select("qid", "pmcid", *[F.col(f) if f in df.columns else F.lit(False).alias(f) for f in flags])
+    return _scored(keep(narrow).unionByName(keep(late)).join(terms, "qid"), a, most)
+
+
+def _staged(flags: DataFrame, stages: tuple[tuple[int, int, int], ...]) -> DataFrame:
+    """Take stage after stage (number, limit, guard): a stage counts for a question only
+    while it has fewer articles than the guard."""
     whole = Window.partitionBy("qid")
     taken = F.col("i1")
-    for stage, limit, fewer in ((2, 60, 2), (3, 80, 2), (4, 80, 2), (5, 60, 1), (6, 40, 1)):
-        place = F.row_number().over(Window.partitionBy("qid", f"s{stage}").orderBy("pmcid"))
-        m = m.withColumn("n", F.sum(taken.cast("int")).over(whole)).withColumn("place", place)
-        m = m.withColumn(f"i{stage}", F.col(f"s{stage}") & (F.col("n") < fewer) & (F.col("place") <= limit))
-        taken = taken | F.col(f"i{stage}")
-    return _scored(m.where(taken), a, most)
+    for k, limit, fewer in stages:
+        place = F.row_number().over(Window.partitionBy("qid", f"s{k}").orderBy("pmcid"))
+        flags = flags.withColumn("n", F.sum(taken.cast("int")).over(whole)).withColumn("place", place)
+        flags = flags.withColumn(f"i{k}", F.col(f"s{k}") & (F.col("n") < fewer) & (F.col("place") <= limit))
+        taken = taken | F.col(f"i{k}")
+    return flags.where(taken)
 
 
 def _scored(candidates: DataFrame, a: DataFrame, most: int) -> DataFrame:

@@ -39,21 +39,22 @@ def inverse_frequency(docs: DataFrame) -> DataFrame:
 
 
 def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``qid, id, term``: which of the terms (``qid, term``, three letters or more) each
-    text (``id, text``) holds as a substring.
+    """``qid, id, term, also``: which of the terms (``qid, term[, also]``, three letters or
+    more) each text (``id, text``) holds as a substring, together with ``also`` if given.
 
     Every term is looked up by its rarest three letters, so a substring join is an
     equi-join on trigrams followed by a check: exact, and no pair is met that doesn't
     share those letters.
     """
-    spans = F.sequence(F.lit(1), F.greatest(F.length("text") - 2, F.lit(1)))
-    grams = texts.where("length(text) >= 3").select("id", "text", F.explode(F.array_distinct(F.transform(spans, lambda i: F.substring(F.col("text"), i, 3)))).alias("gram"))
-    t = terms.where("length(term) >= 3").distinct()
-    of_term = t.select("qid", "term", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("term") - 2), lambda i: F.substring(F.col("term"), i, 3)))).alias("gram"))
-    wanted = of_term.select("gram").distinct()
-    frequency = grams.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    rarest = of_term.join(frequency, "gram", "left").groupBy("qid", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("g")).select("qid", "term", F.col("g.gram").alias("gram"))
-    return grams.join(rarest, "gram").where(F.col("text").contains(F.col("term"))).select("qid", "id", "term")
+    grams_of = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, 3)))
+    t = (terms if "also" in terms.columns else terms.withColumn("also", F.lit(None).cast("string"))).where("length(term) >= 3").distinct()
+    of_term = t.select("term").distinct().select("term", F.explode(grams_of(F.col("term"))).alias("gram"))
+    grams = texts.where("length(text) >= 3").select("id", F.explode(grams_of(F.col("text"))).alias("gram"))
+    frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = of_term.join(frequency, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("g")).where("g.n > 0").select("term", F.col("g.gram").alias("gram"))
+    # ids meet first, the text comes once per meeting of a term and a text
+    met = grams.join(rarest, "gram").select("id", "term").join(texts, "id").where(F.col("text").contains(F.col("term")))
+    return met.join(t, "term").where(F.col("also").isNull() | F.col("text").contains(F.col("also"))).select("qid", "id", "term", "also")
 
 
 def question_focus(questions: DataFrame, idf: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
