@@ -174,7 +174,7 @@ class Trie:
     def search(self, values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (index of the value, entry, distance) within the allowed distances."""
         # a letter that no path has costs an edit wherever it stands
-        foreign = re.compile("[^" + re.escape("".join(sorted(self.alphabet))) + "]")
+        foreign = re.compile("[^" + re.escape("".join(sorted(self.alphabet))) + "]" if self.alphabet else ".")
         keep = [i for i, v in enumerate(values) if 0 < len(v) <= self.longest + K and len(foreign.findall(v)) <= distance_allowed(len(v))]
         index = np.array(keep, np.int64)
         n = len(keep)

@@ -19,8 +19,9 @@ from quillgraph.runtime import cut, discard, frequency_join, need, scratch, shuf
 
 def letters_and_digits(c: Column) -> Column:
     """Letters and digits of a text in order, case folded; '' for null and for texts
-    without any.  Upper then lower case folds what has no single partner ('ß', 'ς')."""
+    without any.  Upper then lower case folds what has more than one lower form ('ς'); 'ß' is 'ss'."""
     folded = F.translate(F.lower(F.upper(F.coalesce(c, F.lit("")))), "ςſ", "σs")
+    folded = F.replace(folded, F.lit("ß"), F.lit("ss"))
     return F.regexp_replace(folded, r"[^\p{L}\p{Nd}]+", "")
 
 

@@ -185,6 +185,6 @@ def mix_sources(
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
             F.lit(exponent).alias("exponent"),
         )
-        .withColumn("actual_share", F.coalesce(F.col("tokens_used") / F.sum("tokens_used").over(Window.partitionBy(F.lit(1))), F.lit(0.0)))
+        .withColumn("actual_share", F.coalesce(F.try_divide("tokens_used", F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
     )
     return mix, report

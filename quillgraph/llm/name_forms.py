@@ -18,6 +18,7 @@ ORGANISATION = {
     "investigators": "investigators", "collaboration": "collaboration", "collab": "collaboration", "alliance": "alliance", "agency": "agency", "ministry": "ministry", "clinic": "clinic", "school": "school", "unit": "unit", "council": "council", "trust": "trust", "team": "team", "initiative": "initiative",
 }
 SHORT = {"neurol": "neurology", "neuro": "neurology", "dis": "diseases", "gen": "genetics", "res": "research", "med": "medicine", "sci": "science", "natl": "national", "intl": "international", "int": "international", "wg": "working group", "childrens": "children", "epil": "epilepsy"}
+BODY_WORDS = frozenset({*ORGANISATION.values(), *SHORT.values()} | set("working rare disease diseases health genetics epilepsy ataxia neurology children medical general national international research study clinical".split())) - {"working group"}
 EMPTY = frozenset("the of and for in at on und fur der die das de la le et y a an s".split())
 # Short forms of given names and the full names they stand for, the commonest first.
 NICKNAMES = {

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgraph.llm.name_forms import NICKNAMES, read_name
+from quillgraph.llm.name_forms import BODY_WORDS, NICKNAMES, read_name
 from quillgraph.runtime import cut, need, shuffle_width
 
 
@@ -226,11 +226,13 @@ def _oriented(forms: DataFrame) -> DataFrame:
         .agg(F.max("of_like").alias("of_like"))
     )
     stats = cut(stats.join(typed, "word", "left").withColumn("givenness", F.greatest("givenness", "of_like")).drop("of_like"), "roles")
+    # words for kinds of bodies are no body's own name, however rare here
+    common = F.when(F.col("word").isin(*sorted(BODY_WORDS)), 1e12).otherwise(0.0)
     placed = (
         open_.select("name", "kind", "initials", "short", "nick", F.posexplode("words").alias("at", "word"))
         .join(stats.select("word", "givenness", "partners"), "word")
         .groupBy("name", "kind", "initials", "short", "nick")
-        .agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "person", F.col("givenness")).otherwise(F.col("partners")).alias("score"), "at", "word"))).alias("w"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "person", F.col("givenness")).otherwise(F.col("partners") + common).alias("score"), "at", "word"))).alias("w"))
     )
     # lowest score: the surname, or an organisation's own name; highest: the given name
     person = placed.where("kind = 'person'").select(

@@ -183,4 +183,4 @@ def residue_documents(df: DataFrame, id_col: str, text_col: str, coverage: float
 
 def without_residue(df: DataFrame, id_col: str, text_col: str, coverage: float = COVERAGE) -> DataFrame:
     """``df`` without the rows whose text holds residue; all columns stay."""
-    return df.join(residue_documents(df, id_col, text_col, coverage).where(F.col(id_col).isNotNull()), id_col, "left_anti")
+    return df.join(residue_documents(df, id_col, text_col, coverage).where(F.col(id_col).isNotNull()), id_col, "left_anti").select(*df.columns)

@@ -65,7 +65,7 @@ def test_against_plain_python(corpus):
 
 
 def test_windows_cover_everything():
-    text = "\n".join(["word" * 1] * 3 + [" ".join(f"w{i}x" for i in range(301))])
+    text = "\n".join(["word" * 1] * 3 + [" ".join("w" + "abcdefghij"[i % 10] * (1 + i % 7) for i in range(301))])
     cut = list(windows(text))
     assert sum(map(len, cut)) == len(tokens(text)) and max(map(len, cut)) <= WINDOW
     assert min(len(w) for w in cut[3:]) > WINDOW // 2
