@@ -52,12 +52,12 @@ def ordered_distinct(df: DataFrame, key: str, order: str) -> DataFrame:
 def pop(queue: DataFrame, order: str, n: int) -> tuple[DataFrame, DataFrame]:
     """The first n of a queue, and the rest."""
     head = queue.orderBy(order).limit(n)
-    return head, queue.join(head.select(order), order, "left_anti")
+    return head, queue.join(head.select(order), order, "left_anti").select(*queue.columns)
 
 
 def without(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't in ``done``."""
-    return df.join(done.select(key).distinct(), key, "left_anti")
+    return df.join(done.select(key).distinct(), key, "left_anti").select(*df.columns)
 
 
 def page_links(pages: DataFrame, id_col: str, html: str, base: str = "") -> DataFrame:
@@ -77,7 +77,7 @@ def page_links(pages: DataFrame, id_col: str, html: str, base: str = "") -> Data
 
 
 SECTION_SHAPE = "array<struct<label:string,text:string,weight:double>>"
-ARTICLE_SHAPE = f"title string, abstract string, journal string, authors array<string>, doi string, pmcid string, pmid string, year int, kind string, subjects array<string>, sections {SECTION_SHAPE}, by_section map<string,string>, body string"
+ARTICLE_SHAPE = f"title string, abstract string, journal string, authors array<string>, doi string, pmcid string, pmid string, year int, date date, kind string, subjects array<string>, sections {SECTION_SHAPE}, by_section map<string,string>, body string"
 
 
 def parse_articles(df: DataFrame, id_col: str, xml: str) -> DataFrame:
@@ -92,7 +92,7 @@ def parse_articles(df: DataFrame, id_col: str, xml: str) -> DataFrame:
     schema = pa.schema(
         [
             ("ok", pa.bool_()), ("title", pa.string()), ("abstract", pa.string()), ("journal", pa.string()), ("authors", pa.list_(pa.string())), ("doi", pa.string()), ("pmcid", pa.string()), ("pmid", pa.string()),
-            ("year", pa.int32()), ("kind", pa.string()), ("subjects", pa.list_(pa.string())), ("sections", pa.list_(pa.struct([("label", pa.string()), ("text", pa.string()), ("weight", pa.float64())]))),
+            ("year", pa.int32()), ("date", pa.date32()), ("kind", pa.string()), ("subjects", pa.list_(pa.string())), ("sections", pa.list_(pa.struct([("label", pa.string()), ("text", pa.string()), ("weight", pa.float64())]))),
             ("by_section", pa.map_(pa.string(), pa.string())), ("body", pa.string()),
         ]
     )

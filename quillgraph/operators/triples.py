@@ -34,7 +34,7 @@ def first_of(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
         cols.append(f"__k{i}")
     first = named.groupBy(*cols).agg(F.min(order).alias("__first"))
     keep = first.select(F.col("__first").alias(order)).distinct()
-    return df.join(keep, order, "left_semi")
+    return df.join(keep, order, "left_semi").select(*df.columns)
 
 
 def labelled(df: DataFrame) -> DataFrame:
@@ -107,4 +107,4 @@ def delta(new: DataFrame, old: DataFrame, columns: Sequence[str], order: str) ->
     names = [f"k{i}" for i in range(len(columns))]
     first = new.select(F.col(order), *keys).groupBy(*names).agg(F.min(order).alias(order))
     fresh = first.join(old.select(*keys).distinct(), names, "left_anti").select(order)
-    return new.join(fresh, order, "left_semi")
+    return new.join(fresh, order, "left_semi").select(*new.columns)

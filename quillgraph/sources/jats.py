@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
+from datetime import date
 
 from quillgraph.functions import constants as C
 
+PUBLISHED = ("epub", "ppub", "collection", "pmc-release")
 SPACE = re.compile(r"\s+")
 DOCTYPE = re.compile(r"<!DOCTYPE[^>\[]*(?:\[[^\]]*\])?[^>]*>", re.S)
 
@@ -41,17 +43,13 @@ def sections_by_role(root: ET.Element) -> dict[str, str]:
     if body is None:
         return {}
     texts: dict[str, list[str]] = {}
-
-    def visit(sec: ET.Element, inherited: str) -> None:
-        role = C.SECTIONS.get(SPACE.sub(" ", _heading(sec)).strip().lower(), "") or inherited
-        text = _text(sec)[: C.MAX_SECTION_CHARS]
-        if role and text:
-            texts.setdefault(role, []).append(text)
-        for inner in sec.findall("sec"):
-            visit(inner, role)
-
-    for sec in body.findall("sec"):
-        visit(sec, "")
+    open_ = [(sec, "") for sec in reversed(body.findall("sec"))]  # a stack: document order, any depth
+    while open_:
+        sec, outer = open_.pop()
+        role = C.SECTIONS.get(_heading(sec).lower(), outer)
+        if role and (text := _text(sec)):
+            texts.setdefault(role, []).append(text[: C.MAX_SECTION_CHARS])
+        open_ += [(inner, role) for inner in reversed(sec.findall("sec"))]
     if not texts:
         whole = _text(body)[: C.MAX_SECTION_CHARS]
         return {"Discussion": whole} if whole else {}
@@ -74,12 +72,8 @@ def read_article(xml: str | None) -> dict:
             name = " ".join(x for x in (_text(person.find(".//surname")), _text(person.find(".//given-names"))) if x) or _text(person.find(".//collab"))
             if name:
                 names.append(name)
-    year = None
-    for date in art.iter("pub-date"):
-        if date.get("pub-type") in ("epub", "ppub", "collection", "pmc-release"):
-            digits = _text(date.find("year"))
-            year = int(digits) if digits.isdigit() else None
-            break
+    published = next((d for d in art.iter("pub-date") if d.get("pub-type") in PUBLISHED), None)
+    year, month, day = ((int(t) if published is not None and (t := _text(published.find(k))).isdigit() else none) for k, none in (("year", 1900), ("month", 1), ("day", 1)))
     sections = weighted_sections(art)
     return {
         "ok": True,
@@ -91,6 +85,7 @@ def read_article(xml: str | None) -> dict:
         "pmcid": ids.get("pmcid", ids.get("pmc", "")),
         "pmid": ids.get("pmid", ""),
         "year": year,
+        "date": date(year, min(max(month, 1), 12), min(max(day, 1), 28)),
         "kind": art.get("article-type", ""),
         "subjects": [t for s in art.iter("subject") if (t := _text(s))],
         "sections": sections,
