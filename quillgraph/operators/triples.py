@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions import constants as C
@@ -80,19 +80,24 @@ def reviewed(df: DataFrame, article: str = "PMCID", order: str = "row_id", accep
 
     Of equal triples of an article the section of highest rank wins, the earliest of
     equals; a row that was best until a better one came is 'replaced', every other
-    loser is a plain duplicate.  Only rows without other reasons take part.
+    loser is a plain duplicate.  Only rows without other reasons take part.  ``order``
+    must be unique.
+
+    A row was best for a while exactly if it is the first of all with its rank or a
+    higher one.  So one aggregate with a minimum for each rank finds all such rows, four
+    at most of each triple, and they are joined back by their unique order: however
+    often one triple is repeated, no task sees all its copies.
     """
     marked = labelled(df.select(order, article, *SPO, "Section")).withColumn("own", F.array_join(rejection_reasons(accept_introduction), ";"))
-    key = [article, *[F.lower(c) for c in SPO], F.col("own") == ""]
-    rank = F.when(F.col("own") == "", T.lookup(F.col("Section"), C.SECTION_RANK, F.lit(0)))
-    run = Window.partitionBy(*key).orderBy(order)
-    until = run.rowsBetween(Window.unboundedPreceding, -1)
-    after = run.rowsBetween(1, Window.unboundedFollowing)
-    ranked = marked.withColumn("rank", rank)
-    leads = F.col("rank") > F.coalesce(F.max("rank").over(until), F.lit(0))
-    beaten = F.coalesce(F.max("rank").over(after) > F.col("rank"), F.lit(False))
-    reason = F.when(F.col("own") != "", F.col("own")).when(leads & ~beaten, "").when(leads, "lower_priority_duplicate_replaced").otherwise("lower_priority_duplicate")
-    return ranked.withColumn("Reason", reason).drop("own", "rank")
+    rank = T.lookup(F.col("Section"), C.SECTION_RANK, F.lit(0))
+    good = marked.where("own = ''").select(article, *[F.lower(c).alias(f"k{c}") for c in SPO], order, rank.alias("rank"))
+    first = lambda r: F.min(F.when(F.col("rank") >= r, F.struct(order, "rank")))
+    ranks = sorted(C.SECTION_RANK.values())
+    leads = good.groupBy(article, *[f"k{c}" for c in SPO]).agg(F.max("rank").alias("top"), *[first(r).alias(f"l{r}") for r in ranks])
+    led = leads.select("top", F.explode(F.array_distinct(F.array(*[f"l{r}" for r in ranks]))).alias("l")).where("l is not null")
+    held = led.select(F.col(f"l.{order}").alias(order), F.when(F.col("l.rank") == F.col("top"), "").otherwise("lower_priority_duplicate_replaced").alias("held"))
+    reason = F.when(F.col("own") != "", F.col("own")).otherwise(F.coalesce("held", F.lit("lower_priority_duplicate")))
+    return marked.join(held, order, "left").select(order, article, *SPO, "Section", reason.alias("Reason"))
 
 
 def reason_counts(df: DataFrame, column: str = "Reason") -> DataFrame:
