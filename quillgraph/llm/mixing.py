@@ -94,7 +94,7 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], tota
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 1_000_000, bucket_bits: int = 10, seed: int = 17
+    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 1_000_000, bucket_bits: int | None = None, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -119,6 +119,9 @@ def mix_sources(
     named = docs.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     stats = named.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     have = {r["source"]: r for r in stats.where(F.col("source").isin(*goals) if goals else F.lit(False)).collect()}  # <= MAX_SOURCES rows
+    if bucket_bits is None:  # some 100,000 documents of the largest source to a bucket, 1024 buckets at least
+        largest = max((r["docs"] for r in have.values()), default=0)
+        bucket_bits = min(24, max(10, math.ceil(math.log2(max(1, largest) / 100_000 + 1))))
     weights, total, exponent = plan_mix({s: r["tokens"] for s, r in have.items()}, goals, total_tokens)
     rows = []
     for s, w in weights.items():
