@@ -22,6 +22,11 @@ def text_or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip_ws(c: Column) -> Column:
     """Without white space of any script at either end."""
     return sub(c, f"^{WS}+|{WS}+$")
@@ -77,11 +82,6 @@ def article_tokens(c: Column) -> Column:
     return F.transform(F.filter(words(F.lower(c)), lambda t: F.length(t) >= 3), singular)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def ngrams(tokens: Column, n: int) -> Column:
     """Texts of ``n`` neighbouring tokens in order."""
 
@@ -112,11 +112,14 @@ def section(c: Column) -> Column:
 
 def section_label(c: Column) -> Column:
     """Label of a section title by the first needle it holds; 'default' without one."""
-    t = F.lower(strip_ws(text_or_empty(c)))
-    out = F
-    for needle, label in C.SECTION_NEEDLES:
-        out = out.when(t.contains(needle), label)
-    return out.otherwise("default")
+
+    def first_held(t: Column) -> Column:
+        out = F
+        for needle, label in C.SECTION_NEEDLES:
+            out = out.when(t.contains(needle), label)
+        return out.otherwise("default")
+
+    return let(F.lower(strip_ws(text_or_empty(c))), first_held)
 
 
 def section_weight(label: Column) -> Column:
@@ -135,11 +138,16 @@ def unwrap(c: Column) -> Column:
 
 def camel_label(c: Column) -> Column:
     """Words joined with capitals; one word and words in capitals or with digits stay."""
-    value = unwrap(c)
-    part = F.transform(F.split(value, f"(?:{WS}|_)+"), lambda p: strip_set(p, "-/,;:.()[]{}"))
-    shouted = lambda p: (p == F.upper(p)) & (p != F.lower(p))
-    made = F.transform(part, lambda p: F.when(shouted(p) | p.rlike("[0-9]"), p).otherwise(F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30))))
-    return F.when(value.contains(" ") | value.contains("_"), F.array_join(made, "")).otherwise(value)
+
+    def one(p: Column) -> Column:
+        kept = ((p == F.upper(p)) & (p != F.lower(p))) | p.rlike("[0-9]")
+        return F.when(kept, p).otherwise(F.concat(F.upper(F.left(p, F.lit(1))), F.substring(p, 2, 1 << 30)))
+
+    def joined(value: Column) -> Column:
+        parts = F.transform(F.split(value, f"(?:{WS}|_)+"), lambda p: let(strip_set(p, "-/,;:.()[]{}"), one))
+        return F.when(value.contains(" ") | value.contains("_"), F.array_join(parts, "")).otherwise(value)
+
+    return let(unwrap(c), joined)
 
 
 def entity_label(c: Column) -> Column:
@@ -150,13 +158,16 @@ def entity_label(c: Column) -> Column:
 
 def predicate_label(c: Column) -> Column:
     """Relation of a predicate: phrase table, then stems in order, then camel case."""
-    raw = squeeze(sub(unwrap(c), f"^(?i:is|are|was|were){WS}+"))
-    low = F.lower(raw)
-    tool, use = C.TREATMENT_WORDS
-    out = F.when(low.rlike(tool) & low.rlike(use), "hasTreatment")
-    for pattern, relation in C.PREDICATE_STEMS:
-        out = out.when(low.rlike(pattern), relation)
-    return F.coalesce(lookup(low, C.PREDICATES), out.otherwise(camel_label(raw)))
+
+    def relation(raw: Column, low: Column) -> Column:
+        tool, use = C.TREATMENT_WORDS
+        out = F.when(low.rlike(tool) & low.rlike(use), "hasTreatment")
+        for pattern, name in C.PREDICATE_STEMS:
+            out = out.when(low.rlike(pattern), name)
+        return F.coalesce(lookup(low, C.PREDICATES), out.otherwise(camel_label(raw)))
+
+    bare = squeeze(sub(unwrap(c), f"^(?i:is|are|was|were){WS}+"))
+    return let(bare, lambda raw: let(F.lower(raw), lambda low: relation(raw, low)))
 
 
 def word_count(c: Column) -> Column:
@@ -165,15 +176,17 @@ def word_count(c: Column) -> Column:
 
 def looks_like_sentence(c: Column) -> Column:
     """Sentence marks, too many words, or a sentence's beginning."""
-    value = squeeze(c)
-    starts = F.lower(value).rlike("^(?:this study|the study|we |our |these results|the results|the authors|it |they |there )")
-    return (value != "") & (value.contains(". ") | value.contains(";") | value.contains(":") | (word_count(value) > C.MAX_ENTITY_WORDS) | starts)
+
+    def test(value: Column) -> Column:
+        starts = F.lower(value).rlike("^(?:this study|the study|we |our |these results|the results|the authors|it |they |there )")
+        return (value != "") & (value.contains(". ") | value.contains(";") | value.contains(":") | (word_count(value) > C.MAX_ENTITY_WORDS) | starts)
+
+    return let(squeeze(c), test)
 
 
 def pmcid_number(c: Column) -> Column:
     """'PMC123' or '123' as BIGINT; null for anything else."""
-    bare = sub(strip_ws(text_or_empty(c)), "^(?i:pmc)")
-    return F.when(bare.rlike("^[0-9]+$"), bare.try_cast("bigint"))
+    return sub(strip_ws(text_or_empty(c)), "^(?i:pmc)(?=[0-9]+$)|^.*[^0-9].*$").try_cast("bigint")
 
 
 def id_list(c: Column) -> Column:
@@ -184,26 +197,27 @@ def id_list(c: Column) -> Column:
 
 def authors(c: Column) -> Column:
     """Names of a plain author list: the first separator present of ``;  |  ,  and``."""
-    t = squeeze(c)
-    cut = (
-        F.when(t.contains(";"), F.split(t, ";"))
-        .when(t.contains("|"), F.split(t, r"\|"))
-        .when(t.contains(","), F.split(t, ","))
-        .when(F.lower(t).contains(" and "), F.split(t, f"(?i){WS}+and{WS}+"))
-        .otherwise(F.array(t))
-    )
-    return F.filter(F.transform(cut, strip_ws), lambda p: p != "")
+
+    def cut(t: Column) -> Column:
+        parts = (
+            F.when(t.contains(";"), F.split(t, ";"))
+            .when(t.contains("|"), F.split(t, r"\|"))
+            .when(t.contains(","), F.split(t, ","))
+            .when(F.lower(t).contains(" and "), F.split(t, f"(?i){WS}+and{WS}+"))
+            .otherwise(F.array(t))
+        )
+        return F.filter(F.transform(parts, strip_ws), lambda p: p != "")
+
+    return let(squeeze(c), cut)
 
 
 def first_author(first: Column, all_: Column) -> Column:
     """The stated first author, else the first of the list, else ''."""
-    stated = strip_ws(text_or_empty(first))
-    return F.when(stated != "", stated).otherwise(F.coalesce(F.get(authors(all_), F.lit(0)), F.lit("")))
+    return F.coalesce(F.nullif(strip_ws(text_or_empty(first)), F.lit("")), F.get(authors(all_), F.lit(0)), F.lit(""))
 
 
 def several_authors(all_: Column) -> Column:
-    t = strip_ws(text_or_empty(all_))
-    return (F.size(authors(all_)) > 1) | t.contains(";") | t.contains("|") | t.contains(" and ")
+    return let(strip_ws(text_or_empty(all_)), lambda t: t.contains(";") | t.contains("|") | t.contains(" and ") | (F.size(authors(t)) > 1))
 
 
 def sanitized(c: Column) -> Column:

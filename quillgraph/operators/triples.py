@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
+from quillgraph.runtime import cut
 
 SPO = ["Subject", "Predicate", "Object"]
 
@@ -20,6 +21,7 @@ def normalized(df: DataFrame, scope: Sequence[str] = (), order: str = "row_id")
     with an empty value or unknown section are left out.
     """
     clean = df.select(*scope, order, *[T.triple_value(F.col(c)).alias(c) for c in SPO], T.section(F.col("Section")).alias("Section"))
+    clean = cut(clean, "clean")  # read twice: for the first of each key and for its row
     whole = clean.where(" and ".join(f"{c} <> ''" for c in [*SPO, "Section"]))
     return first_of(whole, [*scope, *[f"lower({c})" for c in [*SPO, "Section"]]], order)
 
@@ -37,21 +39,27 @@ def first_of(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return df.join(keep, order, "left_semi").select(*df.columns)
 
 
-def labelled(df: DataFrame) -> DataFrame:
-    """Triples with canonical labels and section; other columns stay."""
-    return df.withColumns(
-        {
-            "Subject": T.entity_label(F.col("Subject")),
-            "Predicate": T.predicate_label(F.col("Predicate")),
-            "Object": T.entity_label(F.col("Object")),
-            "Section": T.section(F.col("Section")),
-        }
+def judged(accept_introduction: bool = True) -> Column:
+    """Struct of a triple's canonical labels, its section, and ``reasons`` against it.
+
+    One expression: labels are made once and bound, not repeated in every test.
+    """
+    labels = F.struct(
+        T.entity_label(F.col("Subject")).alias("Subject"),
+        T.predicate_label(F.col("Predicate")).alias("Predicate"),
+        T.entity_label(F.col("Object")).alias("Object"),
+        T.section(F.col("Section")).alias("Section"),
     )
 
+    def judge(t: Column) -> Column:
+        reasons = rejection_reasons(t["Subject"], t["Predicate"], t["Object"], t["Section"], accept_introduction)
+        return F.struct(*[t[c].alias(c) for c in [*SPO, "Section"]], F.array_join(reasons, ";").alias("reasons"))
+
+    return T.let(labels, judge)
+
 
-def rejection_reasons(accept_introduction: bool = True) -> Column:
+def rejection_reasons(s: Column, p: Column, o: Column, sec: Column, accept_introduction: bool = True) -> Column:
     """All reasons against a labelled triple, in order; [] for a good one."""
-    s, p, o, sec = (F.col(c) for c in [*SPO, "Section"])
     joined = F.concat_ws(" ", s, p, o)
     tests = [
         (s == "", "missing_subject"),
@@ -88,7 +96,8 @@ def reviewed(df: DataFrame, article: str = "PMCID", order: str = "row_id", accep
     at most of each triple, and they are joined back by their unique order: however
     often one triple is repeated, no task sees all its copies.
     """
-    marked = labelled(df.select(order, article, *SPO, "Section")).withColumn("own", F.array_join(rejection_reasons(accept_introduction), ";"))
+    marked = df.select(order, article, judged(accept_introduction).alias("t")).select(order, article, "t.*").withColumnRenamed("reasons", "own")
+    marked = cut(marked, "judged")  # the labels cost much and are read twice
     rank = T.lookup(F.col("Section"), C.SECTION_RANK, F.lit(0))
     good = marked.where("own = ''").select(article, *[F.lower(c).alias(f"k{c}") for c in SPO], order, rank.alias("rank"))
     first = lambda r: F.min(F.when(F.col("rank") >= r, F.struct(order, "rank")))

@@ -235,7 +235,7 @@ ORACLES = {
     "section_normalize": _per_row("documents", "doc_id", section=D.section("section")),
     "section_label_weight": f"WITH l AS (SELECT doc_id, {_LABEL} AS label FROM documents) SELECT doc_id, label, {D.case('label', C.SECTION_WEIGHTS, '1.5')}::DOUBLE AS weight FROM l",
     "parse_id_list": f"WITH p AS (SELECT row_id, PMCID, list_filter(list_transform(regexp_split_to_array(upper(concat_ws('; ', PMCID, PMCID, row_id::VARCHAR)), {D.q(f'(?:{WS}|[,;])+')}), lambda p: replace(p, 'PMC', '')), lambda p: regexp_matches(p, '^[0-9]+$')) AS l FROM kg_triples_rejected), "
-    f"c AS (SELECT row_id, PMCID, list_transform(l, lambda x: x::BIGINT) AS l FROM p) SELECT row_id, array_to_string({_ordered_distinct('l')}, ',') AS ids, {D.pmcid('PMCID')} AS pmcid FROM c",
+    f"c AS (SELECT row_id, PMCID, list_transform(l, lambda x: x::BIGINT) AS l FROM p) SELECT row_id, array_to_string({_ordered_distinct('l')}, ',') AS ids, coalesce(({D.pmcid('PMCID')})::VARCHAR, '') AS pmcid FROM c",
     "json_triples_parse": "SELECT row_id, coalesce(Subject, '') AS subject, coalesce(Predicate, '') AS predicate, coalesce(Object, '') AS object, coalesce(Section, '') AS section FROM kg_triples_rejected",
     "triple_lines_parse": "SELECT row_id, " + ", ".join(f"{D.strip(D.rep(D.squeeze(c), '[|`*_\\x{85}\\x{2028}\\x{2029}]'))} AS {c}" for c in SPO) + " FROM kg_triples_rejected",
     "answer_sanitize": _per_row("documents", "doc_id", clean=D.strip(_chain("coalesce(text, '') || ' (see KG-grounded note)  https://x.example.org/a end'", _SANITIZE))),

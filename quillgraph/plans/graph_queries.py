@@ -74,7 +74,7 @@ def section_label_weight(spark: SparkSession, d: str) -> DataFrame:
 
 def parse_id_list(spark: SparkSession, d: str) -> DataFrame:
     ids = F.concat_ws("; ", F.col("PMCID"), F.col("PMCID"), F.col("row_id").cast("string"))
-    return rejected(spark, d).select("row_id", joined(T.id_list(ids).cast("array<string>"), ",").alias("ids"), T.pmcid_number(F.col("PMCID")).alias("pmcid"))
+    return rejected(spark, d).select("row_id", joined(T.id_list(ids).cast("array<string>"), ",").alias("ids"), F.coalesce(T.pmcid_number(F.col("PMCID")).cast("string"), F.lit("")).alias("pmcid"))
 
 
 def json_triples_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def triples_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def qa_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return triples.labelled(rejected(spark, d).select("row_id", *SPO, "Section")).select("row_id", joined(triples.rejection_reasons(), ";").alias("reasons"))
+    return rejected(spark, d).select("row_id", triples.judged()["reasons"].alias("reasons"))
 
 
 def qa_priority_dedup(spark: SparkSession, d: str) -> DataFrame:
