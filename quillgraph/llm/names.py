@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.llm.name_forms import BODY_WORDS, NICKNAMES, read_name
-from quillgraph.runtime import cut, need, shuffle_width
+from quillgraph.runtime import cut, discard, need, scratch, shuffle_width
 
 
 def edits_allowed(length: int) -> int:
@@ -161,13 +161,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     and then jumps to that root's root, so long chains halve; rounds are written to
     the shared folder and end when nothing changes.
     """
+    spark = edges.sparkSession
     both = cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{label}-edges")
-    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label)
+    path = scratch(spark, label)
+    state = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), label, path)
     while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
         closer = state.join(near, "node", "left").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = closer.select(F.col("node").alias("root"), F.col("root").alias("further"))
-        after = cut(closer.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), label)
+        before, path = path, scratch(spark, label)
+        after = cut(closer.join(jump, "root", "left").select("node", "old", F.least("root", "further").alias("root")), label, path)
+        discard(spark, before)  # the new round is written
         state = after.select("node", "root")
         if after.where("old <> root").isEmpty():
             return state
