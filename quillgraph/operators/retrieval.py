@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
 from quillgraph.operators.compact import reference_index
-from quillgraph.runtime import cut
+from quillgraph.runtime import cut, shuffle_width
 
 
 def documents(triples: DataFrame, id_col: str) -> DataFrame:
@@ -123,8 +123,11 @@ def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool =
     marked = weights.join(strong.select("qid", "token", F.lit(True).alias("is_strong")), ["qid", "token"], "left").join(
         shape.select("qid", F.explode("intent_terms").alias("token"), F.lit(True).alias("is_intent")), ["qid", "token"], "left"
     )
+    # a few tokens meet many documents: a fixed spread, so that small inputs aren't put in one task
+    width = shuffle_width(docs.sparkSession)
     hits = (
-        marked.join(postings(docs), "token")
+        marked.repartition(width, "token")
+        .join(postings(docs).repartition(width, "token"), "token")
         .groupBy("qid", "doc")
         .agg(F.sum("w").alias("base"), F.count("*").alias("n"), F.max("is_strong").alias("by_strong"), F.max("is_intent").alias("by_intent"))
     )

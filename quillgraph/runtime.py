@@ -55,15 +55,29 @@ def work_root(spark: SparkSession) -> str:
     return _LOCAL_WORK[app]
 
 
+_SCRATCH: dict[str, list[str]] = {}
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared work folder."""
-    return f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{work_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def cleanup(spark: SparkSession) -> int:
+    """Delete what this application wrote below the shared folder; gives the number of
+    paths.  For a session that goes on after its results are stored."""
+    paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        discard(spark, path)
+    return len(paths)
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and
     a lost executor costs only the tasks that read the files again."""
-    path = scratch(df.sparkSession, label)
+    path = path or scratch(df.sparkSession, label)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
