@@ -24,6 +24,7 @@ from quillgraph.llm.residue_exemplars import EXEMPLARS, FUNCTION_WORDS
 from quillgraph.runtime import cut, frequency_join, need
 
 WINDOW = 64
+BATCH_ROWS = 200_000
 #: Share of a window's weight that exemplars must hold.
 COVERAGE = 0.58
 
@@ -132,25 +133,34 @@ def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whether an exemplar holds them."""
     id_type = df.schema[id_col].dataType.simpleString()
 
+    names = ["window", "token", "tf", "held"]
+    types = [pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index()
         for batch in batches:
-            row, no, token, tf, held = [], [], [], [], []
+            row: list[int] = []
+            cols: list[list] = [[], [], [], []]
+
+            def made() -> pa.RecordBatch:
+                ids = batch.column(0).take(pa.array(row, pa.int64()))  # noqa: B023
+                out = pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, types)]], names=["id", *names])  # noqa: B023
+                row.clear()  # noqa: B023
+                for c in cols:  # noqa: B023
+                    c.clear()
+                return out
+
             for i, text in enumerate(batch.column(1)):
                 s = text.as_py()
                 for k, w in enumerate(windows(s) if s else ()):
-                    covered = index.covered(w)
-                    if covered:
+                    if covered := index.covered(w):
                         for t, n in Counter(w).items():
                             row.append(i)
-                            no.append(k)
-                            token.append(t)
-                            tf.append(n)
-                            held.append(t in covered)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(token, pa.string()), pa.array(tf, pa.int32()), pa.array(held, pa.bool_())],
-                names=["id", "window", "token", "tf", "held"],
-            )
+                            for c, v in zip(cols, (k, t, n, t in covered)):
+                                c.append(v)
+                    if len(row) > BATCH_ROWS:  # long texts: pass on what there is
+                        yield made()
+            yield made()
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     return out.mapInArrow(find, f"id {id_type}, window int, token string, tf int, held boolean")
