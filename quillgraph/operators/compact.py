@@ -27,13 +27,14 @@ def dense_ids(labels: DataFrame, prefix: str, id_name: str) -> DataFrame:
     ranged = cut(
         labels.select("label").distinct().repartitionByRange(shuffle_width(spark), "label").withColumn("part", F.spark_partition_id()), "labels"
     )
-    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for part in sorted(sizes):
-        before[part] = total
-        total += sizes[part]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in (before or {0: 0}).items() for x in kv]), F.col("part"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy("label")) + offset
+    sizes = sorted((r["part"], r["n"]) for r in ranged.groupBy("part").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(before, "part int, before bigint")
+    ranged = ranged.join(F.broadcast(offsets), "part")
+    place = F.row_number().over(Window.partitionBy("part").orderBy("label")) + F.col("before")
     return ranged.select(F.concat(F.lit(prefix), place.cast("string")).alias(id_name), "label")
 
 

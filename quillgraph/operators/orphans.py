@@ -125,10 +125,10 @@ def orphan_references(
         ).withColumn("rng", range_of("key", "t")),
         "refs",
     )
-    pieces = {r["rng"]: int(-(-r["n"] // batch_rows)) for r in placed.groupBy("rng").agg(F.count("*").alias("n")).collect()}  # <= MAX_RANGES rows
-    n_pieces = _pieces(pieces)
-    left = placed.withColumn("piece", F.pmod(F.xxhash64("row_id", "table_name"), n_pieces).cast("int"))
-    right = stays.withColumn("piece", F.explode(F.sequence(F.lit(0), (n_pieces - 1).cast("int"))))
+    # MAX_RANGES rows at most: one broadcast for both sides
+    pieces = F.broadcast(cut(placed.groupBy("rng").agg(F.ceil(F.count("*") / batch_rows).cast("int").alias("pieces")), "pieces"))
+    left = placed.join(pieces, "rng").withColumn("piece", F.pmod(F.xxhash64("row_id", "table_name"), F.col("pieces")).cast("int")).drop("pieces")
+    right = stays.join(pieces, "rng").withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
 
     def probe(group: tuple, ref: pa.Table, par: pa.Table) -> pa.Table:
         k, t = ref["key"].to_numpy(), ref["t"].to_numpy()
@@ -157,12 +157,6 @@ def orphan_references(
     )
 
 
-def _pieces(pieces: dict[int, int]) -> Column:
-    """Pieces of a row's range as an expression; ranges without references have one."""
-    pairs = [x for r, n in sorted(pieces.items()) if n > 1 for x in (F.lit(r), F.lit(n))]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.col("rng")), F.lit(1)) if pairs else F.lit(1)
-
-
 def running_max(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Running maximum of ``ends`` within each run of equal ``keys``."""
     if not len(keys):
