@@ -191,7 +191,7 @@ ORACLES = {
     "pages_link_candidates": "WITH l AS (SELECT row_id, list_filter([replace(coalesce(pdf_path, ''), '\"', ''), replace(coalesce(url, ''), '\"', '') || '#top', replace(coalesce(url, ''), '\"', '')], lambda x: x <> '') AS l FROM article), e AS (SELECT row_id, unnest(l) AS x, unnest(range(len(l))) AS pos FROM l), "
     f"c AS (SELECT row_id, pos, {D.strip("regexp_replace(replace(x, '&amp;', '&'), '#.*$', '')")} AS x FROM e), u AS (SELECT row_id, pos, CASE WHEN regexp_matches(x, '(?i)^https?://') THEN x WHEN starts_with(x, '//') THEN 'https:' || x WHEN starts_with(x, '/') THEN '{BASE}' || x ELSE '{BASE}/' || x END AS url FROM c WHERE x <> '' AND NOT regexp_matches(x, '(?i)^(mailto|javascript|data):')) "
     "SELECT row_id, url, (CASE WHEN contains(lower(url), '/pmc/') AND contains(lower(url), 'pdf') THEN 0 WHEN regexp_matches(lower(url), '\\.pdf(\\?|$)') THEN 1 ELSE 2 END)::INT AS priority, min(pos)::INT AS pos FROM u GROUP BY row_id, url",
-    "control_normalize": "SELECT row_id, least(greatest(coalesce(TRY_CAST(pmcid AS INT), 200), 1), 1000)::INT AS pmc_sync_retmax, least(greatest(coalesce(TRY_CAST(row_id AS INT), 60), 5), 1440)::INT AS kg_cache_ttl_minutes, 'on_demand' AS kg_cache_mode, false AS automated_kg_cache_reset_enabled FROM ingest_result",
+    "control_normalize": "SELECT row_id, least(greatest(coalesce(TRY_CAST(pmcid AS INT), 200), 1), 1000)::INT AS pmc_sync_retmax, least(greatest(coalesce(TRY_CAST(row_id AS INT), 30), 5), 1440)::INT AS kg_cache_ttl_minutes, 'on_demand' AS kg_cache_mode, false AS automated_kg_cache_reset_enabled FROM ingest_result",
     "jats_sections": "SELECT doc_id, true AS ok, (CASE WHEN length(regexp_replace(regexp_replace(coalesce(section, '') || coalesce(text, ''), '[^\\x{20}-\\x{D7FF}\\x{E000}-\\x{FFFD}\\x{10000}-\\x{10FFFF}]', ' ', 'g'), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g')) > 0 THEN 1 ELSE 0 END)::INT AS n_sections, "
     "CASE WHEN n_sections = 0 THEN '' WHEN contains(lower(section), 'method') THEN 'methods' WHEN contains(lower(section), 'result') THEN 'results' WHEN contains(lower(section), 'discussion') THEN 'discussion' WHEN contains(lower(section), 'introduction') THEN 'introduction' ELSE 'default' END AS label FROM documents",
 }

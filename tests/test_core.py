@@ -157,9 +157,16 @@ def test_classify(spark):
 
 
 def test_settings(spark):
-    df = spark.createDataFrame([("5000", "1", "weird", True), ("x", None, "Scheduled", True)], "pmc_sync_retmax string, kg_cache_ttl_minutes string, kg_cache_mode string, automated_kg_cache_reset_enabled boolean")
-    got = control.normalized_settings(df).collect()
-    assert tuple(got[0]) == (1000, 5, "on_demand", False) and tuple(got[1]) == (200, 60, "scheduled", True)
+    df = spark.createDataFrame(
+        [("5000", "1", "weird", True, None, "09:00", " "), ("x", None, "scheduled", True, "", None, "UTC"), (None, "9999", "Scheduled", True, "07:00", "09:00", None)],
+        "pmc_sync_retmax string, kg_cache_ttl_minutes string, kg_cache_mode string, automated_kg_cache_reset_enabled boolean, kg_cache_scheduled_time string, kg_cache_reset_time string, timezone string",
+    )
+    got = [tuple(r) for r in control.normalized_settings(df).collect()]
+    assert got == [
+        (1000, 5, "on_demand", False, "09:00", "09:00", "America/New_York"),
+        (200, 30, "scheduled", True, "08:00", "08:00", "UTC"),
+        (200, 1440, "on_demand", False, "07:00", "07:00", "America/New_York"),
+    ]
 
 
 def test_upsert_and_queue(spark, rows):
