@@ -275,6 +275,17 @@ def marked_sections(c: Column) -> Column:
     return F.struct(part("ANSWER", "KG_SUMMARY").alias("answer"), part("KG_SUMMARY", "RAW_TRIPLES").alias("kg_summary"), part("RAW_TRIPLES", None).alias("raw_triples"))
 
 
+def answer_and_triples(c: Column) -> Column:
+    """Struct ``answer, triples``: what stands before the hidden triples, and these up to
+    the next marker."""
+    mark = rf"(?is)\[\[{WS}*RAW_TRIPLES{WS}*\]\]"
+    hidden = F.regexp_extract(text_or_empty(c), rf"{mark}(.*)$", 1)
+    return F.struct(
+        strip_ws(sub(text_or_empty(c), rf"{mark}.*$")).alias("answer"),
+        strip_ws(sub(strip_ws(hidden), rf"(?s)\n{WS}*\[\[.*$")).alias("triples"),
+    )
+
+
 def triple_lines(c: Column) -> Column:
     """``array<struct<Subject, Predicate, Object>>`` of lines with two bars or more."""
     lines = F.split(text_or_empty(c), "\r\n|[\n\x0B\f\r\x1c\x1d\x1e\x85  ]")

@@ -45,6 +45,11 @@ def test_marked_sections_and_lines(spark):
     assert [[tuple(t) for t in r] for r in one(spark, T.triple_lines, "1. **x** | y | z | w\nno bars\n`a|b|c`", None)] == [[("x", "y", "z"), ("a", "b", "c")], []]
 
 
+def test_answer_and_triples(spark):
+    got = one(spark, T.answer_and_triples, " yes [[ RAW_triples ]] a|b|c\n [[KG_SUMMARY]] s", "only", None)
+    assert [tuple(g) for g in got] == [("yes", "a|b|c"), ("only", ""), ("", "")]
+
+
 def test_json_triples(spark):
     row = '[{"subject": "a", "predicate": "b", "object": "c", "section": "Results"}]'
     for text in (row, f"```json\n{row}\n```", f"Here: {row} done"):
