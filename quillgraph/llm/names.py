@@ -200,9 +200,11 @@ def _read(spellings: DataFrame) -> DataFrame:
     return spellings.select("name").mapInArrow(run, schema)
 
 
-def _oriented(forms: DataFrame) -> DataFrame:
-    """Decide which open word is the surname; organisations: the rarest word is the
-    name, the other words in order are what kind of body it is."""
+def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(named, near)``: which open word is the surname (of organisations: the rarest
+    word is the name, the others say what kind of body it is), and all near pairs of
+    words.  Every surname and given name is a word, so one segment join serves all steps.
+    """
     sure = forms.where("kind = 'person' and surname <> ''")
     open_ = forms.where("size(words) > 0")
     roles = (
@@ -219,7 +221,7 @@ def _oriented(forms: DataFrame) -> DataFrame:
         "words",
     ).withColumn("givenness", F.log((F.col("giv") + 0.5) / (F.col("sur") + 0.5)) + F.log("partners"))
     # a rare word next to a common given name is that name mistyped
-    near = similar_keys(stats, "word")
+    near = cut(similar_keys(stats, "word"), "near")
     typed = (
         near.select(F.col("key_a").alias("word"), F.col("key_b").alias("like"))
         .unionByName(near.select(F.col("key_b").alias("word"), F.col("key_a").alias("like")))
@@ -257,13 +259,12 @@ def _oriented(forms: DataFrame) -> DataFrame:
         "short",
         "nick",
     )
-    return sure.drop("words").unionByName(person).unionByName(body)
+    return sure.drop("words").unionByName(person).unionByName(body), near
 
 
-def _corrected(named: DataFrame) -> DataFrame:
-    """Rare given names one edit from a common one are that one, mistyped."""
+def _corrected(named: DataFrame, near: DataFrame) -> DataFrame:
+    """Rare given names near a common one are that one, mistyped."""
     vocabulary = cut(named.where("kind = 'person' and length(given) >= 4").groupBy("given").agg(F.approx_count_distinct("surname", 0.02).alias("n")), "given")
-    near = similar_keys(vocabulary, "given")
     both = near.select(F.col("key_a").alias("given"), F.col("key_b").alias("better"), "distance").unionByName(
         near.select(F.col("key_b").alias("given"), F.col("key_a").alias("better"), "distance")
     )
@@ -287,7 +288,8 @@ def link_names(spellings: DataFrame) -> DataFrame:
     need(spellings, "name")
     names = spellings.where("name is not null and name <> ''").select("name").distinct()
     forms = cut(_read(names), "forms")
-    named = cut(_corrected(_oriented(forms)).where("surname <> ''"), "named")
+    oriented, near = _oriented(forms)
+    named = cut(_corrected(oriented, near).where("surname <> ''"), "named")
     nick = spellings.sparkSession.createDataFrame([(k, v.split()) for k, v in NICKNAMES.items()], "nick string, alternatives array<string>")
 
     # nicknames: the full name of this surname they can stand for, else the commonest
@@ -362,7 +364,6 @@ def link_names(spellings: DataFrame) -> DataFrame:
 
     # near surnames
     nodes = members.select("node", "kind", "surname", "first").distinct()
-    near = cut(similar_keys(nodes.select(F.col("surname").alias("key")).distinct()), "near")
     pairs = near.select(F.col("key_a").alias("surname"), F.col("key_b").alias("other")).unionByName(near.select(F.col("key_b").alias("surname"), F.col("key_a").alias("other")))
     keyed = nodes.withColumn("rest", F.expr("substring(node, length(kind) + length(surname) + 3)"))
     others = keyed.select(F.col("surname").alias("other"), "kind", "first", F.col("rest").alias("other_rest"), F.col("node").alias("other_node"))
