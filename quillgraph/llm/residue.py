@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,18 +38,12 @@ FRAME = re.compile(r"\bat\s+[\w.$]+\([\w.]+(?::\d+)?\)|\b[\w.]+\(\)")
 TROUBLE = re.compile(r"\b(?:[\w]+\.)*[A-Za-z]+(?:Error|Exception)\b|\b(?:java\.lang\.)\w+", re.I)
 FILE = re.compile(r"(?:/[\w./]*)?\b\w+\.(?:js|py|php|java|go|html?)\b(?::\d+)*", re.I)
 CODE = re.compile(r"\b(?:e|http )?[45]\d\d\b", re.I)
-MARKED = re.compile(r"[{<\[$%@_&«]|\w\(|[45]\d\d|Error|Exception|\.\w|xxxx", re.I)
+#: What any of the patterns above needs: without it a text goes straight to its words.
+MARKED = re.compile(r"[{<\[&«@]|__|[%$][^\W\d_]|\w\(|[45]\d\d\b|[Ee][Rr][Rr][Oo][Rr]|[Ee][Xx][Cc][Ee][Pp][Tt]|\.[A-Za-z]|[Xx]{4}")
 WORD = re.compile(r"⟨\w+⟩|(?:n\.){2}|[぀-ヿ㐀-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)?")
 CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 
 
-@lru_cache(maxsize=1 << 16)
-def _word(w: str) -> tuple[str, ...]:
-    if CJK.match(w):
-        return tuple(w[i : i + 2] for i in range(len(w) - 1)) or (w,)
-    return (w.lower(),)
-
-
 def tokens(text: str) -> list[str]:
     """Tokens of a passage; runs of CJK letters give pairs of neighbours."""
     if MARKED.search(text):
@@ -60,10 +53,15 @@ def tokens(text: str) -> list[str]:
         text = TROUBLE.sub(" ⟨trouble⟩ ", text)
         text = FILE.sub(" ⟨file⟩ ", text)
         text = CODE.sub(" ⟨code⟩ ", text)
+    found = WORD.findall(text.lower())
+    if text.isascii():
+        return [w for w in found if len(w) > 1]  # lone letters carry nothing
     out: list[str] = []
-    for w in WORD.findall(text):
-        if len(w) > 1 or not w.isascii():  # lone letters carry nothing
-            out += _word(w)
+    for w in found:
+        if CJK.match(w):
+            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
+        elif len(w) > 1 or not w.isascii():
+            out.append(w)
     return out
 
 
