@@ -5,8 +5,8 @@ tokens).  A window retrieves, through an inverted index over the tokens that car
 meaning, the labelled exemplars it shares a token with; its containment is the
 TF-IDF share of its tokens that these exemplars hold.  Placeholders of any syntax,
 stack frames, exception names and status codes are one token each.  Document
-frequencies are counted over the whole corpus, in two steps: per Arrow batch in
-Python, then by token.
+frequencies are counted over the whole corpus in the same pass, in two steps: per
+Arrow batch in Python, then by token.
 """
 
 from __future__ import annotations
@@ -110,39 +110,30 @@ def _index() -> Index:
     return _INDEX[0]
 
 
-def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
-    """``token, df``: in how many texts of the whole corpus each token stands."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seen: Counter = Counter()
-            for text in batch.column(0):
-                s = text.as_py()
-                if s:
-                    seen.update({t for w in windows(s) for t in w})
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "n"])
+COUNTED = -1
 
-    partial = df.select(F.col(text_col)).where(F.col(text_col).isNotNull()).mapInArrow(count, "token string, n bigint")
-    return partial.groupBy("token").agg(F.sum("n").alias("df"))
 
+def _passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One pass over the texts: ``id, window, token, n, held``.
 
-def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct tokens of the windows that retrieve an exemplar, with their count and
-    whether an exemplar holds them."""
+    For windows that retrieve an exemplar their distinct tokens, how often each stands
+    there and whether an exemplar holds it; and, as window COUNTED without an id, in how
+    many texts of an Arrow batch each token stands.
+    """
     id_type = df.schema[id_col].dataType.simpleString()
-
-    names = ["window", "token", "tf", "held"]
-    types = [pa.int32(), pa.string(), pa.int32(), pa.bool_()]
+    types = [pa.int32(), pa.string(), pa.int64(), pa.bool_()]
+    names = ["id", "window", "token", "n", "held"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index()
         for batch in batches:
+            seen: Counter = Counter()
             row: list[int] = []
             cols: list[list] = [[], [], [], []]
 
             def made() -> pa.RecordBatch:
                 ids = batch.column(0).take(pa.array(row, pa.int64()))  # noqa: B023
-                out = pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, types)]], names=["id", *names])  # noqa: B023
+                out = pa.RecordBatch.from_arrays([ids, *[pa.array(c, t) for c, t in zip(cols, types)]], names=names)  # noqa: B023
                 row.clear()  # noqa: B023
                 for c in cols:  # noqa: B023
                     c.clear()
@@ -150,7 +141,9 @@ def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
             for i, text in enumerate(batch.column(1)):
                 s = text.as_py()
+                here: set[str] = set()
                 for k, w in enumerate(windows(s) if s else ()):
+                    here.update(w)
                     if covered := index.covered(w):
                         for t, n in Counter(w).items():
                             row.append(i)
@@ -158,18 +151,32 @@ def _candidates(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                                 c.append(v)
                     if len(row) > BATCH_ROWS:  # long texts: pass on what there is
                         yield made()
+                seen.update(here)
             yield made()
+            none = pa.nulls(len(seen), batch.column(0).type)
+            counted = [pa.array([COUNTED] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.bool_())]
+            yield pa.RecordBatch.from_arrays([none, *counted], names=names)
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return out.mapInArrow(find, f"id {id_type}, window int, token string, tf int, held boolean")
+    return out.mapInArrow(find, f"id {id_type}, window int, token string, n bigint, held boolean")
+
+
+def _frequencies(passages: DataFrame) -> DataFrame:
+    return passages.where(F.col("window") == COUNTED).groupBy("token").agg(F.sum("n").alias("df"))
+
+
+def document_frequencies(df: DataFrame, text_col: str) -> DataFrame:
+    """``token, df``: in how many texts of the whole corpus each token stands."""
+    return _frequencies(_passages(df.select(F.lit(0).alias("id"), text_col), "id", text_col))
 
 
 def residue_windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, window, containment, weight`` of every window that retrieves an exemplar."""
     need(df, id_col, text_col)
-    frequencies = cut(document_frequencies(df, text_col), "frequencies")
+    passages = cut(_passages(df, id_col, text_col), "passages")  # read for counts and for both halves of the join
+    frequencies = cut(_frequencies(passages), "frequencies")
     n = F.lit(max(1, df.count()))
-    candidates = cut(_candidates(df, id_col, text_col), "candidates")  # read twice by the join
+    candidates = passages.where(F.col("window") != COUNTED).withColumnRenamed("n", "tf")
     weighed = frequency_join(candidates, frequencies, "token", "df")
     weight = F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 0.1)
     return (
