@@ -5,6 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.operators.ingest import ordered_distinct, queue_candidates
 from quillgraph.sources import files, sinks
 from quillgraph.streaming.queue import arrivals, queue_stream
 
@@ -63,3 +64,20 @@ def test_queue_stream(spark, tmp_path):
         q.awaitTermination(60)
         assert q.exception() is None
     assert sorted(r.pmcid for r in spark.read.parquet(queue).collect()) == [5, 7]
+
+
+def test_queue_stream_keeps_late_rows_and_repeats_nothing(spark, tmp_path):
+    src, queue, check = (str(tmp_path / x) for x in ("src", "queue", "check"))
+    shape = "row_id bigint, run_at timestamp, pmcid bigint, created boolean, updated boolean, has_pdf boolean, has_xml boolean, article_type string, ds string"
+    days = [[(1, datetime(2025, 6, 1), 5)], [(2, datetime(2025, 6, 2), 6)], [(3, datetime(2025, 1, 1), 7)], [(4, datetime(2025, 9, 1), 5), (5, datetime(2025, 9, 1), 8), (6, datetime(2025, 9, 2), 8)]]
+    every = []
+    for day in days:
+        rows = [(*r, True, None, True, False, "Original", "Yes") for r in day]
+        every += rows
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        q = queue_stream(arrivals(spark, src, spark.createDataFrame([], shape).schema), queue, check)
+        q.awaitTermination(60)
+        assert q.exception() is None
+    want = ordered_distinct(queue_candidates(spark.createDataFrame(every, shape)), "pmcid", "row_id")
+    got = spark.read.parquet(queue).select("pmcid", "row_id").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) == [(5, 1), (6, 2), (7, 3), (8, 5)]
