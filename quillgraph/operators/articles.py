@@ -68,16 +68,21 @@ def current_articles(articles: DataFrame) -> DataFrame:
     return last.select("pmcid", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
-def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10) -> DataFrame:
+#: The reference's candidates of each stage, of the first for each phrase.
+REFERENCE_CAPS = {1: 40, 2: 60, 3: 80, 4: 80, 5: 60, 6: 40}
+
+
+def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10, caps: dict[int, int] | None = None) -> DataFrame:
     """``qid, pmcid, score, rank``: the best articles of each question.
 
-    Candidates come in stages: titles with a phrase (40 for each phrase, by pmcid); if
-    fewer than two, titles with both first anchors (60); then abstracts with one of
-    three phrases or both anchors (80); if none, titles with any anchor (60), then with
-    any intent term (40).  The first four stages are flags of one pass, their guards
-    counts over each question; the broad last two are looked for only for the questions
-    that have nothing yet.
+    Candidates come in stages: titles with a phrase; if fewer than two, titles with both
+    first anchors; then abstracts with one of three phrases or both anchors; if none,
+    titles with any anchor, then with any intent term.  Every candidate of a stage is
+    scored; ``caps`` (as REFERENCE_CAPS) takes only so many, by pmcid.  The first four
+    stages are flags of one pass, their guards counts over each question; the broad last
+    two are looked for only for the questions that have nothing yet.
     """
+    caps = caps or {}
     a = articles.where("pmcid is not null").select("pmcid", F.lower(T.text_or_empty(F.col("title"))).alias("low_title"), F.lower(T.text_or_empty(F.col("abstract"))).alias("low_abstract"), "title", "journal", "first_author", "authors", "year")
     titles, abstracts = (a.select(F.col("pmcid").alias("id"), F.col(c).alias("text")) for c in ("low_title", "low_abstract"))
     long_enough = lambda c: F.filter(c, lambda p: F.length(p) >= 5)
@@ -85,9 +90,10 @@ def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10) -> Data
     phrase = lambda c: terms.select("qid", F.explode(long_enough(c)).alias("term"), F.lit(None).cast("string").alias("also"))
     in_title = cut(contains_join(titles, phrase(F.col("phrases")).unionByName(both)), "title-hits")
     in_abstract = contains_join(abstracts, phrase(F.slice("phrases", 1, 3)).unionByName(both))
-    # a title phrase stands for at most 40 articles
-    nth = F.row_number().over(Window.partitionBy("qid", "term").orderBy("id"))
-    by_phrase = in_title.where("also is null").withColumn("n", nth).where("n <= 40")
+    by_phrase = in_title.where("also is null")
+    if 1 in caps:
+        nth = F.row_number().over(Window.partitionBy("qid", "term").orderBy("id"))
+        by_phrase = by_phrase.withColumn("n", nth).where(F.col("n") <= caps[1])
     stage = lambda df, k: df.select("qid", F.col("id").alias("pmcid"), F.lit(k).alias("stage"))
     found = (
         stage(by_phrase, 1)
@@ -96,27 +102,30 @@ def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10) -> Data
         .groupBy("qid", "pmcid")
         .agg(*[F.max(F.col("stage") == k).alias(f"s{k}") for k in (1, 2, 3, 4)])
     )
-    narrow = cut(_staged(found.withColumn("i1", F.col("s1")), ((2, 60, 2), (3, 80, 2), (4, 80, 2))), "narrow")
+    narrow = cut(_staged(found.withColumn("i1", F.col("s1")), ((2, 2), (3, 2), (4, 2)), caps), "narrow")
     none_yet = cut(terms.join(narrow.select("qid").distinct(), "qid", "left_anti"), "none-yet")
     any_of = lambda c, k: none_yet.select("qid", F.explode(F.array_distinct(c)).alias("term"), F.lit(str(k)).alias("k"))
     broad_terms = cut(any_of(F.col("anchors"), 5).unionByName(any_of(F.col("intents"), 6)), "broad-terms")
     broad = contains_join(titles, broad_terms.select("qid", "term")).join(broad_terms, ["qid", "term"])
     late = broad.groupBy("qid", F.col("id").alias("pmcid")).agg(F.max(F.col("k") == "5").alias("s5"), F.max(F.col("k") == "6").alias("s6"))
-    late = _staged(late.withColumn("i1", F.lit(False)), ((5, 60, 1), (6, 40, 1)))
+    late = _staged(late.withColumn("i1", F.lit(False)), ((5, 1), (6, 1)), caps)
     flags = [f"i{k}" for k in range(1, 7)]
     keep = lambda df: df.select("qid", "pmcid", *[F.col(f) if f in df.columns else F.lit(False).alias(f) for f in flags])
     return _scored(keep(narrow).unionByName(keep(late)).join(terms, "qid"), a, most)
 
 
-def _staged(flags: DataFrame, stages: tuple[tuple[int, int, int], ...]) -> DataFrame:
-    """Take stage after stage (number, limit, guard): a stage counts for a question only
-    while it has fewer articles than the guard."""
+def _staged(flags: DataFrame, stages: tuple[tuple[int, int], ...], caps: dict[int, int]) -> DataFrame:
+    """Take stage after stage (number, guard): a stage counts for a question only while it
+    has fewer articles than the guard."""
     whole = Window.partitionBy("qid")
     taken = F.col("i1")
-    for k, limit, fewer in stages:
-        place = F.row_number().over(Window.partitionBy("qid", f"s{k}").orderBy("pmcid"))
-        flags = flags.withColumn("n", F.sum(taken.cast("int")).over(whole)).withColumn("place", place)
-        flags = flags.withColumn(f"i{k}", F.col(f"s{k}") & (F.col("n") < fewer) & (F.col("place") <= limit))
+    for k, fewer in stages:
+        flags = flags.withColumn("n", F.sum(taken.cast("int")).over(whole))
+        take = F.col(f"s{k}") & (F.col("n") < fewer)
+        if k in caps:
+            flags = flags.withColumn("place", F.row_number().over(Window.partitionBy("qid", f"s{k}").orderBy("pmcid")))
+            take = take & (F.col("place") <= caps[k])
+        flags = flags.withColumn(f"i{k}", take)
         taken = taken | F.col(f"i{k}")
     return flags.where(taken)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from quillgraph.functions import constants as C
 from quillgraph.functions.text import WS
 from quillgraph.plans import duck as D
@@ -178,6 +180,8 @@ _ASCORE = (
     "ranked AS MATERIALIZED (SELECT qid, pmcid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pmcid)::INT AS rank FROM sc WHERE score > 0 QUALIFY rank <= 10)"
 )
 _ARTICLES = f"WITH {_DOCS}, {_QS}, {_STRONG}, {_SHAPE}, {_SEARCH}, {_TERMS}, {_ART}, {_STAGES}, {_ASCORE}"
+_STAGES_WHOLE = re.sub(r" AND row_number\(\) OVER \(PARTITION BY qid, s\d ORDER BY pmcid\) <= \d+| WHERE n <= 40", "", _STAGES)
+_ARTICLES_WHOLE = _ARTICLES.replace(_STAGES, _STAGES_WHOLE)
 
 # -- classification --------------------------------------------------------------------
 _X = f"x AS MATERIALIZED (SELECT doc_id, {D.norm('text')} AS t, coalesce(text, '') AS raw, {_LABEL} AS label, {D.case(_LABEL, C.SECTION_WEIGHTS, '1.5')}::DOUBLE AS w FROM documents)"
@@ -267,6 +271,7 @@ ORACLES = {
     "kg_retrieve_support": f"{_ALL}, {_REFS}, {_SELECTED}, {_NAMED}, {_RANKED('both_')}",
     "search_phrases": f"WITH {_QS}, {_SEARCH} SELECT qid, array_to_string(phrases, {SEP}) AS phrases, array_to_string(anchors, {SEP}) AS anchors FROM sp",
     "article_rank_topk": f"{_ARTICLES} SELECT * FROM ranked",
+    "article_rank_whole": f"{_ARTICLES_WHOLE} SELECT * FROM ranked",
     "merge_ranked_ids": f"{_ALL}, {_SEARCH}, {_TERMS}, {_ART}, {_STAGES}, {_ASCORE}, {_REFS}, {_SELECTED}, kr AS ({'WITH ' + _RANKED('sel')}), u AS (SELECT qid, pmcid, 0 AS src, rank FROM ranked UNION ALL SELECT qid, pmcid, 1, rank FROM kr), b AS (SELECT qid, pmcid, min({{'src': src, 'rank': rank}}) AS pl FROM u GROUP BY ALL) "
     "SELECT qid, pmcid, row_number() OVER (PARTITION BY qid ORDER BY pl, pmcid)::INT AS place FROM b QUALIFY place <= 15",
     "reference_payload": f"WITH a AS (SELECT * FROM article WHERE pmcid IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pmcid ORDER BY row_id DESC) = 1), k AS (SELECT row_id AS qid, {D.pmcid('PMCID')} AS pmcid FROM kg_triples_rejected), "

@@ -235,20 +235,25 @@ def search_phrases(spark: SparkSession, d: str) -> DataFrame:
     return s.select("qid", joined(F.col("phrases")).alias("phrases"), joined(F.col("anchors")).alias("anchors"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
+def _ranked(spark: SparkSession, d: str, caps: dict[int, int] | None = None) -> DataFrame:
     q, docs = questions(spark, d), _docs(spark, d)
     strong, shape = retrieval.question_focus(q, retrieval.inverse_frequency(docs))
     terms = cut(articles.question_terms(q, strong, shape.select("qid", "intent_terms")), "terms")
     rows = articles.current_articles(table(spark, d, "article", ["pmcid", "row_id", "pmid", "title", "abstract", "journal", "first_author", "authors", "year"]))
-    return articles.rank_articles(cut(rows, "articles"), terms)
+    return articles.rank_articles(cut(rows, "articles"), terms, caps=caps)
 
 
 def article_rank_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Of the candidates the reference's limits leave; ``article_rank_whole`` is of all."""
+    return _ranked(spark, d, articles.REFERENCE_CAPS)
+
+
+def article_rank_whole(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(spark, d)
 
 
 def merge_ranked_ids(spark: SparkSession, d: str) -> DataFrame:
-    return articles.merge_ranked([_ranked(spark, d), kg_pmcid_rank(spark, d)])
+    return articles.merge_ranked([_ranked(spark, d, articles.REFERENCE_CAPS), kg_pmcid_rank(spark, d)])
 
 
 def reference_payload(spark: SparkSession, d: str) -> DataFrame:
@@ -294,7 +299,7 @@ QUERIES = {
         text_normalize_label, text_split_camel, text_singularize, text_tokenize, text_article_tokens, text_ngrams, text_strip_markdown, label_camelize, predicate_normalize, section_normalize, section_label_weight, parse_id_list,
         json_triples_parse, triple_lines_parse, answer_sanitize, answer_sections, triples_normalized, qa_reasons, qa_priority_dedup, qa_section_counts, qa_reason_histogram, triples_append_delta, rejected_append_delta,
         kg_nodes, kg_predicates, kg_edges_encoded, kg_resolve_labels, kg_validate_triples, kg_refs_for_triples, kg_results_first_refs, kg_stats, kg_signature, kg_token_df, kg_token_idf, focus_terms, question_shape,
-        kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, merge_ranked_ids, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
+        kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, article_rank_whole, merge_ranked_ids, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
         classify_type, classify_legacy,
     )
 }

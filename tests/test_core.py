@@ -128,6 +128,18 @@ def test_facets(spark):
     assert facets.type_counts(df.select(F.lit(None).cast("string").alias("type")).limit(0)).count() == 0
 
 
+def test_rank_articles_scores_every_candidate(spark):
+    terms = spark.createDataFrame([(1, ["sodium channel"], ["sodium", "fever"], [])], "qid int, phrases array<string>, anchors array<string>, intents array<string>")
+    row = lambda i, more="": (i, f"sodium channel{more}", None, None, None, None, None)
+    df = spark.createDataFrame([*[row(i) for i in range(1, 100)], row(500, " in fever")], "pmcid int, title string, abstract string, journal string, first_author string, authors string, year int")
+    assert [r.pmcid for r in articles.rank_articles(df, terms, 2).orderBy("rank").collect()] == [500, 1]
+    assert [r.pmcid for r in articles.rank_articles(df, terms, 2, articles.REFERENCE_CAPS).orderBy("rank").collect()] == [1, 2]
+    one = terms.withColumn("anchors", F.array(F.lit("sodium")))
+    more = df.union(spark.createDataFrame([(600, "sodium channel", None, "sodium channel sodium", None, "A", 2020)], df.schema))
+    assert [r.pmcid for r in articles.rank_articles(more, one, 1).collect()] == [600]
+    assert [r.pmcid for r in articles.rank_articles(more, one, 1, articles.REFERENCE_CAPS).collect()] == [1]
+
+
 def test_merge_ranked(spark):
     a = spark.createDataFrame([(1, 10, 1), (1, 20, 2)], "qid int, pmcid int, rank int")
     b = spark.createDataFrame([(1, 20, 1), (1, 30, 2), (1, None, 3)], "qid int, pmcid int, rank int")
