@@ -3,8 +3,8 @@
 Weights come from one exponent.  With natural token shares ``q`` and target shares
 ``p`` the family ``w(x) ~ q * (p / q) ** x`` runs from the natural shares (x = 0)
 to the targets (x = 1); the largest x in [0, 1] is bisected at which no source needs
-more than ``max_repeats`` passes for the wanted total.  Without targets,
-``w(x) ~ q ** x`` is bisected to a wanted entropy.
+more than ``max_repeats`` passes for the wanted total.  For a wanted entropy
+``w(x) ~ q ** x`` is bisected to it in place of the target shares.
 
 A source's budget is realised as whole passes over its documents and a part of one
 more.  Every pass is its own permutation (a seeded hash), cut into buckets by the
@@ -62,12 +62,15 @@ def entropy_exponent(q: dict[str, float], entropy: float) -> float:
     return bisect(lambda x: h(x) >= entropy, 0.0, 1.0)
 
 
-def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None = None) -> tuple[dict[str, float], float, float]:
+def plan_mix(
+    tokens: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None = None, entropy: float | None = None
+) -> tuple[dict[str, float], float, float]:
     """Weights of the sources that have documents and a target, the total, and the exponent.
 
     Without ``total_tokens`` the total is the largest at which every such source
     reaches its target within its repeats.  A larger total than all sources can
-    give is lowered to what they can.
+    give is lowered to what they can.  With ``entropy`` (nats) the natural shares,
+    tempered to it, stand for the target shares.
     """
     here = {s: (p, r) for s, (p, r) in targets.items() if p > 0 and r > 0 and tokens.get(s, 0) > 0}
     if not here:
@@ -75,15 +78,18 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], tota
     p = _normal({s: v[0] for s, v in here.items()})
     q = _normal({s: float(tokens[s]) for s in here})
     most = {s: float(tokens[s]) * here[s][1] for s in here}
+    to_entropy = None if entropy is None else entropy_exponent(q, entropy)
+    if to_entropy is not None:
+        p = _normal({s: v**to_entropy for s, v in q.items()})
     total = min(most[s] / p[s] for s in here) if total_tokens is None else float(min(total_tokens, sum(most.values())))
 
     def fits(x: float) -> bool:
         w = tempered(q, p, x)
         return all(w[s] * total <= most[s] * (1 + 1e-12) for s in here)
 
-    x = bisect(fits, 0.0, 1.0)
-    w = tempered(q, p, x)
-    while any(w[s] * total > most[s] * (1 + 1e-9) for s in here):  # even natural shares ask too much: fill up to the limits
+    x = bisect(fits, 0.0, 1.0) if to_entropy is None else to_entropy
+    w = tempered(q, p, x) if to_entropy is None else p
+    while any(w[s] * total > most[s] * (1 + 1e-9) for s in here):  # natural shares, or those of the entropy, ask too much: fill up to the limits
         full = {s for s in here if w[s] * total >= most[s]}
         rest, room = {s: w[s] for s in here if s not in full}, total - sum(most[s] for s in full)
         if not rest:
@@ -94,7 +100,7 @@ def plan_mix(tokens: dict[str, int], targets: dict[str, tuple[float, int]], tota
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, block_tokens: int = 1_000_000, bucket_bits: int | None = None, seed: int = 17
+    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, entropy: float | None = None, block_tokens: int = 1_000_000, bucket_bits: int | None = None, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -102,7 +108,8 @@ def mix_sources(
     max_repeats`` (at most MAX_SOURCES rows).  The mix has ``doc_id, source, copy,
     n_tokens, block, order_key``: to read it in order, sort by block and order_key.
     Every block holds every source in proportion.  A source is met to within one
-    document.
+    document.  With ``entropy`` the shares have it (as far as repeats allow) and those
+    of ``targets`` only name the sources.
 
     Documents without tokens (null, empty) are not used; sources differ in case and
     blanks only by mistake and count as one; a null source and sources without a
@@ -122,7 +129,7 @@ def mix_sources(
     if bucket_bits is None:  # some 100,000 documents of the largest source to a bucket, 1024 buckets at least
         largest = max((r["docs"] for r in have.values()), default=0)
         bucket_bits = min(24, max(10, math.ceil(math.log2(max(1, largest) / 100_000 + 1))))
-    weights, total, exponent = plan_mix({s: r["tokens"] for s, r in have.items()}, goals, total_tokens)
+    weights, total, exponent = plan_mix({s: r["tokens"] for s, r in have.items()}, goals, total_tokens, entropy)
     rows = []
     for s, w in weights.items():
         full, left = divmod(w * total, have[s]["tokens"])

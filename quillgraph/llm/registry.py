@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.canonical import map_values
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
-from quillgraph.llm.mixing import mix_sources
+from quillgraph.llm.mixing import mix_sources, source_key
 from quillgraph.llm.names import link_names, variant_pairs
 from quillgraph.llm.residue import residue_documents, residue_windows
 from quillgraph.llm.tokens import encode_corpus, token_counts
@@ -64,9 +64,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, *, half: bool = False) -> tuple[DataFrame, DataFrame]:
     docs = cut(token_counts(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "text"), "token-counts")
-    return mix_sources(docs, table(spark, sf_dir, "mix_target"))
+    targets = table(spark, sf_dir, "mix_target")
+    if not half:
+        return mix_sources(docs, targets)
+    named = targets.where("target_share > 0 and max_repeats > 0").select(source_key(F.col("source")).alias("key"))
+    tokens = docs.join(named, source_key(docs["source"]) == named["key"], "left_semi").agg(F.sum("n_tokens")).first()[0]
+    return mix_sources(docs, targets, total_tokens=(tokens or 0) // 2)
 
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +84,18 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir)[1]
 
 
+def p7_half_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of half as many tokens as the targeted sources hold, more than small sources
+    can give their shares of: shares come as near to the wanted ones as one exponent and
+    the repeats allow."""
+    return _mixed(spark, sf_dir, half=True)[0]
+
+
+def p7_half_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted and reached share of each source in that mix."""
+    return _mixed(spark, sf_dir, half=True)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are, or hold, what a broken page, form or template left behind."""
     return residue_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
@@ -102,7 +119,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",

@@ -1,10 +1,12 @@
 """Mixing: weights, budgets, repeats."""
 
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph.llm import registry
 from quillgraph.llm.mixing import bisect, entropy_exponent, mix_sources, plan_mix
 
 DOCS = "doc_id bigint, source string, n_tokens bigint, weight double"
@@ -57,6 +59,25 @@ def test_entropy():
     assert bisect(lambda v: v <= 0.25, 0, 1) == pytest.approx(0.25)
 
 
+def test_mix_to_an_entropy(spark):
+    goals = spark.createDataFrame([("big", 0.1, 1), ("small", 0.9, 4)], GOALS)
+    mix, report = mix_sources(docs(spark), goals, entropy=0.5)
+    r = {x.source: x for x in report.collect()}
+    share = r["small"].actual_share
+    assert abs(-share * math.log(share) - (1 - share) * math.log(1 - share) - 0.5) < 0.01
+    assert 0 < r["small"].exponent < 1 and r["small"].most_copies <= 4 and r["big"].most_copies == 1
+    w, total, _ = plan_mix({"a": 100, "b": 900}, {"a": (0.5, 1), "b": (0.5, 1)}, 1000, entropy=10.0)
+    assert total == 1000 and math.isclose(w["a"], 0.1) and math.isclose(w["b"], 0.9)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables here")
+def test_half_mix_needs_an_exponent(spark):
+    r = registry.QUERIES["p7_half_report"](spark, "/root/testdata/sf0.001").collect()
+    assert all(0 < x.exponent < 1 for x in r) and all(x.tokens_used <= x.max_repeats * x.tokens for x in r)
+    least = registry.QUERIES["p7_report"](spark, "/root/testdata/sf0.001").collect()
+    assert sum(x.tokens_used for x in r) > sum(x.tokens_used for x in least)
+
+
 def test_empty(spark):
     goals = spark.createDataFrame([("big", 1.0, 1)], GOALS)
     mix, report = mix_sources(spark.createDataFrame([], DOCS), goals)
