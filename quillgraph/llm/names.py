@@ -200,6 +200,13 @@ def _read(spellings: DataFrame) -> DataFrame:
     return spellings.select("name").mapInArrow(run, schema)
 
 
+def partner_counts(rows: DataFrame, key: str, partner: str, n: str, *sums: str) -> DataFrame:
+    """``key``, the ``sums`` and, as ``n``, its exact number of distinct partners (null is
+    none): pairs are aggregated before keys, so no task holds the partners of a key."""
+    pairs = rows.groupBy(key, partner).agg(F.count("*").alias("__rows"), *[F.sum(c).alias(c) for c in sums])
+    return pairs.groupBy(key).agg(*[F.sum(c).alias(c) for c in sums], F.count(partner).alias(n))
+
+
 def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(named, near)``: which open word is the surname (of organisations: the rarest
     word is the name, the others say what kind of body it is), and all near pairs of
@@ -216,10 +223,7 @@ def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
         )
     )
-    stats = cut(
-        roles.groupBy("word").agg(F.sum("sur").alias("sur"), F.sum("giv").alias("giv"), F.approx_count_distinct("partner", 0.02).alias("partners")),
-        "words",
-    ).withColumn("givenness", F.log((F.col("giv") + 0.5) / (F.col("sur") + 0.5)) + F.log("partners"))
+    stats = cut(partner_counts(roles, "word", "partner", "partners", "sur", "giv"), "words").withColumn("givenness", F.log((F.col("giv") + 0.5) / (F.col("sur") + 0.5)) + F.log("partners"))
     # a rare word next to a common given name is that name mistyped
     near = cut(similar_keys(stats, "word"), "near")
     typed = (
@@ -264,7 +268,7 @@ def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _corrected(named: DataFrame, near: DataFrame) -> DataFrame:
     """Rare given names near a common one are that one, mistyped."""
-    vocabulary = cut(named.where("kind = 'person' and length(given) >= 4").groupBy("given").agg(F.approx_count_distinct("surname", 0.02).alias("n")), "given")
+    vocabulary = cut(partner_counts(named.where("kind = 'person' and length(given) >= 4"), "given", "surname", "n"), "given")
     both = near.select(F.col("key_a").alias("given"), F.col("key_b").alias("better"), "distance").unionByName(
         near.select(F.col("key_b").alias("given"), F.col("key_a").alias("better"), "distance")
     )

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from quillgraph.llm.name_forms import read_name
-from quillgraph.llm.names import banded_distance, components, edits_allowed, indexed_segments, link_names, probed_substrings, segments_of, similar_keys, variant_pairs
+from quillgraph.llm.names import banded_distance, components, edits_allowed, indexed_segments, link_names, partner_counts, probed_substrings, segments_of, similar_keys, variant_pairs
 
 LETTERS = "abc"
 
@@ -102,3 +102,9 @@ def test_pairs(spark, rows):
 
 def test_no_names(spark):
     assert link_names(spark.createDataFrame([], "name string")).count() == 0
+
+
+def test_partners_are_counted_exactly(spark):
+    df = spark.range(60_000).selectExpr("concat('w', id % 20) word", "if(id < 40, null, concat('p', id div 40)) partner", "id % 2 giv")
+    got = {r.word: (r.giv, r.n) for r in partner_counts(df, "word", "partner", "n", "giv").collect()}
+    assert got == {f"w{i}": (3000 * (i % 2), 1499) for i in range(20)}
