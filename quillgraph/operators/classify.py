@@ -110,32 +110,43 @@ def article_type(combined: Column) -> Column:
     return _by_keywords(T.normalize_label(combined), C.TYPES, "Original")
 
 
-def first_reading(title: Column, abstract: Column, body: Column, kinds: Column) -> Column:
-    """Struct ``type, ds, organism, axis`` by first keyword found."""
+#: Letters of a body that the reference reads: for the topic, organisms and axis of the
+#: first reading, and for topic and axis together and the type of the second.
+REFERENCE_CHARS = {"ds": 5000, "organism": 6000, "axis": 8000, "combined": 12000, "type": 5000}
+
+
+def _upto(body: Column, chars: dict[str, int] | None, part: str) -> Column:
+    return F.left(body, F.lit(chars[part])) if chars and part in chars else body
+
+
+def first_reading(title: Column, abstract: Column, body: Column, kinds: Column, chars: dict[str, int] | None = None) -> Column:
+    """Struct ``type, ds, organism, axis`` by first keyword found, in the whole body or in
+    its first ``chars`` (as REFERENCE_CHARS)."""
     e = T.text_or_empty
     join = lambda *cs: F.lower(F.concat_ws(" ", *cs))
     named = join(e(kinds), e(title), e(abstract))
     kind = F.when(named.contains("research-article") | named.contains("original"), "Original")
     for label, words in C.FIRST_TYPES:
         kind = kind.when(T.contains_any(named, words), label)
-    upto = lambda n: join(e(title), e(abstract), F.left(e(body), F.lit(n)))
-    ds = F.when(T.contains_any(upto(5000), C.TOPIC_TERMS), "Yes").otherwise("No")
-    found = F.filter(F.array(*[F.when(T.contains_any(upto(6000), w), F.lit(k)) for k, w in C.ORGANISMS.items()]), lambda x: x.isNotNull())
+    upto = lambda part: join(e(title), e(abstract), _upto(e(body), chars, part))
+    ds = F.when(T.contains_any(upto("ds"), C.TOPIC_TERMS), "Yes").otherwise("No")
+    found = F.filter(F.array(*[F.when(T.contains_any(upto("organism"), w), F.lit(k)) for k, w in C.ORGANISMS.items()]), lambda x: x.isNotNull())
     names = F.when(F.size(found) > 0, F.left(F.array_join(found, ", "), F.lit(200))).when(ds == "Yes", "Human").otherwise("Unknown")
-    ax = _by_keywords(upto(8000), C.AXES, "Comorbidities")["label"]
+    ax = _by_keywords(upto("axis"), C.AXES, "Comorbidities")["label"]
     return F.struct(kind.otherwise("Original").alias("type"), ds.alias("ds"), names.alias("organism"), F.when(ds == "Yes", ax).otherwise("Other").alias("axis"))
 
 
-def classify(df: DataFrame, sections: str = "sections", title: str = "title", abstract: str = "abstract", body: str = "body") -> DataFrame:
+def classify(df: DataFrame, sections: str = "sections", title: str = "title", abstract: str = "abstract", body: str = "body", chars: dict[str, int] | None = None) -> DataFrame:
     """``df`` with ``type, ds, organism, axis`` and what supports them.
 
-    Off topic, an organism needs a confidence of 0.90 and an axis of 0.85.
+    Off topic, an organism needs a confidence of 0.90 and an axis of 0.85.  Bodies are
+    read whole, or their first ``chars`` (as REFERENCE_CHARS).
     """
     t, a, b = (T.text_or_empty(F.col(c)) for c in (title, abstract, body))
-    combined = F.concat_ws("\n", t, a, F.left(b, F.lit(12000)))
+    combined = F.concat_ws("\n", t, a, _upto(b, chars, "combined"))
     s = F.col(sections)
     out = df.withColumn("_topic", topic(s, combined))
-    out = out.withColumn("_org", organism(s, F.col("_topic.ds"))).withColumn("_axis", axis(combined)).withColumn("_type", article_type(F.concat_ws("\n", t, a, F.left(b, F.lit(5000)))))
+    out = out.withColumn("_org", organism(s, F.col("_topic.ds"))).withColumn("_axis", axis(combined)).withColumn("_type", article_type(F.concat_ws("\n", t, a, _upto(b, chars, "type"))))
     on = F.col("_topic.ds") == "Yes"
     return out.select(
         *df.columns,

@@ -80,12 +80,12 @@ SECTION_SHAPE = "array<struct<label:string,text:string,weight:double>>"
 ARTICLE_SHAPE = f"title string, abstract string, journal string, authors array<string>, doi string, pmcid string, pmid string, year int, date date, kind string, subjects array<string>, sections {SECTION_SHAPE}, by_section map<string,string>, body string"
 
 
-def parse_articles(df: DataFrame, id_col: str, xml: str) -> DataFrame:
+def parse_articles(df: DataFrame, id_col: str, xml: str, most: int | None = None) -> DataFrame:
     """Article XML to columns: ``<id_col>, ok`` and ARTICLE_SHAPE.
 
     Sections nest, so this one operator parses in Python, in Arrow batches.  Document
     types are cut off first (nothing is fetched); broken or null XML gives ``ok`` =
-    false and nulls.
+    false and nulls.  Sections by role are whole, or of ``most`` letters.
     """
     ship(df.sparkSession)
     id_type = df.schema[id_col].dataType.simpleString()
@@ -101,7 +101,7 @@ def parse_articles(df: DataFrame, id_col: str, xml: str) -> DataFrame:
         from quillgraph.sources.jats import read_article
 
         for batch in batches:
-            rows = [read_article(x) for x in batch.column(1).to_pylist()]
+            rows = [read_article(x, most) for x in batch.column(1).to_pylist()]
             cols = [pa.array([r.get(f.name) for r in rows], f.type) for f in schema]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *schema.names])
 

@@ -293,6 +293,11 @@ def classify_legacy(spark: SparkSession, d: str) -> DataFrame:
     return a.select("row_id", classify.first_reading(F.col("title"), F.col("abstract"), F.lit(""), F.col("type")).alias("t")).select("row_id", "t.*")
 
 
+def classify_legacy_body(spark: SparkSession, d: str) -> DataFrame:
+    none = F.lit("")
+    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", classify.first_reading(none, none, F.col("text"), none).alias("t")).select("doc_id", "t.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -300,6 +305,6 @@ QUERIES = {
         json_triples_parse, triple_lines_parse, answer_sanitize, answer_sections, triples_normalized, qa_reasons, qa_priority_dedup, qa_section_counts, qa_reason_histogram, triples_append_delta, rejected_append_delta,
         kg_nodes, kg_predicates, kg_edges_encoded, kg_resolve_labels, kg_validate_triples, kg_refs_for_triples, kg_results_first_refs, kg_stats, kg_signature, kg_token_df, kg_token_idf, focus_terms, question_shape,
         kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, article_rank_whole, merge_ranked_ids, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
-        classify_type, classify_legacy,
+        classify_type, classify_legacy, classify_legacy_body,
     )
 }

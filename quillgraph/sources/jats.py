@@ -36,9 +36,10 @@ def weighted_sections(root: ET.Element) -> list[dict]:
     return [{"label": k, "text": t, "weight": C.SECTION_WEIGHTS.get(k, C.SECTION_WEIGHTS["default"])} for k, t in found if t]
 
 
-def sections_by_role(root: ET.Element) -> dict[str, str]:
+def sections_by_role(root: ET.Element, most: int | None = None) -> dict[str, str]:
     """Text under each role; inner sections take their parent's role unless their own
-    title has one.  A body without any role is all Discussion."""
+    title has one.  A body without any role is all Discussion.  Texts are whole, or of
+    ``most`` letters (the reference's is C.MAX_SECTION_CHARS)."""
     body = root.find(".//body")
     if body is None:
         return {}
@@ -48,15 +49,15 @@ def sections_by_role(root: ET.Element) -> dict[str, str]:
         sec, outer = open_.pop()
         role = C.SECTIONS.get(_heading(sec).lower(), outer)
         if role and (text := _text(sec)):
-            texts.setdefault(role, []).append(text[: C.MAX_SECTION_CHARS])
+            texts.setdefault(role, []).append(text[:most])
         open_ += [(inner, role) for inner in reversed(sec.findall("sec"))]
     if not texts:
-        whole = _text(body)[: C.MAX_SECTION_CHARS]
+        whole = _text(body)[:most]
         return {"Discussion": whole} if whole else {}
-    return {k: "\n\n".join(v)[: C.MAX_SECTION_CHARS] for k, v in texts.items()}
+    return {k: "\n\n".join(v)[:most] for k, v in texts.items()}
 
 
-def read_article(xml: str | None) -> dict:
+def read_article(xml: str | None, most: int | None = None) -> dict:
     """Columns of one article; ``{'ok': False}`` for what can't be parsed."""
     try:
         root = ET.fromstring(DOCTYPE.sub("", xml or "", count=1))
@@ -89,6 +90,6 @@ def read_article(xml: str | None) -> dict:
         "kind": art.get("article-type", ""),
         "subjects": [t for s in art.iter("subject") if (t := _text(s))],
         "sections": sections,
-        "by_section": list(sections_by_role(art).items()),
+        "by_section": list(sections_by_role(art, most).items()),
         "body": _text(art.find(".//body")),
     }

@@ -84,9 +84,9 @@ def archive_link(reply: Column, kind: str = "pdf") -> Column:
     return F.regexp_replace(F.regexp_extract(tag, r"(?i)\bhref\s*=\s*[\"']([^\"']*)[\"']", 1), "^ftp://", "https://")
 
 
-def chosen_sections(from_xml: Column, from_pdf: Column, least: int = 1000) -> Column:
+def chosen_sections(from_xml: Column, from_pdf: Column, least: int = 1000, most: int | None = None) -> Column:
     """Sections by role from XML if they hold ``least`` letters, else the PDF's text, all
-    of it as Discussion; an empty map without either."""
+    of it (or ``most`` letters) as Discussion; an empty map without either."""
     size = F.aggregate(F.map_values(from_xml), F.lit(0), lambda a, t: a + F.length(t))
-    pdf = F.when(F.coalesce(from_pdf, F.lit("")) != "", F.create_map(F.lit("Discussion"), F.left(from_pdf, F.lit(18000))))
+    pdf = F.when(F.coalesce(from_pdf, F.lit("")) != "", F.create_map(F.lit("Discussion"), from_pdf if most is None else F.left(from_pdf, F.lit(most))))
     return F.coalesce(F.when(size >= least, from_xml), pdf, F.expr("cast(map() as map<string,string>)"))

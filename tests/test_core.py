@@ -173,6 +173,24 @@ def test_classify(spark):
     assert tie == "Review"
 
 
+def test_classify_reads_whole_bodies(spark):
+    df = spark.createDataFrame([("x " * 9000 + "Dravet syndrome in a mouse with sudden death. Case report.",)], "body string").selectExpr("'A' title", "'' abstract", "body")
+    first = lambda chars: df.select(classify.first_reading(F.col("title"), F.col("abstract"), F.col("body"), F.lit(""), chars).alias("r")).select("r.*").first()
+    assert first(None).ds == "Yes" and "Mouse" in first(None).organism
+    assert first(classify.REFERENCE_CHARS).ds == "No"
+    df = df.withColumn("sections", ingest.plain_sections([("title", F.col("title")), ("default", F.col("body"))]))
+    assert classify.classify(df).first().type_read == "Case report"
+    assert classify.classify(df, chars=classify.REFERENCE_CHARS).first().type_read == "Original"
+
+
+def test_sections_are_whole():
+    from quillgraph.sources.jats import read_article
+
+    xml = f"<article><body><sec><title>Methods</title><p>{'m' * 20_000}</p></sec></body></article>"
+    assert len(dict(read_article(xml)["by_section"])["Methods"]) == 20_007
+    assert len(dict(read_article(xml, 18_000)["by_section"])["Methods"]) == 18_000
+
+
 def test_settings(spark):
     df = spark.createDataFrame(
         [("5000", "1", "weird", True, None, "09:00", " "), ("x", None, "scheduled", True, "", None, "UTC"), (None, "9999", "Scheduled", True, "07:00", "09:00", None)],
