@@ -155,9 +155,17 @@ def _scored(candidates: DataFrame, a: DataFrame, most: int) -> DataFrame:
     return s.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("qid", "pmcid", "score", "rank")
 
 
-def merge_ranked(lists: list[DataFrame], most: int = 15) -> DataFrame:
+def merge_ranked(lists: list[DataFrame], most: int = 15, fallback: DataFrame | None = None, fewest: int = 2) -> DataFrame:
     """``qid, pmcid, place``: ranked lists (``qid, pmcid, rank``) one behind the other, each
-    article at its first place, the first ``most``."""
+    article at its first place, the first ``most``.
+
+    The list ``fallback`` comes last, and only for questions to which the others give
+    fewer than ``fewest`` articles.
+    """
+    if fallback is not None:
+        lists = [cut(df.select("qid", "pmcid", F.col("rank").cast("int").alias("rank")), "ranked") for df in lists]
+        enough = merge_ranked(lists, fewest).groupBy("qid").agg(F.count("*").alias("n")).where(F.col("n") >= fewest)
+        lists = [*lists, fallback.join(enough.select("qid"), "qid", "left_anti")]
     all_ = None
     for i, df in enumerate(lists):
         one = df.select("qid", "pmcid", F.struct(F.lit(i).alias("source"), F.col("rank").cast("int").alias("rank")).alias("at"))

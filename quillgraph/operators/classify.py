@@ -136,8 +136,10 @@ def first_reading(title: Column, abstract: Column, body: Column, kinds: Column,
     return F.struct(kind.otherwise("Original").alias("type"), ds.alias("ds"), names.alias("organism"), F.when(ds == "Yes", ax).otherwise("Other").alias("axis"))
 
 
-def classify(df: DataFrame, sections: str = "sections", title: str = "title", abstract: str = "abstract", body: str = "body", chars: dict[str, int] | None = None) -> DataFrame:
-    """``df`` with ``type, ds, organism, axis`` and what supports them.
+def classify(df: DataFrame, sections: str = "sections", title: str = "title", abstract: str = "abstract", body: str = "body", chars: dict[str, int] | None = None, kinds: str | None = None) -> DataFrame:
+    """``df`` with ``type, ds, organism, axis`` as read (``_read``) and to be stored
+    (``_stored``: as read, or where that is empty by ``first_reading``, which also uses
+    the column ``kinds``), and what supports them.
 
     Off topic, an organism needs a confidence of 0.90 and an axis of 0.85.  Bodies are
     read whole, or their first ``chars`` (as REFERENCE_CHARS).
@@ -147,13 +149,18 @@ def classify(df: DataFrame, sections: str = "sections", title: str = "title", ab
     s = F.col(sections)
     out = df.withColumn("_topic", topic(s, combined))
     out = out.withColumn("_org", organism(s, F.col("_topic.ds"))).withColumn("_axis", axis(combined)).withColumn("_type", article_type(F.concat_ws("\n", t, a, _upto(b, chars, "type"))))
+    out = out.withColumn("_first", first_reading(t, a, b, F.lit("") if kinds is None else F.col(kinds), chars))
     on = F.col("_topic.ds") == "Yes"
+    read = {
+        "type": F.col("_type.label"),
+        "ds": F.col("_topic.ds"),
+        "organism": F.when(on | (F.col("_org.confidence") >= 0.90), F.col("_org.label")).otherwise(""),
+        "axis": F.when(on | (F.col("_axis.confidence") >= 0.85), F.col("_axis.label")).otherwise(""),
+    }
     return out.select(
         *df.columns,
-        F.col("_type.label").alias("type_read"),
-        F.col("_topic.ds").alias("ds_read"),
-        F.when(on | (F.col("_org.confidence") >= 0.90), F.col("_org.label")).otherwise("").alias("organism_read"),
-        F.when(on | (F.col("_axis.confidence") >= 0.85), F.col("_axis.label")).otherwise("").alias("axis_read"),
+        *[c.alias(f"{k}_read") for k, c in read.items()],
+        *[F.coalesce(F.nullif(c, F.lit("")), F.col(f"_first.{k}")).alias(f"{k}_stored") for k, c in read.items()],
         F.col("_topic.score").alias("topic_score"),
         F.col("_org.score").alias("organism_score"),
     )

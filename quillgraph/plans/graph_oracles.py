@@ -288,6 +288,9 @@ ORACLES = {
     "SELECT row_id, CASE WHEN contains(n2, 'research-article') OR contains(n2, 'original') THEN 'Original' " + " ".join(f"WHEN {D.any_of('n2', w)} THEN {D.q(k)}" for k, w in C.FIRST_TYPES) + " ELSE 'Original' END AS type, ds, "
     f"CASE WHEN len(f) > 0 THEN left(array_to_string(f, ', '), 200) WHEN ds = 'Yes' THEN 'Human' ELSE 'Unknown' END AS organism, CASE WHEN ds = 'Yes' THEN {_FIRST_AXIS} ELSE 'Other' END AS axis FROM d",
 }
+ORACLES["merge_ranked_fallback"] = ORACLES["merge_ranked_ids"].replace(
+    "SELECT qid, pmcid, 1, rank FROM kr", "SELECT qid, pmcid, 1, rank FROM kr WHERE qid NOT IN (SELECT qid FROM ranked GROUP BY qid HAVING count(DISTINCT pmcid) >= 2)"
+)
 ORACLES["classify_legacy_body"] = (
     ORACLES["classify_legacy"].replace(_N2, "'  '").replace(_N3, "'  ' || lower(coalesce(text, ''))").replace("FROM article)", "FROM documents)").replace("row_id", "doc_id")
 )

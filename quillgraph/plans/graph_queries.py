@@ -256,6 +256,11 @@ def merge_ranked_ids(spark: SparkSession, d: str) -> DataFrame:
     return articles.merge_ranked([_ranked(spark, d, articles.REFERENCE_CAPS), kg_pmcid_rank(spark, d)])
 
 
+def merge_ranked_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """As the reference merges: the graph's articles only where the others are fewer than two."""
+    return articles.merge_ranked([_ranked(spark, d, articles.REFERENCE_CAPS)], fallback=kg_pmcid_rank(spark, d))
+
+
 def reference_payload(spark: SparkSession, d: str) -> DataFrame:
     known = articles.current_articles(table(spark, d, "article", ["pmcid", "row_id", "pmid", "title", "first_author", "authors", "journal", "year"]))
     ranked = rejected(spark, d).select(F.col("row_id").alias("qid"), T.pmcid_number(F.col("PMCID")).alias("pmcid"), F.lit(1).alias("place")).where("pmcid is not null")
@@ -304,7 +309,7 @@ QUERIES = {
         text_normalize_label, text_split_camel, text_singularize, text_tokenize, text_article_tokens, text_ngrams, text_strip_markdown, label_camelize, predicate_normalize, section_normalize, section_label_weight, parse_id_list,
         json_triples_parse, triple_lines_parse, answer_sanitize, answer_sections, triples_normalized, qa_reasons, qa_priority_dedup, qa_section_counts, qa_reason_histogram, triples_append_delta, rejected_append_delta,
         kg_nodes, kg_predicates, kg_edges_encoded, kg_resolve_labels, kg_validate_triples, kg_refs_for_triples, kg_results_first_refs, kg_stats, kg_signature, kg_token_df, kg_token_idf, focus_terms, question_shape,
-        kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, article_rank_whole, merge_ranked_ids, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
+        kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, article_rank_whole, merge_ranked_ids, merge_ranked_fallback, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
         classify_type, classify_legacy, classify_legacy_body,
     )
 }

@@ -147,6 +147,14 @@ def test_merge_ranked(spark):
     assert articles.merge_ranked([a, b], 2).count() == 2
 
 
+def test_merge_ranked_fallback(spark):
+    shape = "qid int, pmcid int, rank int"
+    a = spark.createDataFrame([(1, 10, 1), (1, 20, 2), (2, 10, 1), (2, 10, 2), (4, None, 1), (4, 5, 2)], shape)
+    b = spark.createDataFrame([(q, 30, 1) for q in (1, 2, 3, 4)], shape)
+    got = sorted((r.qid, r.place, r.pmcid) for r in articles.merge_ranked([a], fallback=b).collect())
+    assert got == [(1, 1, 10), (1, 2, 20), (2, 1, 10), (2, 2, 30), (3, 1, 30), (4, 1, 5), (4, 2, 30)]
+
+
 def test_contains_join(spark):
     texts = spark.createDataFrame([(1, "the cat sat"), (2, "concatenate"), (3, None), (4, "")], "id int, text string")
     terms = spark.createDataFrame([(9, "cat"), (9, "dog"), (8, "cat sat"), (8, "ca")], "qid int, term string")
@@ -183,6 +191,13 @@ def test_classify_reads_whole_bodies(spark):
     assert classify.classify(df, chars=classify.REFERENCE_CHARS).first().type_read == "Original"
 
 
+def test_stored_values_fall_back(spark):
+    df = spark.createDataFrame([("Rat larvae", "", "")], "title string, abstract string, body string").withColumn("sections", F.expr("cast(array() as array<struct<label:string,text:string,weight:double>>)"))
+    r = classify.classify(df).first()
+    assert (r.organism_read, r.axis_read) == ("", "") and r.organism_stored == "Zebrafish, Rat" and r.axis_stored == "Other"
+    assert (r.type_stored, r.ds_stored) == (r.type_read, r.ds_read)
+
+
 def test_sections_are_whole():
     from quillgraph.sources.jats import read_article
 
