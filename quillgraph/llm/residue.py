@@ -34,6 +34,8 @@ SLOT = re.compile(
     re.I,
 )
 TAG = re.compile(r"</?[a-z!?][^<>\n]{0,80}>", re.I)
+BLOCK = re.compile(r"(?<!<)</?(?:p|br|hr|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)(?:\s[^<>]{0,80})?/?>(?!>)", re.I)
+LINES = re.compile(r"[\r\n\f\v\x85\u2028\u2029]+")
 FRAME = re.compile(r"\bat\s+[\w.$]+\([\w.]+(?::\d+)?\)|\b[\w.]+\(\)")
 TROUBLE = re.compile(r"\b(?:[\w]+\.)*[A-Za-z]+(?:Error|Exception)\b|\b(?:java\.lang\.)\w+", re.I)
 FILE = re.compile(r"(?:/[\w./]*)?\b\w+\.(?:js|py|php|java|go|html?)\b(?::\d+)*", re.I)
@@ -66,8 +68,8 @@ def tokens(text: str) -> list[str]:
 
 
 def windows(text: str) -> Iterator[list[str]]:
-    """Tokens of each passage window of a text."""
-    for line in re.split(r"[\r\n\f]+", text):
+    """Tokens of each passage window of a text; block tags and all line separators end a line."""
+    for line in LINES.split(BLOCK.sub("\n", text) if "<" in text else text):
         found = tokens(line)
         if found:
             size = -(-len(found) // -(-len(found) // WINDOW))  # even pieces: no short rest

@@ -80,6 +80,14 @@ def test_no_slots():
     assert "⟨slot⟩" not in tokens("5% of patients and 6% of controls paid $5 or $6 [1] {") 
 
 
+@pytest.mark.parametrize("gap", ["\u2028", "\u2029", "\x85", "\v", "<br>", "<BR />", "</p><p class='x'>", "</li><li>"])
+def test_other_line_breaks(spark, gap):
+    text = gap.join([" ".join(CONTENT[:6]), RESIDUE[0], " ".join(CONTENT[2:8])])
+    df = spark.createDataFrame([(1, text, "x"), (2, gap.join(CONTENT), "x"), (3, gap.join(MENTIONS), "x")], SHAPE)
+    assert [r.doc_id for r in residue_documents(df, "doc_id", "text").collect()] == [1]
+    assert [len(w) for w in windows(text)] == [len(w) for w in windows(text.replace(gap, "\n"))]
+
+
 def test_empty(spark):
     assert residue_documents(spark.createDataFrame([], SHAPE), "doc_id", "text").count() == 0
     assert 0 < COVERAGE < 1
