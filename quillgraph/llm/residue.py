@@ -1,12 +1,16 @@
 """Template residue, filler and error-page text: exemplars by inverted index, TF-IDF containment.
 
-A text is cut into passage windows (its lines, long lines in pieces of WINDOW
-tokens).  A window retrieves, through an inverted index over the tokens that carry
-meaning, the labelled exemplars it shares a token with; its containment is the
-TF-IDF share of its tokens that these exemplars hold.  Placeholders of any syntax,
-stack frames, exception names and status codes are one token each.  Document
-frequencies are counted over the whole corpus in the same pass, in two steps: per
-Arrow batch in Python, then by token.
+A text is cut into passage windows: its lines (long lines in pieces of about WINDOW
+tokens, at sentence ends), and within a line every run of sentences that each retrieve
+an exemplar.  A sentence retrieves labelled exemplars through an inverted index over
+the tokens that set them apart, and keeps the one it fits best: an exemplar is fit only
+if the sentence fills FILLED of its places, so common words scattered over many
+exemplars add up to nothing.  A window's containment is the TF-IDF share of its tokens
+that the exemplars of its sentences hold, each those of its own sentence only.
+
+Placeholders of any syntax, stack frames, exception names, files, status codes and
+quoted names are one token each.  Document frequencies are counted over the whole
+corpus in the same pass, in two steps: per Arrow batch in Python, then by token.
 """
 
 from __future__ import annotations
@@ -19,89 +23,258 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.residue_exemplars import EXEMPLARS, FUNCTION_WORDS
+from quillgraph.llm.residue_exemplars import ANYWHERE, EVERYDAY, EXEMPLARS, FIELD, FUNCTION_WORDS, NEGATION, PLAIN, THING
 from quillgraph.runtime import cut, frequency_join, need
 
 WINDOW = 64
 BATCH_ROWS = 200_000
+LISTS = {"@thing": THING, "@field": FIELD, "@neg": NEGATION}
+#: Share of an exemplar's places that a sentence must fill.
+FILLED = 0.7
 #: Share of a window's weight that exemplars must hold.
-COVERAGE = 0.58
-
-_NAME = r"[^\W\d_][\w .\-]{0,40}?"
-SLOT = re.compile(
-    rf"\$?\{{\{{[^{{}}\n]{{1,60}}\}}\}}|\$\{{[^{{}}\n]{{1,60}}\}}|<%=?[^%\n]{{1,60}}%>|\{{%[^%\n]{{1,60}}%\}}|\[\s*insert\s[^\]\n]{{1,60}}\]|\[[^\]\n]{{1,60}}\sto\s+be\s+added\s*\]"
-    rf"|<<\s*{_NAME}\s*>>|\[\[\s*{_NAME}\s*\]\]|&lt;\s*{_NAME}\s*&gt;|<your\s[^>\n]{{1,60}}>|«\s*{_NAME}\s*»|@@{_NAME}@@|__{_NAME}__|%{_NAME}%(?!\w)|\$[^\W\d_][\w .]{{0,40}}\$|\bxxxx\s+{_NAME}\s+xxxx\b|(?<![\w\\^}}]){{\s*{_NAME}\s*}}",
-    re.I,
-)
-TAG = re.compile(r"</?[a-z!?][^<>\n]{0,80}>", re.I)
-BLOCK = re.compile(r"(?<!<)</?(?:p|br|hr|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)(?:\s[^<>]{0,80})?/?>(?!>)", re.I)
-LINES = re.compile(r"[\r\n\f\v\x85\u2028\u2029]+")
-FRAME = re.compile(r"\bat\s+[\w.$]+\([\w.]+(?::\d+)?\)|\b[\w.]+\(\)")
-TROUBLE = re.compile(r"\b(?:[\w]+\.)*[A-Za-z]+(?:Error|Exception)\b|\b(?:java\.lang\.)\w+", re.I)
-FILE = re.compile(r"(?:/[\w./]*)?\b\w+\.(?:js|py|php|java|go|html?)\b(?::\d+)*", re.I)
-CODE = re.compile(r"\b(?:e|http )?[45]\d\d\b", re.I)
-#: What any of the patterns above needs: without it a text goes straight to its words.
-MARKED = re.compile(r"[{<\[&«@]|__|[%$][^\W\d_]|\w\(|[45]\d\d\b|[Ee][Rr][Rr][Oo][Rr]|[Ee][Xx][Cc][Ee][Pp][Tt]|\.[A-Za-z]|[Xx]{4}")
-WORD = re.compile(r"⟨\w+⟩|(?:n\.){2}|[぀-ヿ㐀-鿿豈-﫿]+|[^\W\d_぀-ヿ㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)?")
-CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
-
-
-def tokens(text: str) -> list[str]:
-    """Tokens of a passage; runs of CJK letters give pairs of neighbours."""
-    if MARKED.search(text):
-        text = SLOT.sub(" ⟨slot⟩ ", text)
-        text = TAG.sub(" ", text)
-        text = FRAME.sub(" ⟨frame⟩ ", text)
-        text = TROUBLE.sub(" ⟨trouble⟩ ", text)
-        text = FILE.sub(" ⟨file⟩ ", text)
-        text = CODE.sub(" ⟨code⟩ ", text)
-    found = WORD.findall(text.lower())
-    if text.isascii():
-        return [w for w in found if len(w) > 1]  # lone letters carry nothing
+COVERAGE = 0.62
+#: Weight of a place of function words against one of other words.
+FUNCTION_PLACE = 0.25
+#: So many words around a quote make it one, not a sentence of its own.
+OWN_WORDS = 3
+
+BLOCK = re.compile(r"(?<!<)</?(?:p|br|hr|div|li|ul|ol|h[1-6]|tr|table|section|article|blockquote)(?:\s[^<>]*)?/?>(?!>)", re.I)
+LINES = re.compile(r"[\r\n\f\v\x85  ]+")
+#: Ends of sentences; what stands between quotes belongs to the sentence around it.
+SENTENCES = re.compile(r"[“\"«][^“”\"«»\n]*[”\"»]|([.!?…]+(?=\s)|(?<!&lt)(?<!&gt);(?=\s)|[。！？]|\s[-–—]\s)")
+_NAME = r"[^\W\d_][\w .\-]*"
+_LETTERS = r"[^\W\d_]+(?:[ _.\-]+[^\W\d_]+)*"
+#: What one of these needs to be there, the pattern, and its mark; in this order, on lower-case text.
+MARKS = [
+    (needles, re.compile(pattern), mark)
+    for needles, pattern, mark in (
+        (("{",), r"\$?\{\{[^{}\n]+\}\}|\$\{[^{}\n]+\}|\{%[^%\n]+%\}|(?<![\w\\^}]){\s*" + _NAME + "}", " SLOT "),
+        (("<",), r"<%=?[^%\n]+%>|<<\s*" + _NAME + r">>|<(?:your|insert|enter)\s[^<>\n]+>", " SLOT "),
+        (("[",), r"\[\s*(?:insert|your|enter|add|type)\s[^\[\]\n]+\]|\[[^\[\]\n]+\sto\s+be\s+added\s*\]|\[\[\s*" + _NAME + r"\]\]", " SLOT "),
+        (("&lt;",), r"&lt;\s*" + _NAME + "&gt;", " SLOT "),
+        (("«",), r"«\s*" + _NAME + "»", " SLOT "),
+        (("@@",), f"@@{_NAME}@@", " SLOT "),
+        (("__",), r"__[^\W\d_](?:(?!__)[\w .\-])*__", " SLOT "),
+        (("#",), f"#{_LETTERS}#", " SLOT "),
+        (("%",), rf"%{_LETTERS}%(?!\w)", " SLOT "),
+        (("$",), rf"\${_LETTERS}\$", " SLOT "),
+        (("xxxx",), r"xxxx +[^\W\d_](?:(?! xxxx)[\w .\-])* +xxxx\b", " SLOT "),
+        (("<",), r"</?[a-z!?][^<>\n]*>", " "),
+        (("()", "at "), r"at\s+[\w.$]+\([\w.]+(?::\d+)?\)|(?<![\w.])[\w.]+\(\)", " FRAME "),
+        (("error", "exception", "java."), r"(?<![\w.])(?:\w+\.)*[a-z]+(?:error|exception)\b|\bjava\.lang\.\w+", " TROUBLE "),
+        ((".js", ".py", ".php", ".java", ".go", ".htm"), r"(?<![\w./])[\w./]*\b\w+\.(?:js|py|php|java|go|html?)\b(?::\d+)*", " FILE "),
+        (("4", "5"), r"[45]\d\d(?<![\d.,\-][45]\d\d)(?![\w%]|[.,]\d)", " CODE "),
+        (("\"", "'", "“", "‘", "`"), r"[\"'“‘`]\w[\w.]*[\"'”’`](?!\s*:)", " NAME "),
+    )
+]
+_CJK = "぀-ヿ㐀-鿿豈-﫿"
+WORD = re.compile(rf"(?:n\.){{2}}|[{_CJK}]+|[^\W\d_{_CJK}]+(?:['’][^\W\d_]+)?")
+ASCII_WORD = re.compile(r"(?:n\.){2}|[A-Za-z]{2,}(?:'[a-z]+)?|[a-z]'[a-z]+")
+CJK = re.compile(f"[{_CJK}]")
+
+
+def marked(text: str) -> str:
+    """A text in lower case, each placeholder, frame, exception, file, code and quoted
+    name replaced by its mark."""
+    text = text.lower()
+    for needles, pattern, mark in MARKS:
+        for n in needles:
+            if n in text:
+                text = pattern.sub(mark, text)
+                break
+    return text
+
+
+def words(passage: str) -> list[str]:
+    """Tokens of a marked passage; runs of CJK letters give pairs of neighbours; lone ASCII
+    letters carry nothing and are left out."""
+    if passage.isascii():
+        return ASCII_WORD.findall(passage)
     out: list[str] = []
-    for w in found:
-        if CJK.match(w):
-            out += [w[i : i + 2] for i in range(len(w) - 1)] or [w]
-        elif len(w) > 1 or not w.isascii():
+    for w in WORD.findall(passage):
+        if len(w) > 1:
+            if w[0] > "\u303f" and CJK.match(w):
+                out += [w[i : i + 2] for i in range(len(w) - 1)]
+            else:
+                out.append(w)
+        elif not w.isascii():
             out.append(w)
     return out
 
 
-def windows(text: str) -> Iterator[list[str]]:
-    """Tokens of each passage window of a text; block tags and all line separators end a line."""
-    for line in LINES.split(BLOCK.sub("\n", text) if "<" in text else text):
-        found = tokens(line)
-        if found:
-            size = -(-len(found) // -(-len(found) // WINDOW))  # even pieces: no short rest
-            for i in range(0, len(found), size):
-                yield found[i : i + size]
+def tokens(text: str) -> list[str]:
+    """Tokens of a text as it is written."""
+    return words(marked(text))
+
+
+def lines_ended(text: str) -> str:
+    """A text with a line break for each block tag."""
+    return BLOCK.sub("\n", text) if "<" in text else text
+
+
+def sentences(line: str) -> Iterator[tuple[list[str], list[str]]]:
+    """Of each sentence of a marked line its tokens, and those that are its own: without
+    what it quotes, if OWN_WORDS words that say something stand around the quotes."""
+    at = 0
+    quotes: list[tuple[int, int]] = []
+    for m in SENTENCES.finditer(line):
+        if m.group(1) is None:
+            quotes.append(m.span())
+        else:
+            yield from _sentence(line, at, m.end(), quotes)
+            at, quotes = m.end(), []
+    yield from _sentence(line, at, len(line), quotes)
+
+
+def _sentence(line: str, at: int, end: int, quotes: list[tuple[int, int]]) -> Iterator[tuple[list[str], list[str]]]:
+    found = words(line[at:end])
+    if not found:
+        return
+    if quotes:
+        around = line[at : quotes[0][0]] + " ".join(line[b:a] for (_, b), (a, _) in zip(quotes, [*quotes[1:], (end, end)]))
+        own = words(around)
+        if sum(1 for t in own if t not in FUNCTION_WORDS and not t.isupper()) >= OWN_WORDS:
+            yield found, [*own, *(t for t in words(" ".join(line[a:b] for a, b in quotes)) if t.isupper())]
+            return
+    yield found, found
+
+
+def pieces(found: Iterator[tuple[list[str], list[str]]]) -> Iterator[tuple[list[str], list[str]]]:
+    """Sentences, those above WINDOW tokens in even pieces."""
+    for s, own in found:
+        if len(s) <= WINDOW:
+            yield s, own
+        else:
+            size = -(-len(s) // -(-len(s) // WINDOW))
+            yield from ((s[i : i + size], s[i : i + size]) for i in range(0, len(s), size))
+
+
+class Exemplar:
+    """Places of one exemplar: ``required`` as (words, how many of them, weight), those
+    with the rarest words first."""
+
+    def __init__(self, kind: str, written: str):
+        self.kind = kind
+        self.words: set[str] = set(ANYWHERE) if kind != "filler" else set()
+        self.required: list[tuple[frozenset[str], int, float]] = []
+        for place in written.split():
+            least, star, rest = place.partition("*")
+            least, rest = (int(least), rest) if star else (1, place)
+            words = frozenset(w for p in rest.rstrip("?").split("|") for w in LISTS.get(p, p).split("|"))
+            self.words |= words
+            if not rest.endswith("?"):
+                self.required.append((words, least, FUNCTION_PLACE if words <= FUNCTION_WORDS else 1.0))
+        self.whole = sum(w for _, _, w in self.required)
+        self.slack = 0.0
+
+    def order(self, use: Counter, filled: float) -> None:
+        """Put the places that say most first, and note what weight may stay empty."""
+        self.required.sort(key=lambda r: (r[2] < 1, not FUNCTION_WORDS.isdisjoint(r[0]), not EVERYDAY.isdisjoint(r[0]), max(use[t] for t in r[0])))
+        self.slack = self.whole * (1 - filled) + 1e-9
+
+    def anchors(self) -> set[str]:
+        """Words of the first places: one of these is filled wherever enough places are."""
+        out: set[str] = set()
+        left = self.slack
+        for words, _, weight in self.required:
+            out |= words
+            left -= weight
+            if left < 0:
+                break
+        return out
+
+    def fits(self, found: Counter | set[str]) -> bool:
+        """Are enough places filled?  A set of tokens is taken to hold each often enough."""
+        left = self.slack
+        counted = isinstance(found, Counter)
+        for words, least, weight in self.required:
+            if words.isdisjoint(found) or (counted and least > 1 and sum(found[t] for t in words if t in found) < least):
+                left -= weight
+                if left < 0:
+                    return False
+        return True
 
 
 class Index:
-    """Inverted index from meaning tokens to exemplars."""
-
-    def __init__(self, exemplars: list[tuple[str, str]] = EXEMPLARS):
-        self.plain = [frozenset(tokens(t)) for label, t in exemplars if label == "plain"]
-        self.held = [frozenset(tokens(t)) for label, t in exemplars if label != "plain"]
-        self.posting: dict[str, list[int]] = {}
-        for i, held in enumerate(self.held):
-            for t in held if len(held) <= 2 else held - FUNCTION_WORDS:
-                self.posting.setdefault(t, []).append(i)
-
-    def covered(self, window: list[str]) -> set[str] | None:
-        """Tokens of a window that the exemplars it retrieves hold; None if it retrieves
-        none or a plain exemplar holds it whole."""
-        found: set[int] = set()
-        distinct = set(window)
-        for t in distinct:
-            found.update(self.posting.get(t, ()))
-        if not found or any(distinct <= p for p in self.plain):
-            return None
-        held: set[str] = set()
-        for i in found:
-            held |= self.held[i]
-        return held.intersection(window)
-
+    """Inverted index from the tokens that set exemplars apart to exemplars."""
+
+    def __init__(self, exemplars: list[tuple[str, str]] = EXEMPLARS, plain: list[str] = PLAIN, filled: float = FILLED):
+        self.plain = [frozenset(tokens(t)) for t in plain]
+        self.exemplars = [Exemplar(kind, t) for kind, t in exemplars]
+        use = Counter(t for e in self.exemplars for words, _, _ in e.required for t in words)
+        self.posting: dict[str, list[Exemplar]] = {}
+        for e in self.exemplars:
+            e.order(use, filled)
+            for t in e.anchors():
+                self.posting.setdefault(t, []).append(e)
+        self.anchors = frozenset(self.posting)
+
+    def retrieved(self, found: set[str]) -> tuple[list[Exemplar], list[str]]:
+        """Exemplars that a text with these tokens could hold, and the tokens that led to them."""
+        by: dict[Exemplar, list[str]] = {}
+        for t in self.anchors.intersection(found):
+            for e in self.posting[t]:
+                by.setdefault(e, []).append(t)
+        by = {e: led for e, led in by.items() if e.fits(found)}
+        return list(by), list({t for led in by.values() for t in led})
+
+    def fit(self, sentence: list[str], among: list[Exemplar]) -> Exemplar | None:
+        """The exemplar that holds most of a sentence, of those it fills enough of."""
+        held = Counter(sentence)
+        best, most = None, 0.0
+        for e in among:
+            if e.fits(held):
+                share = sum(FUNCTION_PLACE if t in FUNCTION_WORDS else 1.0 for t in held if t in e.words)
+                if share > most:
+                    best, most = e, share
+        return best
+
+    def passages(self, text: str, among: list[Exemplar], led: list[str]) -> Iterator[tuple[Counter, Counter]]:
+        """For each window of a marked text that retrieves an exemplar: its tokens, and those held."""
+        for line in LINES.split(text):
+            if not any(t in line for t in led):
+                continue
+            distinct = set(words(line))
+            here = [e for e in among if e.fits(distinct)]
+            if not here:
+                continue
+            window: list[tuple[list[str], Exemplar | None]] = []
+            size = 0
+            for s, own in pieces(sentences(line)):
+                if window and size + len(s) > WINDOW:
+                    yield from self._windows(window)
+                    window, size = [], 0
+                window.append((s, self.fit(own, here)))
+                size += len(s)
+            yield from self._windows(window)
+
+    def _windows(self, window: list[tuple[list[str], Exemplar | None]]) -> Iterator[tuple[Counter, Counter]]:
+        if not any(e for _, e in window):
+            return
+        distinct = {t for s, _ in window for t in s}
+        if not any(distinct <= p for p in self.plain):
+            yield _counted(window)
+        run: list[tuple[list[str], Exemplar | None]] = []
+        if len(window) > 1 and not all(e for _, e in window):
+            for s, e in [*window, ([], None)]:
+                if e:
+                    run.append((s, e))
+                elif run:
+                    if not any({t for s, _ in run for t in s} <= p for p in self.plain):
+                        yield _counted(run)
+                    run = []
+
+
+def _counted(window: list[tuple[list[str], Exemplar | None]]) -> tuple[Counter, Counter]:
+    """Tokens of a window and how many of each are held; function words, which say nothing
+    for or against, only where there are no others."""
+    every, held = Counter(), Counter()
+    for s, e in window:
+        every.update(s)
+        if e:
+            held.update(t for t in s if t in e.words)
+    telling = Counter({t: n for t, n in every.items() if t not in FUNCTION_WORDS})
+    return telling or every, held
 
 _INDEX: list[Index] = []
 
@@ -119,11 +292,11 @@ def _passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One pass over the texts: ``id, window, token, n, held``.
 
     For windows that retrieve an exemplar their distinct tokens, how often each stands
-    there and whether an exemplar holds it; and, as window COUNTED without an id, in how
-    many texts of an Arrow batch each token stands.
+    there and how often its sentence's exemplar holds it; and, as window COUNTED without
+    an id, in how many texts of an Arrow batch each token stands.
     """
     id_type = df.schema[id_col].dataType.simpleString()
-    types = [pa.int32(), pa.string(), pa.int64(), pa.bool_()]
+    types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
     names = ["id", "window", "token", "n", "held"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,25 +315,24 @@ def _passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 return out
 
             for i, text in enumerate(batch.column(1)):
-                s = text.as_py()
-                here: set[str] = set()
-                for k, w in enumerate(windows(s) if s else ()):
-                    here.update(w)
-                    if covered := index.covered(w):
-                        for t, n in Counter(w).items():
-                            row.append(i)
-                            for c, v in zip(cols, (k, t, n, t in covered)):
-                                c.append(v)
+                s = marked(lines_ended(text.as_py()))
+                here = set(words(s))
+                seen.update(here)
+                among, led = index.retrieved(here)
+                for k, (every, held) in enumerate(index.passages(s, among, led) if among else ()):
+                    for t, n in every.items():
+                        row.append(i)
+                        for c, v in zip(cols, (k, t, n, held[t])):
+                            c.append(v)
                     if len(row) > BATCH_ROWS:  # long texts: pass on what there is
                         yield made()
-                seen.update(here)
             yield made()
             none = pa.nulls(len(seen), batch.column(0).type)
-            counted = [pa.array([COUNTED] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.bool_())]
+            counted = [pa.array([COUNTED] * len(seen), pa.int32()), pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(len(seen), pa.int64())]
             yield pa.RecordBatch.from_arrays([none, *counted], names=names)
 
     out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
-    return out.mapInArrow(find, f"id {id_type}, window int, token string, n bigint, held boolean")
+    return out.mapInArrow(find, f"id {id_type}, window int, token string, n bigint, held bigint")
 
 
 def _frequencies(passages: DataFrame) -> DataFrame:
@@ -180,10 +352,10 @@ def residue_windows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     n = F.lit(max(1, df.count()))
     candidates = passages.where(F.col("window") != COUNTED).withColumnRenamed("n", "tf")
     weighed = frequency_join(candidates, frequencies, "token", "df")
-    weight = F.col("tf") * (F.log((n + 1) / (F.col("df") + 1)) + 0.1)
+    idf = F.log((n + 1) / (F.col("df") + 1)) + 0.1
     return (
         weighed.groupBy("id", "window")
-        .agg(F.sum(weight).alias("weight"), F.sum(F.when(F.col("held"), weight).otherwise(0.0)).alias("held_weight"))
+        .agg(F.sum(F.col("tf") * idf).alias("weight"), F.sum(F.col("held") * idf).alias("held_weight"))
         .select("id", "window", (F.col("held_weight") / F.col("weight")).alias("containment"), "weight")
     )
 

@@ -1,12 +1,14 @@
 """Residue: held-out lines of either kind, windows, the Spark plan against plain Python."""
 
 import math
+import time
 from collections import Counter
 
 import pytest
+import residue_lines as L
 from pyspark.sql import functions as F
 
-from quillgraph.llm.residue import COVERAGE, WINDOW, Index, document_frequencies, residue_documents, residue_windows, tokens, windows, without_residue
+from quillgraph.llm.residue import COVERAGE, WINDOW, Index, document_frequencies, lines_ended, marked, pieces, residue_documents, residue_windows, sentences, tokens, without_residue, words
 
 CONTENT = [
     "Seizure frequency fell in most children after the dose was raised.", "Parents kept a diary for twelve weeks and sleep improved.", "Two raters scored video recordings independently of the clinic visit.", "Recordings from neurons showed a sustained increase of firing.",
@@ -48,36 +50,81 @@ def test_rest_keeps_all_columns(corpus):
     assert rest.where("doc_id between 1000 and 2999").count() == 0 and rest.where("doc_id >= 3000").count() == corpus.where("doc_id >= 3000").count() - 1
 
 
+def passages(index, text):
+    s = marked(lines_ended(text))
+    return list(index.passages(s, *index.retrieved(set(words(s)))))
+
+
+def containments(freq, n, index, text):
+    out = []
+    for every, held in passages(index, text):
+        weight = {t: k * (math.log((n + 1) / (freq[t] + 1)) + 0.1) for t, k in every.items()}
+        out.append(sum(weight[t] * held[t] / every[t] for t in weight) / sum(weight.values()))
+    return out
+
+
 def test_against_plain_python(corpus):
-    rows = corpus.where("text is not null and doc_id < 5000").select("doc_id", "text").distinct().collect()
     df = corpus.where("text is not null and doc_id < 5000").select("doc_id", "text").distinct()
-    freq = Counter(t for r in rows for t in {t for w in windows(r.text) for t in w})
+    rows = df.collect()
+    freq = Counter(t for r in rows for t in set(tokens(lines_ended(r.text))))
     assert {r.token: r.df for r in document_frequencies(df, "text").collect()} == dict(freq)
-    index, want = Index(), {}
-    for r in rows:
-        for k, w in enumerate(windows(r.text)):
-            held = index.covered(w)
-            if held:
-                weight = {t: n * (math.log((len(rows) + 1) / (freq[t] + 1)) + 0.1) for t, n in Counter(w).items()}
-                want[r.doc_id, k] = sum(v for t, v in weight.items() if t in held) / sum(weight.values())
+    index = Index()
+    want = {(r.doc_id, k): c for r in rows for k, c in enumerate(containments(freq, len(rows), index, r.text))}
     got = {(r.id, r.window): r.containment for r in residue_windows(df, "doc_id", "text").collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
 
+def test_retrieval_loses_no_exemplar():
+    """Every exemplar that a sentence fits is retrieved through the index."""
+    index = Index()
+    lines = [x for part in (L.DEV, L.DEV_2, L.DEV_3, L.HELD_OUT) for f in part.values() for x in f] + MENTIONS + CONTENT + RESIDUE
+    for line in lines:
+        found = Counter(tokens(line))
+        assert {id(e) for e in index.retrieved(set(found))[0]} >= {id(e) for e in index.exemplars if e.fits(found)}
+
+
+@pytest.mark.parametrize("part, recall", [("DEV", 0.95), ("DEV_2", 0.95), ("DEV_3", 0.93), ("HELD_OUT", 0.79)])
+def test_labelled_lines(spark, part, recall):
+    """Recall and precision on lines split by family; HELD_OUT had no part in the exemplars."""
+    docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    freq = Counter(t for text in docs for t in set(tokens(lines_ended(text))))
+    index = Index()
+    found = lambda line: max(containments(freq, len(docs), index, line), default=0.0) >= COVERAGE
+    lines = [x for f in getattr(L, part).values() for x in f]
+    hits, wrong = sum(map(found, lines)), sum(map(found, getattr(L, f"{part}_PLAIN")))
+    assert hits / len(lines) >= recall and hits / (hits + wrong) >= 0.95
+
+
+def test_words_scattered_over_exemplars_add_up_to_nothing(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(L.DEV_PLAIN[:3])], SHAPE)
+    assert residue_documents(df.unionByName(spark.createDataFrame([(9, RESIDUE[0], "x")], SHAPE)), "doc_id", "text").collect()[0].doc_id == 9
+
+
 def test_windows_cover_everything():
-    text = "\n".join(["word" * 1] * 3 + [" ".join("w" + "abcdefghij"[i % 10] * (1 + i % 7) for i in range(301))])
-    cut = list(windows(text))
-    assert sum(map(len, cut)) == len(tokens(text)) and max(map(len, cut)) <= WINDOW
-    assert min(len(w) for w in cut[3:]) > WINDOW // 2
+    line = " ".join("w" + "abcdefghij"[i % 10] * (1 + i % 7) for i in range(301))
+    cut = [s for s, _ in pieces(sentences(line))]
+    assert sum(map(len, cut)) == len(tokens(line)) and max(map(len, cut)) <= WINDOW and min(map(len, cut)) > WINDOW // 2
+
+
+@pytest.mark.parametrize("text", ["{a" + " " * 50_000, "« a" + " " * 50_000, "[" * 50_000, "<" * 50_000, "__" * 50_000, "a." * 50_000 + "error", "/a" * 50_000 + ".js ", "a" * 50_000 + " ()", "%a" * 50_000, "xxxx a" + " " * 50_000, '"' * 50_000, "at " * 50_000])
+def test_long_runs_take_linear_time(text):
+    began = time.perf_counter()
+    passages(Index(), text)
+    assert time.perf_counter() - began < 5
+
+
+def test_residue_within_a_long_line(spark):
+    df = spark.createDataFrame([(1, " ".join([*CONTENT, RESIDUE[0], *CONTENT]), "x"), (2, " ".join(CONTENT * 3), "x"), (3, " ".join([*CONTENT, f'The page said "{RESIDUE[0]}" to most families.', *CONTENT]), "x")], SHAPE)
+    assert [r.doc_id for r in residue_documents(df, "doc_id", "text").collect()] == [1]
 
 
-@pytest.mark.parametrize("slot", ["{{x}}", "${x}", "<%= x %>", "{% block x %}", "[INSERT x HERE]", "[x to be added]", "<<x>>", "[[x]]", "&lt;x&gt;", "<your x>", "«x»", "@@x@@", "__NAME__", "%NAME%", "$name$", "XXXX name XXXX", "{name}"])
+@pytest.mark.parametrize("slot", ["{{x}}", "${x}", "<%= x %>", "{% block x %}", "[INSERT x HERE]", "[x to be added]", "<<x>>", "[[x]]", "&lt;x&gt;", "<your x>", "«x»", "@@x@@", "__NAME__", "%NAME%", "$name$", "XXXX name XXXX", "{name}", "#NAME#", "[Your name]", "{{" + "x" * 200 + "}}"])
 def test_slots(slot):
-    assert tokens(f"Title: {slot}") == ["title", "⟨slot⟩"]
+    assert tokens(f"Title: {slot}") == ["title", "SLOT"]
 
 
 def test_no_slots():
-    assert "⟨slot⟩" not in tokens("5% of patients and 6% of controls paid $5 or $6 [1] {") 
+    assert "SLOT" not in tokens("5% of patients and 6% of controls paid $5 or $6 [1] {") 
 
 
 @pytest.mark.parametrize("gap", ["\u2028", "\u2029", "\x85", "\v", "<br>", "<BR />", "</p><p class='x'>", "</li><li>"])
@@ -85,7 +132,7 @@ def test_other_line_breaks(spark, gap):
     text = gap.join([" ".join(CONTENT[:6]), RESIDUE[0], " ".join(CONTENT[2:8])])
     df = spark.createDataFrame([(1, text, "x"), (2, gap.join(CONTENT), "x"), (3, gap.join(MENTIONS), "x")], SHAPE)
     assert [r.doc_id for r in residue_documents(df, "doc_id", "text").collect()] == [1]
-    assert [len(w) for w in windows(text)] == [len(w) for w in windows(text.replace(gap, "\n"))]
+    assert passages(Index(), text) == passages(Index(), text.replace(gap, "\n"))
 
 
 def test_empty(spark):
