@@ -2,16 +2,17 @@
 
 1. Each distinct spelling is read once (``name_forms``): surname, given name,
    initials, short form.  Where order is open ("Ada Byron", "Byron Ada"), the
-   corpus decides: which word is written as a surname or as a given name where the
-   form leaves no doubt, and how many different partners it has.
-2. Rare words are corrected, and near surnames found, by one operator,
-   ``similar_keys``: every key is cut into k + 1 segments, one of which must survive
-   k edits unharmed; the segments are an inverted index that is probed with the
-   substrings of the other keys at positions shifted by at most what k edits allow;
-   what meets is verified by banded edit distance.
-3. Short forms, nicknames and initials join the one full name of their surname they
+   corpus decides: which word, with its near spellings, is written as a surname or as a
+   given name where the form leaves no doubt, and how many different partners it has.
+2. Near words are found by one operator, ``similar_keys``: every key is cut into k + 1
+   segments, one of which must survive k edits unharmed; the segments are an inverted
+   index that is probed with the substrings of the other keys at positions shifted by at
+   most what k edits allow; what meets is verified by banded edit distance.
+3. Near given names of one surname are one, however often each is written; only names
+   that differ in a last vowel ("Maria", "Mario") need one to be a rare slip of the other.
+   Short forms, nicknames and initials join the one full name of their surname they
    agree with; where two could be meant they join none.  Names under near surnames
-   with the same given name are linked, links are closed by components.
+   with the same or a near given name are linked, links are closed by components.
 
 All work is on distinct keys: a name that fills a third of all rows is one row here.
 """
@@ -94,17 +95,22 @@ def probed_substrings(key: str, size: int, k: int) -> set[tuple[int, str]]:
     return out
 
 
-def similar_keys(keys: DataFrame, key: str = "key", keys_per_salt: int = 5_000_000) -> DataFrame:
+#: Probes of one segment that one task meets with its index at most, unless there are
+#: more than HOT_SEGMENTS such segments; then the commonest so many.
+PROBES, HOT_SEGMENTS = 20_000, 100_000
+
+
+def similar_keys(keys: DataFrame, key: str = "key", probes: int = PROBES) -> DataFrame:
     """All pairs of near keys: ``key_a, key_b, distance`` with key_a < key_b.
 
     ``keys`` are distinct strings.  Exact: two keys within the edits their shorter one
     allows share an unharmed segment.  Keys too short for an edit have no partner.
-    Common segments are spread over salts as the number of keys grows.
+    A segment that many keys probe is split: its probes into pieces of about ``probes``,
+    its index repeated for each piece.
     """
     spark = keys.sparkSession
     width = shuffle_width(spark)
     one = cut(keys.select(F.col(key).alias("key")).repartition(width), "keys")
-    salts = 1 + one.count() // keys_per_salt
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +128,13 @@ def similar_keys(keys: DataFrame, key: str = "key", keys_per_salt: int = 5_000_0
             yield _batch(rows, ["size", "no", "piece", "probing"])
 
     shape = "size int, no int, piece string, {} string"
-    at = ["size", "no", "piece", "salt"]
-    left = one.mapInArrow(probe, shape.format("probing")).withColumn("salt", F.pmod(F.xxhash64("probing"), F.lit(salts)))
-    right = one.mapInArrow(index, shape.format("indexed")).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    place = ["size", "no", "piece"]
+    at = [*place, "salt"]
+    left, right = one.mapInArrow(probe, shape.format("probing")), one.mapInArrow(index, shape.format("indexed"))
+    counts = cut(left.groupBy(*place).agg(F.count("*").alias("n")).where(F.col("n") > probes).select(*place, F.ceil(F.col("n") / probes).alias("salts")), "segments")
+    hot = F.broadcast(counts.orderBy(F.col("salts").desc()).limit(HOT_SEGMENTS))
+    left = left.join(hot, place, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("probing"), F.col("salts")), F.lit(0).cast("bigint"))).drop("salts")
+    right = right.join(hot, place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts"), F.lit(1).cast("bigint")) - 1))).drop("salts")
     allowed = F.when(F.col("size") < 5, 0).when(F.col("size") < 8, 1).otherwise(2)
     # a swap is two edits to the JVM's distance: twice the edits are a bound, checked exactly after
     met = (
@@ -223,26 +233,28 @@ def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
             )
         )
     )
-    stats = cut(partner_counts(roles, "word", "partner", "partners", "sur", "giv"), "words").withColumn("givenness", F.log((F.col("giv") + 0.5) / (F.col("sur") + 0.5)) + F.log("partners"))
-    # a rare word next to a common given name is that name mistyped
-    near = cut(similar_keys(stats, "word"), "near")
-    typed = (
-        near.select(F.col("key_a").alias("word"), F.col("key_b").alias("like"))
-        .unionByName(near.select(F.col("key_b").alias("word"), F.col("key_a").alias("like")))
-        .join(stats.select(F.col("word").alias("like"), F.col("partners").alias("m"), F.col("givenness").alias("of_like")), "like")
-        .join(stats.select("word", "partners"), "word")
-        .where("m >= 8 and m >= 4 * partners and of_like > 0")
+    stats = cut(partner_counts(roles, "word", "partner", "partners", "sur", "giv"), "words")
+    known = sorted({*NICKNAMES, *(w for v in NICKNAMES.values() for w in v.split())})
+    known = forms.sparkSession.createDataFrame([(w, 0, 1, 0) for w in known], "word string, sur bigint, giv bigint, partners bigint")
+    near = cut(similar_keys(stats.select("word").unionByName(known.select("word")).distinct(), "word"), "near")
+    seen = stats.select("word", "sur", "giv", "partners").unionByName(known)
+    # a word is read as its near spellings are: a mistyped given name among given names
+    around = both_ways(near).select(F.col("a").alias("word"), F.col("b").alias("like")).join(seen.withColumnRenamed("word", "like"), "like")
+    stats = (
+        seen.unionByName(around.select(*seen.columns))
         .groupBy("word")
-        .agg(F.max("of_like").alias("of_like"))
+        .agg(*[F.sum(c).alias(c) for c in ("sur", "giv", "partners")])
+        .join(stats.select("word", F.col("partners").alias("own")), "word")
+        .select("word", F.col("own").alias("partners"), (F.log((F.col("giv") + 0.5) / (F.col("sur") + 0.5)) + F.log("partners")).alias("givenness"))
     )
-    stats = cut(stats.join(typed, "word", "left").withColumn("givenness", F.greatest("givenness", "of_like")).drop("of_like"), "roles")
+    stats = cut(stats, "roles")
     # words for kinds of bodies are no body's own name, however rare here
     common = F.when(F.col("word").isin(*sorted(BODY_WORDS)), 1e12).otherwise(0.0)
     placed = (
-        open_.select("name", "kind", "initials", "short", "nick", F.posexplode("words").alias("at", "word"))
+        open_.select("name", "kind", "initials", "short", "nick", F.explode("words").alias("word"))
         .join(stats.select("word", "givenness", "partners"), "word")
         .groupBy("name", "kind", "initials", "short", "nick")
-        .agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "person", F.col("givenness")).otherwise(F.col("partners") + common).alias("score"), "at", "word"))).alias("w"))
+        .agg(F.sort_array(F.collect_list(F.struct(F.when(F.col("kind") == "person", F.col("givenness")).otherwise(F.col("partners") + common).alias("score"), "word"))).alias("w"))
     )
     # lowest score: the surname, or an organisation's own name; highest: the given name
     person = placed.where("kind = 'person'").select(
@@ -258,7 +270,7 @@ def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
         "name",
         "kind",
         F.col("w")[0]["word"].alias("surname"),
-        F.array_join(F.array_sort(F.transform(F.slice("w", 2, 64), lambda x: x["word"])), " ").alias("given"),
+        F.array_join(F.array_sort(F.transform(F.expr("slice(w, 2, size(w))"), lambda x: x["word"])), " ").alias("given"),
         "initials",
         "short",
         "nick",
@@ -266,21 +278,48 @@ def _oriented(forms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return sure.drop("words").unionByName(person).unionByName(body), near
 
 
-def _corrected(named: DataFrame, near: DataFrame) -> DataFrame:
-    """Rare given names near a common one are that one, mistyped."""
-    vocabulary = cut(partner_counts(named.where("kind = 'person' and length(given) >= 4"), "given", "surname", "n"), "given")
-    both = near.select(F.col("key_a").alias("given"), F.col("key_b").alias("better"), "distance").unionByName(
-        near.select(F.col("key_b").alias("given"), F.col("key_a").alias("better"), "distance")
+def both_ways(near: DataFrame) -> DataFrame:
+    """``a, b`` of near pairs, each way."""
+    return near.select(F.col("key_a").alias("a"), F.col("key_b").alias("b")).unionByName(near.select(F.col("key_b").alias("a"), F.col("key_a").alias("b")))
+
+
+def _agreeing(named: DataFrame, near: DataFrame) -> DataFrame:
+    """``a, b``: near given names that can be one, each way.
+
+    All near pairs, but those that differ in a last vowel only ("Maria", "Mario",
+    "Martin", "Martina"): these are two names, unless one is written with so many more
+    surnames that the other is a slip.
+    """
+    bare = lambda c: F.regexp_replace(c, "[aeiouy]$", "")
+    n = partner_counts(named.where("kind = 'person' and given <> ''"), "given", "surname", "n")
+    pairs = both_ways(near)
+    endings = pairs.where(bare(F.col("a")) == bare(F.col("b")))
+    slips = (
+        endings.join(n.select(F.col("given").alias("a"), "n"), "a")
+        .join(n.select(F.col("given").alias("b"), F.col("n").alias("m")), "b")
+        .where("m >= 4 * n or n >= 4 * m")
+        .select("a", "b")
     )
-    best = (
-        both.join(vocabulary, "given")
-        .join(vocabulary.select(F.col("given").alias("better"), F.col("n").alias("m")), "better")
-        .where("m >= 4 * n")
-        .groupBy("given")
-        .agg(F.min(F.struct("distance", -F.col("m"), "better")).alias("b"))
-        .select("given", F.col("b.better").alias("better"))
+    return pairs.where(bare(F.col("a")) != bare(F.col("b"))).unionByName(slips)
+
+
+def _corrected(named: DataFrame, agree: DataFrame) -> DataFrame:
+    """Given names of one surname that can be one are written as the commonest of them,
+    whatever the size of the corpus."""
+    people = named.where("kind = 'person' and length(given) >= 5").select("surname", "given").distinct()
+    key = lambda s, g: F.concat_ws("|", s, g)
+    edges = (
+        people.join(agree.select(F.col("a").alias("given"), F.col("b").alias("other")), "given")
+        .where(F.col("given") < F.col("other"))
+        .join(people.select("surname", F.col("given").alias("other")), ["surname", "other"])
+        .select(key("surname", "given").alias("a"), key("surname", "other").alias("b"))
     )
-    return named.join(best, "given", "left").withColumn("given", F.coalesce("better", "given")).drop("better")
+    groups = components(edges, "given")
+    n = partner_counts(named.where("kind = 'person' and given <> ''"), "given", "surname", "n")
+    member = groups.withColumn("surname", F.substring_index("node", "|", 1)).withColumn("given", F.substring_index("node", "|", -1)).join(n, "given")
+    best = member.groupBy("root").agg(F.max(F.struct("n", F.col("given").alias("better"))).alias("b")).select("root", "b.better")
+    better = member.join(best, "root").select("surname", "given", "better", F.lit("person").alias("kind"))
+    return named.join(better, ["kind", "surname", "given"], "left").withColumn("given", F.coalesce("better", "given")).drop("better")
 
 
 def link_names(spellings: DataFrame) -> DataFrame:
@@ -293,7 +332,9 @@ def link_names(spellings: DataFrame) -> DataFrame:
     names = spellings.where("name is not null and name <> ''").select("name").distinct()
     forms = cut(_read(names), "forms")
     oriented, near = _oriented(forms)
-    named = cut(_corrected(oriented, near).where("surname <> ''"), "named")
+    oriented = cut(oriented.where("surname <> ''"), "oriented")
+    one_name = cut(_agreeing(oriented, near), "agreeing")
+    named = cut(_corrected(oriented, one_name), "named")
     nick = spellings.sparkSession.createDataFrame([(k, v.split()) for k, v in NICKNAMES.items()], "nick string, alternatives array<string>")
 
     # nicknames: the full name of this surname they can stand for, else the commonest
@@ -303,9 +344,11 @@ def link_names(spellings: DataFrame) -> DataFrame:
         .distinct()
         .join(F.broadcast(nick), "nick")
     )
+    stands_for = by_nick.select("surname", "nick", F.explode("alternatives").alias("given"))
+    like = stands_for.join(one_name.select(F.col("a").alias("given"), "b"), "given").select("surname", "nick", F.col("b").alias("given"))
     meant = (
-        by_nick.join(full.where("kind = 'person'"), "surname")
-        .where("array_contains(alternatives, given)")
+        stands_for.unionByName(like)
+        .join(full.where("kind = 'person'"), ["surname", "given"])
         .groupBy("surname", "nick")
         .agg(F.min("given").alias("one"), F.max("given").alias("other"))
         .where("one = other")
@@ -368,11 +411,19 @@ def link_names(spellings: DataFrame) -> DataFrame:
 
     # near surnames
     nodes = members.select("node", "kind", "surname", "first").distinct()
-    pairs = near.select(F.col("key_a").alias("surname"), F.col("key_b").alias("other")).unionByName(near.select(F.col("key_b").alias("surname"), F.col("key_a").alias("other")))
-    keyed = nodes.withColumn("rest", F.expr("substring(node, length(kind) + length(surname) + 3)"))
+    pairs = both_ways(near).select(F.col("a").alias("surname"), F.col("b").alias("other"))
+    keyed = cut(nodes.withColumn("rest", F.expr("substring(node, length(kind) + length(surname) + 3)")), "nodes")
     others = keyed.select(F.col("surname").alias("other"), "kind", "first", F.col("rest").alias("other_rest"), F.col("node").alias("other_node"))
     met = keyed.join(pairs, "surname").join(others, ["other", "kind", "first"])
-    same = met.where("rest = other_rest and not startswith(rest, '~') and node < other_node").select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+    full = keyed.where("not startswith(rest, '~')").withColumn("given", F.substring_index("rest", "|", 1)).withColumn("more", F.expr("substring(rest, length(given) + 1)"))
+    full = full.select("node", "kind", "surname", "given", "more")
+    turned = full.join(pairs, "surname")
+    # the same given name, or one that can be it, as the partner's
+    said = turned.select("node", "kind", "other", "given", "more").unionByName(
+        turned.where("kind = 'person'").join(one_name.select(F.col("a").alias("given"), F.col("b").alias("meant")), "given").select("node", "kind", "other", F.col("meant").alias("given"), "more")
+    )
+    theirs = full.select("kind", F.col("surname").alias("other"), "given", "more", F.col("node").alias("b"))
+    same = said.join(theirs, ["kind", "other", "given", "more"]).where("node < b").select(F.col("node").alias("a"), "b")
     # a spelling without full given name and a near surname: if just one full name there agrees
     of_initial = (
         met.where("startswith(rest, '~') and not startswith(other_rest, '~')")

@@ -39,6 +39,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variant_pairs(_entities(spark, sf_dir))
 
 
+def p4_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each spelling with its entity: what p4_found says in pairs, one row a spelling."""
+    return _entities(spark, sf_dir)
+
+
 def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of spellings of each entity."""
     return _entities(spark, sf_dir).groupBy("entity").agg(F.count("*").alias("spellings"))
@@ -119,7 +124,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_members": p4_members, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
