@@ -303,22 +303,21 @@ def _agreeing(named: DataFrame, near: DataFrame) -> DataFrame:
     return pairs.where(bare(F.col("a")) != bare(F.col("b"))).unionByName(slips)
 
 
-def _corrected(named: DataFrame, agree: DataFrame) -> DataFrame:
-    """Given names of one surname that can be one are written as the commonest of them,
+def _corrected(named: DataFrame, one_name: DataFrame) -> DataFrame:
+    """Each given name is written as the commonest of those of its surname that it can be,
     whatever the size of the corpus."""
     people = named.where("kind = 'person' and length(given) >= 5").select("surname", "given").distinct()
-    key = lambda s, g: F.concat_ws("|", s, g)
-    edges = (
-        people.join(agree.select(F.col("a").alias("given"), F.col("b").alias("other")), "given")
-        .where(F.col("given") < F.col("other"))
-        .join(people.select("surname", F.col("given").alias("other")), ["surname", "other"])
-        .select(key("surname", "given").alias("a"), key("surname", "other").alias("b"))
-    )
-    groups = components(edges, "given")
     n = partner_counts(named.where("kind = 'person' and given <> ''"), "given", "surname", "n")
-    member = groups.withColumn("surname", F.substring_index("node", "|", 1)).withColumn("given", F.substring_index("node", "|", -1)).join(n, "given")
-    best = member.groupBy("root").agg(F.max(F.struct("n", F.col("given").alias("better"))).alias("b")).select("root", "b.better")
-    better = member.join(best, "root").select("surname", "given", "better", F.lit("person").alias("kind"))
+    others = people.join(n, "given").select("surname", F.col("given").alias("other"), "n")
+    better = (
+        people.join(one_name.select(F.col("a").alias("given"), F.col("b").alias("other")), "given")
+        .unionByName(people.withColumn("other", F.col("given")))
+        .join(others, ["surname", "other"])
+        .groupBy("surname", "given")
+        .agg(F.max(F.struct("n", "other"))["other"].alias("better"), F.count("*").alias("choices"))
+        .where("choices > 1")
+        .select("surname", "given", "better", F.lit("person").alias("kind"))
+    )
     return named.join(better, ["kind", "surname", "given"], "left").withColumn("given", F.coalesce("better", "given")).drop("better")
 
 
@@ -420,7 +419,7 @@ def link_names(spellings: DataFrame) -> DataFrame:
     turned = full.join(pairs, "surname")
     # the same given name, or one that can be it, as the partner's
     said = turned.select("node", "kind", "other", "given", "more").unionByName(
-        turned.where("kind = 'person'").join(one_name.select(F.col("a").alias("given"), F.col("b").alias("meant")), "given").select("node", "kind", "other", F.col("meant").alias("given"), "more")
+        turned.unionByName(full.withColumn("other", F.col("surname"))).where("kind = 'person'").join(one_name.select(F.col("a").alias("given"), F.col("b").alias("meant")), "given").select("node", "kind", "other", F.col("meant").alias("given"), "more")
     )
     theirs = full.select("kind", F.col("surname").alias("other"), "given", "more", F.col("node").alias("b"))
     same = said.join(theirs, ["kind", "other", "given", "more"]).where("node < b").select(F.col("node").alias("a"), "b")
