@@ -42,12 +42,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] |
 def work_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``.
 
-    Only where the session has none (unit tests on one machine) a temporary
-    folder is made and set; a cluster always names its own.
+    Only where a session on one machine has none (unit tests) a temporary folder is
+    made and set; on a cluster, which must name its own, this raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_WORK:
         _LOCAL_WORK[app] = tempfile.mkdtemp(prefix="quillgraph-")
@@ -65,9 +67,20 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+_TABLES: dict[str, list[str]] = {}
+
+
+def own_table(spark: SparkSession, name: str) -> str:
+    """Note a catalogue table that ``cleanup`` is to drop."""
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(name)
+    return name
+
+
 def cleanup(spark: SparkSession) -> int:
-    """Delete what this application wrote below the shared folder; gives the number of
-    paths.  For a session that goes on after its results are stored."""
+    """Delete what this application wrote below the shared folder, and drop its tables;
+    gives the number of paths.  For a session that goes on after its results are stored."""
+    for name in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
     paths = _SCRATCH.pop(spark.sparkContext.applicationId, [])
     for path in paths:
         discard(spark, path)
@@ -87,11 +100,35 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def files(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    """Delete a folder that nothing reads any more."""
+    fs, p = files(spark, path)
+    fs.delete(p, True)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder; none if it isn't there."""
+    fs, p = files(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file, there as a whole or not at all."""
+    fs, p = files(spark, path + ".part")
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    fs.rename(p, files(spark, path)[1])
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    return spark.read.option("wholetext", True).text(path).first()[0]
 
 
 def need(df: DataFrame, *columns: str) -> DataFrame:
