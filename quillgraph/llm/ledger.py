@@ -1,21 +1,25 @@
 """Duplicates hidden by formatting: an incremental ledger of canonical keys.
 
-The ledger is a table bucketed by key: ``key, copies, keep_id``.  A batch is
-aggregated to one row per key (map-side first, so a key that is a third of the
-batch costs one row per task), full-outer-joined with the ledger bucket by bucket
-and written as the next version.  The ledger side of that join is read as it lies
-and never shuffled; the batch side shuffles its aggregate only.
+The ledger is a folder that any session can open: ``key, copies, keep_id`` and, if
+wanted, the values first written, cut into parts by key and each part into buckets.
+A batch is aggregated to one row per key (map-side first, so a key that is a third of
+the batch costs one row per task), full-outer-joined bucket by bucket with the parts its
+keys fall into, and these parts are written anew; the others stay as they lie.  The
+ledger side of that join is never shuffled, the batch side shuffles its aggregate only.
+A version is a small file that names where each part lies; it is written last.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.runtime import cut, discard, frequency_join, need, scratch, shuffle_width
+from quillgraph.runtime import cut, discard, frequency_join, names_in, need, own_table, read_small, scratch, shuffle_width, write_small
+
 
 def letters_and_digits(c: Column) -> Column:
     """Letters and digits of a text in order, case folded; '' for null and for texts
@@ -35,57 +39,87 @@ def unordered_key(columns: Sequence[str]) -> Column:
 
 
 class Ledger:
-    """Versions of a bucketed table ``key BINARY, copies BIGINT, keep_id BIGINT``."""
+    """The ledger at ``path`` (a scratch folder if none is given), as it stands there.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark, self.buckets = spark, buckets or shuffle_width(spark)
-        self.name: str | None = None
-        self._path = ""
-        self._tag = f"ledger_{uuid.uuid4().hex}"
-        self._version = 0
+    ``kept``: text columns whose first written values it holds.  ``parts`` and
+    ``buckets`` are those of the stored ledger where there is one.  One writer at a time.
+    """
 
-    def entries(self) -> DataFrame:
-        """The ledger as it stands; no rows before the first batch."""
-        if self.name is None:
-            return self.spark.createDataFrame([], "key binary, copies bigint, keep_id bigint")
-        return self.spark.table(self.name)
-
-    def add(self, keyed: DataFrame) -> None:
-        """Count a batch ``key, id`` in: copies add up, the smallest id stays."""
-        batch = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
-        if self.name is None:
-            merged = batch.select("key", F.col("n").alias("copies"), F.col("first_id").alias("keep_id")).repartition(self.buckets, "key")
-        else:
-            old = self.entries()
-            merged = old.join(batch, "key", "full_outer").select(
-                "key",
-                (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
-                F.least("keep_id", "first_id").alias("keep_id"),
-            )
-        before, old_path, self._version = self.name, self._path, self._version + 1
-        self.name = f"{self._tag}_v{self._version}"
-        self._path = scratch(self.spark, self.name)
-        (
-            merged.write.format("parquet")
-            .option("path", self._path)
-            .bucketBy(self.buckets, "key")
-            .saveAsTable(self.name)
+    def __init__(self, spark: SparkSession, path: str | None = None, *, kept: Sequence[str] = (), parts: int = 16, buckets: int | None = None):
+        self.spark, self.path = spark, path or scratch(spark, "ledger")
+        self.version, self.places = 0, {}
+        self.kept, self.parts, self.buckets = list(kept), parts, buckets or shuffle_width(spark)
+        stored = [n for n in names_in(spark, self.path) if n.startswith("version-") and n.endswith(".json")]
+        if stored:
+            was = json.loads(read_small(spark, f"{self.path}/{max(stored)}"))
+            self.version, self.places = was["version"], {int(p): v for p, v in was["places"].items()}
+            if kept and list(kept) != was["kept"]:
+                raise ValueError(f"this ledger keeps {was['kept']}")
+            self.kept, self.parts, self.buckets = was["kept"], was["parts"], was["buckets"]
+        self.name = ""
+        self._register()
+
+    def _columns(self) -> str:
+        values = f", first STRUCT<{', '.join(f'`{c}`: STRING' for c in self.kept)}>" if self.kept else ""
+        return f"key BINARY, copies BIGINT, keep_id BIGINT{values}"
+
+    def _register(self) -> None:
+        """Show this version's folders to the session as one bucketed table."""
+        before, self.name = self.name, own_table(self.spark, f"ledger_{uuid.uuid4().hex}")
+        self.spark.sql(
+            f"CREATE TABLE {self.name} ({self._columns()}, part INT) USING parquet PARTITIONED BY (part) CLUSTERED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/none'"
         )
+        if self.places:
+            self.spark.sql(f"ALTER TABLE {self.name} ADD " + " ".join(f"PARTITION (part = {p}) LOCATION '{self.path}/{v}/part={p}'" for p, v in sorted(self.places.items())))
         if before:
             self.spark.sql(f"DROP TABLE IF EXISTS {before}")
-            discard(self.spark, old_path)  # the new version is whole
-
-
-def keyed_rows(df: DataFrame, id_col: str, columns: Sequence[str]) -> DataFrame:
-    """``id, key`` of every row; other columns are not read."""
-    need(df, id_col, *columns)
-    return df.select(F.col(id_col).cast("bigint").alias("id"), unordered_key(columns).alias("key"))
 
-
-def build_ledger(keyed: DataFrame, batches: int = 3) -> Ledger:
-    """Feed ``keyed`` to a new ledger in ``batches`` runs of ids, as it would have
+    def entries(self) -> DataFrame:
+        """The ledger as it stands; no rows before the first batch."""
+        return self.spark.table(self.name).drop("part")
+
+    def add(self, keyed: DataFrame) -> list[int]:
+        """Count a batch ``key, id`` (and the kept columns) in: copies add up, the smallest
+        id and its values stay.  Gives the parts that were written anew."""
+        part = F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int")
+        values = [F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in self.kept]), "id").alias("said")] if self.kept else []
+        batch = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), *values)
+        batch = cut(batch.withColumn("part", part), "batch")  # read for its parts and for the join
+        touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # as many as there are parts at most
+        if not touched:
+            return []
+        old = self.spark.table(self.name).where(F.col("part").isin(touched)).drop("part")
+        merged = old.join(batch.drop("part"), "key", "full_outer").select(
+            "key",
+            (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
+            F.least("keep_id", "first_id").alias("keep_id"),
+            *([F.when(F.col("first_id") < F.coalesce("keep_id", F.lit((1 << 63) - 1)), F.col("said")).otherwise(F.coalesce("first", "said")).alias("first")] if self.kept else []),
+            part.alias("part"),
+        )
+        folder, writing = f"v{self.version + 1}-{uuid.uuid4().hex}", f"ledger_{uuid.uuid4().hex}"
+        merged.write.format("parquet").option("path", f"{self.path}/{folder}").partitionBy("part").bucketBy(self.buckets, "key").saveAsTable(writing)
+        self.spark.sql(f"DROP TABLE {writing}")  # the files stay
+        left = [f"{v}/part={p}" for p, v in self.places.items() if p in touched]
+        self.version += 1
+        self.places |= {p: folder for p in touched}
+        told = {"version": self.version, "places": self.places, "kept": self.kept, "parts": self.parts, "buckets": self.buckets}
+        write_small(self.spark, f"{self.path}/version-{self.version:09}.json", json.dumps(told))
+        self._register()
+        for place in left:  # the new version is whole
+            discard(self.spark, f"{self.path}/{place}")
+        return touched
+
+
+def keyed_rows(df: DataFrame, id_col: str, columns: Sequence[str], kept: Sequence[str] = ()) -> DataFrame:
+    """``id, key`` of every row, and the ``kept`` columns; others are not read."""
+    need(df, id_col, *columns, *kept)
+    return df.select(F.col(id_col).cast("bigint").alias("id"), unordered_key(columns).alias("key"), *kept)
+
+
+def build_ledger(keyed: DataFrame, batches: int = 3, kept: Sequence[str] = (), path: str | None = None) -> Ledger:
+    """Feed ``keyed`` to the ledger at ``path`` in ``batches`` runs of ids, as it would have
     arrived.  The result doesn't depend on the number of batches."""
-    ledger = Ledger(keyed.sparkSession)
+    ledger = Ledger(keyed.sparkSession, path, kept=kept)
     low, high = keyed.agg(F.min("id"), F.max("id")).first()
     if low is None or batches <= 1:
         ledger.add(keyed)
@@ -115,7 +149,8 @@ def duplicate_rows(df: DataFrame, id_col: str, columns: Sequence[str], batches:
 
 
 def distinct_records(df: DataFrame, id_col: str, columns: Sequence[str], batches: int = 3) -> DataFrame:
-    """One row per record: ``keep_row_id, copies`` and the columns as first written."""
-    keyed = cut(keyed_rows(df, id_col, columns), "keys")
-    entries = build_ledger(keyed, batches).entries().select(F.col("keep_id").alias(id_col), "copies")
-    return df.select(id_col, *columns).join(entries, id_col).select(F.col(id_col).alias("keep_row_id"), "copies", *columns)
+    """One row per record: ``keep_row_id, copies`` and the columns as first written, all from
+    the ledger."""
+    keyed = cut(keyed_rows(df, id_col, columns, columns), "keys")
+    entries = build_ledger(keyed, batches, columns).entries()
+    return entries.select(F.col("keep_id").alias("keep_row_id"), "copies", *[F.col("first")[c].alias(c) for c in columns])

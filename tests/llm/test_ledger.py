@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from quillgraph.llm.ledger import build_ledger, distinct_records, duplicate_rows, keyed_rows
+from quillgraph import runtime
+from quillgraph.llm.ledger import Ledger, build_ledger, distinct_records, duplicate_rows, keyed_rows
 
 COLS = ["a", "b", "c"]
 SHAPE = "id bigint, a string, b string, c string, copies string"
@@ -56,3 +57,47 @@ def test_empty_and_nulls(spark):
     assert duplicate_rows(empty, "id", COLS).count() == 0
     nulls = spark.createDataFrame([(1, None, "", "-", None), (2, None, None, None, None), (None, None, None, None, None)], SHAPE)
     assert sorted((r.keep_row_id, str(r.row_id)) for r in duplicate_rows(nulls, "id", COLS).collect()) == [(1, "2"), (1, "None")]
+
+
+def test_a_ledger_lasts(spark, rows, tmp_path):
+    """A second session opens it by its path; a batch reads and writes its own parts only."""
+    df = spark.createDataFrame(data(), SHAPE).where("id is not null")
+    path = f"{tmp_path}/ledger"
+    first, second = df.where("id < 500"), df.where("id >= 500")
+    Ledger(spark, path, kept=COLS).add(keyed_rows(first, "id", COLS, COLS))
+    other = spark.newSession()
+    again = Ledger(other, path)
+    assert again.version == 1 and again.kept == COLS
+    again.add(keyed_rows(second, "id", COLS, COLS))
+    whole = distinct_records(df, "id", COLS)
+    got = Ledger(spark, path).entries().select(F.col("keep_id").alias("keep_row_id"), "copies", *[F.col("first")[c].alias(c) for c in COLS])
+    assert rows(got) == rows(whole)
+    one = spark.createDataFrame([(5000, "quite", "another", "thing", "z")], SHAPE)
+    ledger = Ledger(spark, path)
+    before = dict(ledger.places)
+    touched = ledger.add(keyed_rows(one, "id", COLS, COLS))
+    assert len(touched) == 1 and {p for p, v in ledger.places.items() if before.get(p) != v} == set(touched)
+    assert "Exchange hashpartitioning(key" not in ledger.entries().where("copies > 1")._jdf.queryExecution().toString()
+    assert ledger.entries().count() == whole.count() + 1
+    earlier = spark.createDataFrame([(-7, "QUITE", "thing", "a-n-o-t-h-e-r", "z")], SHAPE)
+    ledger.add(keyed_rows(earlier, "id", COLS, COLS))
+    kept = ledger.entries().where("keep_id = -7").first()
+    assert (kept.copies, kept.first.a) == (2, "QUITE")
+
+
+def test_the_ledger_side_is_not_shuffled(spark, tmp_path):
+    ledger = Ledger(spark, f"{tmp_path}/ledger")
+    keyed = keyed_rows(spark.createDataFrame(data(), SHAPE), "id", COLS)
+    ledger.add(keyed)
+    batch = keyed.groupBy("key").count()
+    plan = ledger.entries().join(batch, "key", "full_outer")._jdf.queryExecution().executedPlan().toString()
+    left = plan[plan.index("SortMergeJoin") :].split("Exchange")[0]
+    assert "Bucketed: true" in left or "SelectedBucketsCount" in left
+
+
+def test_cleanup_drops_tables(spark):
+    other = Ledger(spark)
+    other.add(keyed_rows(spark.createDataFrame(data(20), SHAPE), "id", COLS))
+    mine = dict(runtime._SCRATCH), dict(runtime._TABLES)
+    runtime.cleanup(spark)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("ledger_")] and mine
