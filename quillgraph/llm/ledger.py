@@ -80,16 +80,16 @@ class Ledger:
 
     def add(self, keyed: DataFrame) -> list[int]:
         """Count a batch ``key, id`` (and the kept columns) in: copies add up, the smallest
-        id and its values stay.  Gives the parts that were written anew."""
+        id and its values stay.  Gives the parts that were written anew.  ``keyed`` is read
+        twice and should be a written table."""
         part = F.pmod(F.xxhash64("key"), F.lit(self.parts)).cast("int")
         values = [F.min_by(F.struct(*[F.col(c).cast("string").alias(c) for c in self.kept]), "id").alias("said")] if self.kept else []
         batch = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), *values)
-        batch = cut(batch.withColumn("part", part), "batch")  # read for its parts and for the join
-        touched = sorted(r["part"] for r in batch.select("part").distinct().collect())  # as many as there are parts at most
+        touched = sorted(r["part"] for r in keyed.select(part.alias("part")).distinct().collect())  # as many as there are parts at most
         if not touched:
             return []
         old = self.spark.table(self.name).where(F.col("part").isin(touched)).drop("part")
-        merged = old.join(batch.drop("part"), "key", "full_outer").select(
+        merged = old.join(batch, "key", "full_outer").select(
             "key",
             (F.coalesce("copies", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("copies"),
             F.least("keep_id", "first_id").alias("keep_id"),
