@@ -9,25 +9,31 @@ The automaton is run for a whole batch of values at once: a depth-first walk ove
 the trie carries, for the values still alive, the band of the edit-distance row
 that the automaton's state stands for (insert, delete, replace, swap of
 neighbours).  A branch is left as soon as no value can come within its distance.
+
+A list of up to BLOCK entries goes to the workers whole, and each worker builds its trie
+once.  A longer one is cut into blocks of entries: every value meets every block, each
+in its own trie, and what the blocks found is put together.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.ledger import letters_and_digits
-from quillgraph.runtime import cut, frequency_join, need
+from quillgraph.runtime import cut, frequency_join, need, shuffle_width
 
 K = 2  # widest distance
 BIG = 99
 OPPOSITE = -1
-MAX_ENTRIES = 100_000
+#: Entries of one trie; some 300 nodes each.
+BLOCK = 1000
 # English words that leave a value's meaning as it is.
 LEADING = ("the", "a", "an", "any", "some", "reported", "observed", "anobserved", "areported", "also", "may", "can", "often")
 TRAILING = ("nos", "unspecified", "reported", "observed", "nototherwisespecified")
@@ -41,6 +47,16 @@ CONTRARY = [
 ]
 
 
+@dataclass(frozen=True)
+class Lexicon:
+    """Words of the values' language and field: what may stand before or behind a value
+    without changing it, and pairs of word parts that turn its meaning round."""
+
+    leading: tuple[str, ...] = LEADING
+    trailing: tuple[str, ...] = TRAILING
+    contrary: tuple[tuple[str, str], ...] = tuple(CONTRARY)
+
+
 def distance_allowed(length: int) -> int:
     """Edits allowed for a text of so many letters."""
     return 0 if length <= 4 else 1 if length <= 7 else K
@@ -109,10 +125,10 @@ def spellings(label: str, kind: str) -> tuple[set[str], set[str]]:
     return loose - {""}, exact - loose
 
 
-def opposites(label: str, kind: str) -> set[str]:
+def opposites(label: str, kind: str, contrary: Iterable[tuple[str, str]] = tuple(CONTRARY)) -> set[str]:
     """Spellings that mean the contrary of a label."""
     words, out = words_of(label), set()
-    for a, b in CONTRARY:
+    for a, b in contrary:
         for x, y in ((a, b), (b, a)):
             for i, w in enumerate(words):
                 if w == x or (len(x) >= 4 and kind != "predicate" and (w.startswith(x) or w.endswith(x))):
@@ -135,7 +151,8 @@ def opposites(label: str, kind: str) -> set[str]:
 class Trie:
     """Paths to (entry, edits allowed); ``OPPOSITE`` marks contrary spellings."""
 
-    def __init__(self, entries: Iterable[tuple[int, str, str, str | None]]):
+    def __init__(self, entries: Iterable[tuple[int, str, str, str | None]], lexicon: Lexicon = Lexicon()):
+        self.lexicon = lexicon
         loose: dict[str, set[int]] = {}
         exact: dict[str, set[int]] = {}
         contrary: set[str] = set()
@@ -150,7 +167,7 @@ class Trie:
                     loose.setdefault(path, set()).add(entry)
                 for path in b:
                     exact.setdefault(path, set()).add(entry)
-                contrary |= opposites(name, kind)
+                contrary |= opposites(name, kind, lexicon.contrary)
         self.root: tuple[dict, list] = ({}, [])
         self.longest = 0
         self.alphabet: set[str] = set()
@@ -228,72 +245,136 @@ class Trie:
         )
 
 
-def without_fillers(value: str) -> list[str]:
+def without_fillers(value: str, lexicon: Lexicon = Lexicon()) -> list[str]:
     """The value and what is left of it without words that add nothing."""
     out = [value]
-    for w in LEADING:
+    for w in lexicon.leading:
         if value.startswith(w) and len(value) - len(w) >= 3:
             out.append(value[len(w) :])
     for v in list(out):
-        out += [v[: -len(w)] for w in TRAILING if v.endswith(w) and len(v) - len(w) >= 3]
+        out += [v[: -len(w)] for w in lexicon.trailing if v.endswith(w) and len(v) - len(w) >= 3]
     return out
 
 
-def meanings(trie: Trie, values: list[str]) -> list[int | None]:
-    """For each canonical value the one nearest entry, or None.
-
-    None also if an opposite is nearer, or two entries are as near as each other.
-    """
+def candidates(trie: Trie, values: list[str]) -> list[dict[int, int]]:
+    """For each canonical value all entries within the allowed distance, with the smallest
+    distance; a contrary spelling counts as entry OPPOSITE."""
     queries: list[str] = []
     owner: list[int] = []
     for i, v in enumerate(values):
-        for q in without_fillers(v):
+        for q in without_fillers(v, trie.lexicon):
             queries.append(q)
             owner.append(i)
-    at, entry, dist = trie.search(queries)
-    best: dict[int, tuple[int, set[int]]] = {}
-    for k, e, d in zip(at.tolist(), entry.tolist(), dist.tolist()):
-        i = owner[k]
-        now = best.get(i)
-        if now is None or d < now[0]:
-            best[i] = (d, {e})
-        elif d == now[0]:
-            now[1].add(e)
-    out: list[int | None] = []
-    for i in range(len(values)):
-        nearest = best[i][1] - {OPPOSITE} if i in best else set()
-        out.append(next(iter(nearest)) if len(nearest) == 1 else None)
+    out: list[dict[int, int]] = [{} for _ in values]
+    for k, e, d in zip(*(x.tolist() for x in trie.search(queries))):
+        now = out[owner[k]]
+        now[e] = min(d, now.get(e, d))
     return out
 
 
-def map_values(df: DataFrame, id_col: str, fields: list[str], entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def meaning(near: dict[int, int]) -> int | None:
+    """The one nearest entry; None if there is none, if an opposite is nearer, or if two
+    entries are as near as each other."""
+    least = min(near.values(), default=0)
+    nearest = {e for e, d in near.items() if d == least} - {OPPOSITE}
+    return next(iter(nearest)) if len(nearest) == 1 else None
+
+
+def meanings(trie: Trie, values: list[str]) -> list[int | None]:
+    """``meaning`` of each canonical value."""
+    return [meaning(c) for c in candidates(trie, values)]
+
+
+_TRIES: dict[int, Trie] = {}
+
+
+def _trie(entries: list[tuple], lexicon: Lexicon) -> Trie:
+    """The trie of these entries, built once in a Python worker; the last two are kept."""
+    key = hash((tuple(entries), lexicon))
+    if key not in _TRIES:
+        while len(_TRIES) > 1:
+            _TRIES.pop(next(iter(_TRIES)))
+        _TRIES[key] = Trie(entries, lexicon)
+    return _TRIES[key]
+
+
+NEAR = pa.list_(pa.struct([("entry_id", pa.int32()), ("distance", pa.int32())]))
+NEAR_SHAPE = "near array<struct<entry_id: int, distance: int>>"
+
+
+def _near(trie: Trie, keys: pa.Array) -> pa.Array:
+    return pa.array([[{"entry_id": e, "distance": d} for e, d in sorted(c.items())] for c in candidates(trie, keys.to_pylist())], NEAR)
+
+
+def typed_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """``<id_col>, field_name, value, value_key`` of the values with a letter or digit."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))
+    values = df.select(F.col(id_col), pairs.alias("v")).select(id_col, "v.field_name", "v.value")
+    return values.withColumn("value_key", letters_and_digits(F.col("value"))).where("value_key <> ''")
+
+
+def near_entries(values: DataFrame, entries: DataFrame, lexicon: Lexicon = Lexicon(), block: int = BLOCK) -> DataFrame:
+    """``value_key, occurrences, near``: each distinct value with all entries within its
+    distance and how far each is; OPPOSITE stands for contrary spellings.
+
+    ``values``: ``value_key``, as often as it occurs.  Each is looked up once.  Across
+    blocks a spelling of one entry that is contrary to another's stays listed as both, and
+    a shortening of two entries as either: what a value means is the same.
+    """
+    need(entries, "entry_id", "kind", "label", "aliases")
+    listed = entries.select("entry_id", "kind", "label", "aliases").where("label is not null")
+    distinct = values.groupBy("value_key").agg(F.count("*").alias("occurrences"))
+    rows = [tuple(r) for r in listed.limit(block + 1).collect()]
+    if len(rows) <= block:
+        shared = values.sparkSession.sparkContext.broadcast(sorted(rows, key=str))
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _near(_trie(shared.value, lexicon), batch.column(0))], names=["value_key", "occurrences", "near"])
+
+        return cut(distinct.mapInArrow(look_up, f"value_key string, occurrences bigint, {NEAR_SHAPE}"), "meanings")
+
+    blocks = -(-listed.count() // block)
+    pieces = shuffle_width(values.sparkSession)
+    distinct = cut(distinct, "values").withColumn("piece", F.pmod(F.xxhash64("value_key"), F.lit(pieces)))
+    each = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    lists = listed.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).cast("bigint"))
+
+    def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = [right[c].to_pylist() for c in ("entry_id", "kind", "label", "aliases")]
+        trie = _trie(sorted(zip(*columns), key=str), lexicon)
+        keys = left["value_key"].combine_chunks()
+        return pa.table({"value_key": keys, "occurrences": left["occurrences"], "near": _near(trie, keys)})
+
+    met = each.groupBy("block", "piece").cogroup(lists.groupBy("block", "piece")).applyInArrow(meet, f"value_key string, occurrences bigint, {NEAR_SHAPE}")
+    # an entry and OPPOSITE may come from several blocks: the nearest of each
+    together = met.where("value_key is not null").select("value_key", "occurrences", F.explode_outer("near").alias("n")).groupBy("value_key", "occurrences", "n.entry_id").agg(F.min("n.distance").alias("distance"))
+    listed_again = F.array_sort(F.collect_list(F.when(F.col("entry_id").isNotNull(), F.struct("entry_id", "distance")))).alias("near")
+    return cut(together.groupBy("value_key", "occurrences").agg(listed_again), "meanings")
+
+
+def _meant() -> Column:
+    """``meaning`` as an expression over ``near``."""
+    least = F.array_min(F.transform("near", lambda c: c["distance"]))
+    nearest = F.array_except(F.transform(F.filter("near", lambda c: c["distance"] == least), lambda c: c["entry_id"]), F.array(F.lit(OPPOSITE)))
+    return F.when(F.size(nearest) == 1, nearest[0])
+
+
+def map_values(df: DataFrame, id_col: str, fields: list[str], entries: DataFrame, lexicon: Lexicon = Lexicon(), block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """``(found, unmatched)``.
 
     ``found``: ``<id_col>, field_name, entry_id`` for each value that means an entry;
-    ``unmatched``: ``value_key, occurrences`` of distinct values that mean none.
-    ``entries``: ``entry_id, kind, label, aliases`` (at most MAX_ENTRIES rows).
+    ``unmatched``: ``value, occurrences`` of the distinct values that mean none, each as it
+    is typed (the first by code point of writings that differ in case and marks only).
+    ``entries``: ``entry_id, kind, label, aliases``.
 
     Each distinct value, by its letters and digits, is looked up once.  Null, blank
     and letterless values come out in neither.  Repeated rows come out repeated;
     without entries every value is unmatched.  Extra columns aren't read.
     """
     need(df, id_col, *fields)
-    need(entries, "entry_id", "kind", "label", "aliases")
-    rows = entries.select("entry_id", "kind", "label", "aliases").limit(MAX_ENTRIES + 1).collect()
-    if len(rows) > MAX_ENTRIES:
-        raise ValueError(f"more than {MAX_ENTRIES} entries")
-    trie = df.sparkSession.sparkContext.broadcast([(r["entry_id"], r["kind"], r["label"], r["aliases"]) for r in rows if r["label"]])
-
-    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = None
-        for batch in batches:
-            paths = paths or Trie(trie.value)
-            found = meanings(paths, batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int32())], names=["value_key", "occurrences", "entry_id"])
-
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), letters_and_digits(F.col(f)).alias("value_key")) for f in fields]))
-    values = df.select(F.col(id_col), pairs.alias("v")).select(id_col, "v.field_name", "v.value_key").where("value_key <> ''")
-    distinct = values.groupBy("value_key").agg(F.count("*").alias("occurrences"))
-    known = cut(distinct.mapInArrow(look_up, "value_key string, occurrences bigint, entry_id int"), "meanings")
-    found = frequency_join(values, known.where("entry_id is not null"), "value_key", "occurrences").select(id_col, "field_name", "entry_id")
-    return found, known.where("entry_id is null").select("value_key", "occurrences")
+    values = typed_values(df, id_col, fields)
+    known = near_entries(values, entries, lexicon, block).select("value_key", "occurrences", _meant().alias("entry_id"))
+    found = frequency_join(values.drop("value"), known.where("entry_id is not null"), "value_key", "occurrences").select(id_col, "field_name", "entry_id")
+    none = frequency_join(values.select("value_key", "value"), known.where("entry_id is null").drop("entry_id"), "value_key", "occurrences")
+    return found, none.groupBy("value_key", "occurrences").agg(F.min("value").alias("value")).select("value", "occurrences")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm.canonical import map_values
+from quillgraph.llm.canonical import OPPOSITE, typed_values, map_values, near_entries
 from quillgraph.llm.ledger import distinct_records, duplicate_rows
 from quillgraph.llm.mixing import mix_sources, source_key
 from quillgraph.llm.names import link_names, variant_pairs
@@ -64,6 +64,13 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir)[1]
 
 
+def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries within the distance of each distinct value, nearest or not."""
+    values = typed_values(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
+    near = near_entries(values, table(spark, sf_dir, "canonical_label"))
+    return near.select("value_key", "occurrences", F.explode("near").alias("n")).select("value_key", "occurrences", "n.entry_id", "n.distance").where(F.col("entry_id") != OPPOSITE)
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
     return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
@@ -124,7 +131,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_members": p4_members, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_members": p4_members, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_candidates": p5_candidates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",
