@@ -306,11 +306,13 @@ def _near(trie: Trie, keys: pa.Array) -> pa.Array:
     return pa.array([[{"entry_id": e, "distance": d} for e, d in sorted(c.items())] for c in candidates(trie, keys.to_pylist())], NEAR)
 
 
-def typed_values(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """``<id_col>, field_name, value, value_key`` of the values with a letter or digit."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields]))
-    values = df.select(F.col(id_col), pairs.alias("v")).select(id_col, "v.field_name", "v.value")
-    return values.withColumn("value_key", letters_and_digits(F.col("value"))).where("value_key <> ''")
+def typed_values(df: DataFrame, id_col: str, fields: list[str], written: bool = False) -> DataFrame:
+    """``<id_col>, field_name, value_key`` of the values with a letter or digit, and the
+    ``value`` as ``written``.  The key is made before the values become rows, so that the
+    filter on it doesn't make it again."""
+    one = lambda f: [F.lit(f).alias("field_name"), letters_and_digits(F.col(f)).alias("value_key"), *([F.col(f).cast("string").alias("value")] if written else [])]
+    pairs = F.explode(F.array(*[F.struct(*one(f)) for f in fields]))
+    return df.select(F.col(id_col), pairs.alias("v")).select(id_col, "v.*").where("value_key <> ''")
 
 
 def near_entries(values: DataFrame, entries: DataFrame, lexicon: Lexicon = Lexicon(), block: int = BLOCK) -> DataFrame:
@@ -338,7 +340,7 @@ def near_entries(values: DataFrame, entries: DataFrame, lexicon: Lexicon = Lexic
     pieces = shuffle_width(values.sparkSession)
     distinct = cut(distinct, "values").withColumn("piece", F.pmod(F.xxhash64("value_key"), F.lit(pieces)))
     each = distinct.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    lists = listed.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))).cast("bigint"))
+    lists = listed.withColumn("block", F.pmod(F.xxhash64("entry_id"), F.lit(blocks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))))
 
     def meet(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         columns = [right[c].to_pylist() for c in ("entry_id", "kind", "label", "aliases")]
@@ -375,6 +377,6 @@ def map_values(df: DataFrame, id_col: str, fields: list[str], entries: DataFrame
     need(df, id_col, *fields)
     values = typed_values(df, id_col, fields)
     known = near_entries(values, entries, lexicon, block).select("value_key", "occurrences", _meant().alias("entry_id"))
-    found = frequency_join(values.drop("value"), known.where("entry_id is not null"), "value_key", "occurrences").select(id_col, "field_name", "entry_id")
-    none = frequency_join(values.select("value_key", "value"), known.where("entry_id is null").drop("entry_id"), "value_key", "occurrences")
+    found = frequency_join(values, known.where("entry_id is not null"), "value_key", "occurrences").select(id_col, "field_name", "entry_id")
+    none = frequency_join(typed_values(df, id_col, fields, True).select("value_key", "value"), known.where("entry_id is null").drop("entry_id"), "value_key", "occurrences")
     return found, none.groupBy("value_key", "occurrences").agg(F.min("value").alias("value")).select("value", "occurrences")
