@@ -7,10 +7,11 @@ more than ``max_repeats`` passes for the wanted total.  For a wanted entropy
 ``w(x) ~ q ** x`` is bisected to it in place of the target shares.
 
 A source's budget is realised as whole passes over its documents and a part of one
-more.  Every pass is its own permutation (a seeded hash), cut into buckets by the
-leading bits of the hash: buckets before the cut are taken whole, and only the one
-bucket that holds the cut is looked at document by document.  So no source, however
-large, is ever sorted in one task.
+more.  Every pass is its own permutation (a seeded hash), cut into steps by the leading
+bits of the hash.  The sizes of all steps, STEPS rows at most, are broadcast: steps before
+the cut of the last pass are taken whole; the one step a source is cut in is cut again by
+further bits, and only what is left of that is looked at document by document.  So the
+documents are never shuffled, and no source, however large, is sorted in one task.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from quillgraph.runtime import cut, need
 
-MAX_SOURCES = 10_000
+MAX_SOURCES = 100_000
+#: Rows of a broadcast table of sizes.
+STEPS = 1 << 18
 
 
 def source_key(c: Column) -> Column:
@@ -100,7 +103,7 @@ def plan_mix(
 
 
 def mix_sources(
-    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, entropy: float | None = None, block_tokens: int = 1_000_000, bucket_bits: int | None = None, seed: int = 17
+    docs: DataFrame, targets: DataFrame, *, total_tokens: int | None = None, entropy: float | None = None, block_tokens: int = 1_000_000, step_bits: int | None = None, seed: int = 17
 ) -> tuple[DataFrame, DataFrame]:
     """The mix and its report.
 
@@ -126,9 +129,6 @@ def mix_sources(
     named = docs.select("doc_id", source_key(F.col("source")).alias("source"), F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"))
     stats = named.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     have = {r["source"]: r for r in stats.where(F.col("source").isin(*goals) if goals else F.lit(False)).collect()}  # <= MAX_SOURCES rows
-    if bucket_bits is None:  # some 100,000 documents of the largest source to a bucket, 1024 buckets at least
-        largest = max((r["docs"] for r in have.values()), default=0)
-        bucket_bits = min(24, max(10, math.ceil(math.log2(max(1, largest) / 100_000 + 1))))
     weights, total, exponent = plan_mix({s: r["tokens"] for s, r in have.items()}, goals, total_tokens, entropy)
     rows = []
     for s, w in weights.items():
@@ -136,50 +136,57 @@ def mix_sources(
         if have[s]["tokens"] - left < 1e-6 * have[s]["tokens"]:  # a whole pass but for rounding
             full, left = full + 1, 0.0
         full = min(int(full), goals[s][1])
-        rows.append((s, full, float(left) if full < goals[s][1] else 0.0, float(w * total)))
-    plan = spark.createDataFrame(rows, "source string, full int, part double, budget double")
-    width = 64 - bucket_bits
+        rows.append((s, full, float(left) if full < goals[s][1] else 0.0, float(w * total), int(have[s]["tokens"])))
+    plan = spark.createDataFrame(rows, "source string, full int, part double, budget double, source_tokens bigint")
+    turns = sum(full + 1 for _, full, *_ in rows) or 1
+    if step_bits is None:
+        step_bits = max(0, min(10, int(math.log2(max(1, STEPS // turns)))))
+    # documents of the step that a source is cut in, in pieces of some 10,000, as far as the sizes stay few
+    largest = max((r["docs"] for r in have.values()), default=0) >> step_bits
+    fine_bits = max(0, min(20, math.ceil(math.log2(max(1, largest / 10_000))), int(math.log2(max(1, STEPS // max(1, len(rows)))))))
+    bits = lambda c, n: F.lit(0).cast("bigint") if n == 0 else F.shiftrightunsigned(c, 64 - n)
     passes = (
         named.where("n_tokens > 0")
         .join(F.broadcast(plan), "source")
         .withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full") - F.when(F.col("part") > 0, 0).otherwise(1))))
         .where("pass >= 0")
         .withColumn("h", F.xxhash64(F.lit(seed), F.col("pass"), F.col("doc_id")))
-        .withColumn("bucket", F.shiftrightunsigned("h", width).cast("int"))
+        .withColumn("step", bits(F.col("h"), step_bits))
     )
-    by_bucket = Window.partitionBy("source", "pass").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = (
-        passes.groupBy("source", "pass", "bucket")
-        .agg(F.sum("n_tokens").alias("bucket_tokens"))
-        .withColumn("before", F.coalesce(F.sum("bucket_tokens").over(by_bucket), F.lit(0)))
-    )
-    placed = passes.join(sizes, ["source", "pass", "bucket"])
-    whole = placed.where("pass < full or before + bucket_tokens <= part")
-    in_bucket = Window.partitionBy("source").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+
+    def sizes(df: DataFrame, keys: list[str], at: str, label: str) -> DataFrame:
+        """Tokens of each place of a permutation and before it: few rows, written once."""
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        summed = df.groupBy(*keys, at).agg(F.sum("n_tokens").alias("here"))
+        return F.broadcast(cut(summed.withColumn("before", F.coalesce(F.sum("here").over(before), F.lit(0))), label))
+
+    placed = passes.join(sizes(passes, ["source", "pass"], "step", "steps"), ["source", "pass", "step"])
+    whole = placed.where("pass < full or before + here <= part")
+    at_cut = placed.where("pass = full and before < part and before + here > part").withColumnRenamed("before", "start").drop("here")
+    at_cut = cut(at_cut.withColumn("fine", bits(F.shiftleft("h", step_bits), fine_bits)), "at-cut")
+    finer = at_cut.join(sizes(at_cut, ["source"], "fine", "fine-steps"), ["source", "fine"]).withColumn("upto", F.col("start") + F.col("before"))
+    in_fine = Window.partitionBy("source").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
     edge = (
-        placed.where("pass = full and before < part and before + bucket_tokens > part")
-        .withColumn("upto", F.col("before") + F.coalesce(F.sum("n_tokens").over(in_bucket), F.lit(0)))
+        finer.where("upto < part and upto + here > part")
+        .withColumn("upto", F.col("upto") + F.coalesce(F.sum("n_tokens").over(in_fine), F.lit(0)))
         .where("upto + n_tokens / 2 <= part")
-        .drop("upto")
     )
-    blocks = max(1, min(1 << bucket_bits, math.ceil(total / block_tokens)))
+    kept = ["doc_id", "source", "n_tokens", "pass", "h", "budget", "source_tokens"]
+    taken = whole.select(*kept, "before").unionByName(finer.where("upto + here <= part").select(*kept, F.col("start").alias("before"))).unionByName(edge.select(*kept, F.col("start").alias("before")))
+    blocks = max(1, min(1 << 30, math.ceil(total / block_tokens)))
     through = (F.col("pass") * F.col("source_tokens") + F.col("before")) / F.col("budget")
-    sized = spark.createDataFrame([(s, int(r["tokens"])) for s, r in have.items()], "source string, source_tokens bigint")
-    mix = (
-        whole.unionByName(edge)
-        .join(F.broadcast(sized), "source")
-        .select(
-            "doc_id",
-            "source",
-            (F.col("pass") + 1).alias("copy"),
-            "n_tokens",
-            F.least(F.lit(blocks - 1), F.floor(through * blocks)).cast("int").alias("block"),
-            F.xxhash64(F.lit(seed + 1), "h", "source").alias("order_key"),
-        )
+    mix = taken.select(
+        "doc_id",
+        "source",
+        (F.col("pass") + 1).alias("copy"),
+        "n_tokens",
+        F.least(F.lit(blocks - 1), F.floor(through * blocks)).cast("int").alias("block"),
+        F.xxhash64(F.lit(seed + 1), "h", "source").alias("order_key"),
     )
     mix = cut(mix, "mix")
-    used = mix.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), F.max("copy").alias("most_copies"), F.count("*").alias("docs_used"))
+    used = cut(mix.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"), F.max("copy").alias("most_copies"), F.count("*").alias("docs_used")), "used")
     goal = spark.createDataFrame([(s, p, r, float(weights.get(s, 0.0))) for s, (p, r) in goals.items()], "source string, target_share double, max_repeats int, weight double")
+    everything = used.agg(F.sum("tokens_used")).first()[0] or 0
     report = (
         stats.join(F.broadcast(goal), "source", "full_outer")
         .join(used, "source", "left")
@@ -195,6 +202,6 @@ def mix_sources(
             F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
             F.lit(exponent).alias("exponent"),
         )
-        .withColumn("actual_share", F.coalesce(F.try_divide("tokens_used", F.sum("tokens_used").over(Window.partitionBy(F.lit(1)))), F.lit(0.0)))
+        .withColumn("actual_share", F.coalesce(F.try_divide("tokens_used", F.lit(everything)), F.lit(0.0)))
     )
     return mix, report

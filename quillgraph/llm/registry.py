@@ -76,9 +76,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
 
 
-def _mixed(spark: SparkSession, sf_dir: str, *, half: bool = False) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, sf_dir: str, *, half: bool = False, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
     docs = cut(token_counts(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "text"), "token-counts")
     targets = table(spark, sf_dir, "mix_target")
+    if entropy is not None:
+        return mix_sources(docs, targets, entropy=entropy)
     if not half:
         return mix_sources(docs, targets)
     named = targets.where("target_share > 0 and max_repeats > 0").select(source_key(F.col("source")).alias("key"))
@@ -108,6 +110,11 @@ def p7_half_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixed(spark, sf_dir, half=True)[1]
 
 
+def p7_entropy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Natural shares tempered to an entropy of 1.4 nats, as four equal sources would have."""
+    return _mixed(spark, sf_dir, entropy=1.4)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are, or hold, what a broken page, form or template left behind."""
     return residue_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
@@ -131,7 +138,7 @@ WITH keyed AS (
 )
 """
 
-QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_members": p4_members, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_candidates": p5_candidates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p8_found": p8_found, "p8_scores": p8_scores}
+QUERIES = {"p3_found": p3_found, "p3_ledger": p3_ledger, "p4_found": p4_found, "p4_members": p4_members, "p4_entities": p4_entities, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p5_candidates": p5_candidates, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_report": p7_report, "p7_half_mix": p7_half_mix, "p7_half_report": p7_half_report, "p7_entropy_report": p7_entropy_report, "p8_found": p8_found, "p8_scores": p8_scores}
 ORACLES = {
     "p3_found": _P3 + "SELECT keep_row_id, row_id FROM w WHERE row_id <> keep_row_id",
     "p3_ledger": _P3 + "SELECT keep_row_id, copies::BIGINT AS copies, Subject, Predicate, Object FROM w WHERE row_id = keep_row_id",

@@ -41,6 +41,27 @@ def test_too_large_a_total_lowers_the_exponent(spark):
     assert abs(mix.agg(F.sum("n_tokens")).first()[0] - 200_000) < 300
 
 
+@pytest.mark.parametrize("step_bits", [0, 2, 10])
+def test_budgets_to_within_a_document(spark, step_bits):
+    """Whatever the steps, each source comes to its budget, whole passes hold every document
+    once, and a permutation is taken from its start."""
+    goals = spark.createDataFrame([("big", 0.4, 1), ("small", 0.6, 3)], GOALS)
+    mix, report = mix_sources(docs(spark), goals, total_tokens=75_000, step_bits=step_bits)
+    rows, r = mix.collect(), {x.source: x for x in report.collect()}
+    assert all(abs(r[s].tokens_used - r[s].weight * 75_000) <= 107 for s in ("big", "small"))
+    small = [x for x in rows if x.source == "small"]
+    full = r["small"].tokens_used // r["small"].tokens
+    assert full == 2 and all(sum(x.copy == k + 1 for x in small) == 200 for k in range(full))
+    assert len({(x.doc_id, x.copy) for x in rows}) == len(rows)
+
+
+def test_documents_are_not_shuffled(spark):
+    """Only sizes are: a document meets broadcast tables."""
+    goals = spark.createDataFrame([("big", 0.4, 1), ("small", 0.6, 3)], GOALS)
+    mix, _ = mix_sources(docs(spark), goals, total_tokens=75_000)
+    assert "Exchange" not in mix._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan():
     w, total, x = plan_mix({"a": 100, "b": 900}, {"a": (0.5, 2), "b": (0.5, 1)})
     assert x == 1.0 and total == 400 and w == {"a": 0.5, "b": 0.5}
