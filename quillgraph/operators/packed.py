@@ -24,6 +24,7 @@ belong to the name ("Foundation for Genetics and Health").
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -49,7 +50,7 @@ SLASH = re.compile(r"\s+/\s+")
 CONJ = re.compile(r"\s*,?\s*(?:\s(?:and|AND|And)\s|\s?&\s?)\s*")
 QUOTED_JOIN = re.compile(r"\s*,\s*(?:(?:and|&)\s+)?|\s+(?:&|and|AND)\s+(?=\")|(?<=\")\s+(?:&|and|AND)\s+")
 SPACES = re.compile(r"\s+")
-INITIALS = re.compile(r"^(?:[^\W\d_]\.?[\s-]*){1,4}$")
+INITIALS = re.compile(r"^(?:[^\W\d_](?:[.\s-]+[^\W\d_])*\.?|[^\W\d_]{1,4}\.?)$")
 EDGE = " \t\r\n\f\v\xa0  ﻿​"
 
 
@@ -106,11 +107,10 @@ def _slots(text: str, separators: re.Pattern, ends: str) -> list[tuple[str, bool
                 break
             if text[i] in '("':
                 close = text.find(")" if text[i] == "(" else '"', i + 1)
-                stop = separators.search(text, i)
                 if close < 0:
                     flag = flag or ("open_bracket" if text[i] == "(" else "open_quote")
                     i += 1
-                elif text[i] == '"' and i == start and value is None and stop and stop.start() < close:
+                elif text[i] == '"' and i == start and value is None and separators.search(text, i, close):
                     i += 1
                 else:
                     i = close + 1
@@ -166,7 +166,7 @@ def _names(text: str) -> list[str]:
     parts.append((joiner, text[at:]))
     out: list[str] = []
     surname_open = False  # the last name is a surname that waits for its given name
-    for joiner, piece in parts:
+    for k, (joiner, piece) in enumerate(parts):
         piece = piece.strip(EDGE)
         if not piece or UNNAMED.match(piece):
             continue
@@ -182,7 +182,7 @@ def _names(text: str) -> list[str]:
         elif comma and _words(piece) <= 1 and _given(piece) and "," not in out[-1] and len(parts) == 2:
             out[-1] += f", {piece}"
             surname_open = False
-        elif not comma and _words(piece) <= 1 and not _followed(parts, piece):
+        elif not comma and _words(piece) <= 1 and not _followed(parts, k):
             out[-1] += joiner + piece  # the conjunction belongs to the name
             surname_open = False
         else:
@@ -191,22 +191,27 @@ def _names(text: str) -> list[str]:
     return out
 
 
-def _followed(parts: list[tuple[str, str]], piece: str) -> bool:
-    """Is the single word ``piece`` a surname whose given name comes next?"""
-    for k, (_, p) in enumerate(parts):
-        if p.strip(EDGE) == piece and k + 1 < len(parts):
-            joiner, after = parts[k + 1]
-            after = after.strip(EDGE)
-            return joiner.strip() == "," and (bool(INITIALS.match(after)) or len(after.split()) == 1) and not _degree(after) and not UNNAMED.match(after)
-    return False
+def _followed(parts: list[tuple[str, str]], k: int) -> bool:
+    """Is the single word of part ``k`` a surname whose given name comes next?"""
+    if k + 1 == len(parts):
+        return False
+    joiner, after = parts[k + 1]
+    after = after.strip(EDGE)
+    return joiner.strip() == "," and (bool(INITIALS.match(after)) or len(after.split()) == 1) and not _degree(after) and not UNNAMED.match(after)
 
 
 def _outside(text: str):
     """A test whether a place is outside brackets and quotes."""
     if "(" not in text and '"' not in text:
         return lambda i: True
-    spans = [m.span() for m in re.finditer(r"\([^)]*\)|\"[^\"]*\"", text)]
-    return lambda i: not any(a <= i < b for a, b in spans)
+    spans = [m.span() for m in re.finditer(r"\([^)]*\)|\"[^\"]*\"", text)]  # in order and apart
+    starts = [a for a, _ in spans]
+
+    def outside(i: int) -> bool:
+        k = bisect_right(starts, i) - 1
+        return k < 0 or spans[k][1] <= i
+
+    return outside
 
 
 def _clean(value: str) -> str:

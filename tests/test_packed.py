@@ -1,5 +1,7 @@
 """Packed fields: the grammar, its flags and its edge cases."""
 
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -76,3 +78,14 @@ def test_frame(spark, rows):
     assert split_packed(df.where(F.lit(False)), "row_id", "authors").count() == 0
     with pytest.raises(ValueError, match="missing columns"):
         split_packed(df, "row_id", "names")
+
+
+def test_long_fields_take_linear_time():
+    began = time.perf_counter()
+    names = "; ".join(f"Byron{i}, Ada (Ad{i})" for i in range(4000)), ", ".join(f'Ada "A{i}" Byron{i}' for i in range(8000)), ", ".join(f"Ada (A{i}) Byron{i}" for i in range(8000))
+    assert [len(parse_names(n)) for n in names] == [4000, 8000, 8000]
+    assert time.perf_counter() - began < 6
+
+
+def test_any_number_of_initials():
+    assert [n for _, n, _ in parse_names("Byron, A. B. C. D. E.; Lovelace, Q.")] == ["Byron, A. B. C. D. E.", "Lovelace, Q."]
