@@ -300,6 +300,20 @@ def triple_lines(c: Column) -> Column:
     return F.transform(cut, lambda p: F.struct(p[0].alias("Subject"), p[1].alias("Predicate"), p[2].alias("Object")))
 
 
+def triples_text(c: Column) -> Column:
+    """Plausible triple lines of a whole response, as lines of three values: those behind
+    the first hidden-triples marker up to a closing mark, or of all of it without one."""
+    t = text_or_empty(c)
+    behind = F.substring_index(F.substring(t, F.instr(t, "[[RAW_TRIPLES]]") + 15, 1 << 30), "---***---", 1)
+    lines = triple_lines(F.when(t.contains("[[RAW_TRIPLES]]"), behind).otherwise(t))
+    return F.array_join(F.transform(lines, lambda x: F.concat_ws(" | ", x["Subject"], x["Predicate"], x["Object"])), "\n")
+
+
+def article_address(pmcid: Column) -> Column:
+    """The page of an article in the public archive."""
+    return F.concat(F.lit("https://pmc.ncbi.nlm.nih.gov/articles/PMC"), pmcid.cast("string"), F.lit("/"))
+
+
 def json_triples(c: Column) -> Column:
     """Items of a JSON array, fenced or inside other text; [] for anything else."""
     bare = strip_ws(sub(sub(strip_ws(text_or_empty(c)), f"^```(?:json)?{WS}*"), f"{WS}*```$"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Default, least and most of each number; allowed modes; other defaults.
@@ -44,3 +44,27 @@ def normalized_settings(df: DataFrame) -> DataFrame:
             on = F.coalesce(F.col("automated_kg_cache_reset_enabled").cast("boolean"), F.lit(False))
             out = out.withColumn("automated_kg_cache_reset_enabled", on & (F.col("kg_cache_mode") == "scheduled"))
     return out
+
+
+def flags(df: DataFrame) -> DataFrame:
+    """Of normalised settings: ``reset_on, cache_open`` and ``ttl_seconds``."""
+    on = F.coalesce(F.col("kg_cache_enabled"), F.lit(True))
+    return df.select(
+        "*",
+        (on & (F.col("kg_cache_mode") == "scheduled") & F.coalesce("automated_kg_cache_reset_enabled", F.lit(False))).alias("reset_on"),
+        (on & (F.col("kg_cache_mode") != "off")).alias("cache_open"),
+        (F.col("kg_cache_ttl_minutes") * 60).alias("ttl_seconds"),
+    )
+
+
+def is_current(model: Column | str, signature: Column | str) -> Column:
+    """Is a cache record (``status, model_name, kg_signature_hash, cache_name``) one for this
+    model and graph?  A record without a status is active."""
+    same = (F.coalesce("status", F.lit("active")) == "active") & (F.col("model_name") == model) & (F.col("kg_signature_hash") == signature)
+    return F.coalesce(same & (F.coalesce("cache_name", F.lit("")) != ""), F.lit(False))
+
+
+def cache_names(own: Column, of_roles: Column) -> Column:
+    """Names of a record's caches in order, each once: its own, then those of its roles."""
+    named = F.concat(F.array(own), F.coalesce(of_roles, F.array().cast("array<string>")))
+    return F.array_distinct(F.filter(named, lambda n: n.isNotNull() & (n != "")))

@@ -26,6 +26,26 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(*[take.get(c, F.col(c)).alias(c) for c in old.columns], *[take[c].alias(c) for c in cols if c not in old.columns])
 
 
+# What an article that turns out to be a preprint is stored as.
+PREPRINT = {"type": "Preprint", "ds": "No", "organism": "", "axis": "", "pdf_path": "", "fulltext_path": "", "fulltext_format": ""}
+
+
+def demote_preprints(old: DataFrame, preprints: DataFrame, key: str) -> DataFrame:
+    """``old`` with the articles named in ``preprints`` made ineligible: they take the
+    metadata of ``preprints`` (one row a key) and the PREPRINT values.  Preprints that
+    aren't stored aren't added."""
+    told = [c for c in preprints.columns if c != key and c in old.columns and c not in PREPRINT]
+    new = preprints.where(F.col(key).isNotNull()).select(key, F.struct(F.lit(True).alias("__is"), *told).alias("__p"))
+    is_one = F.coalesce(F.col("__p.__is"), F.lit(False))
+    take = {c: F.when(is_one, F.col(f"__p.{c}")).otherwise(F.col(c)) for c in told} | {c: F.when(is_one, F.lit(v)).otherwise(F.col(c)) for c, v in PREPRINT.items() if c in old.columns}
+    return old.join(new, key, "left").select(*[take.get(c, F.col(c)).alias(c) for c in old.columns])
+
+
+def exists(df: DataFrame, key: str, value: object) -> bool:
+    """Is there a row with this key?"""
+    return not df.where(F.col(key) == F.lit(value)).limit(1).isEmpty()
+
+
 def outcome(created: Column, updated: Column, duplicate: Column, preprint: Column) -> Column:
     """What became of an article: the first of preprint, duplicate, created, updated."""
     yes = lambda c: F.coalesce(c, F.lit(False))
@@ -76,6 +96,46 @@ def page_links(pages: DataFrame, id_col: str, html: str, base: str = "") -> Data
     return found.groupBy(id_col, "url").agg(F.min("pos").alias("pos")).select(id_col, "url", priority.alias("priority"), "pos")
 
 
+def pdf_links(pages: DataFrame, id_col: str, html: str, address: Column | str) -> DataFrame:
+    """``<id_col>, url, priority, pos``: links of a page to PDF files, each once.
+
+    From meta tags, then links, then any attribute, then quoted addresses anywhere; a link
+    counts if it names a PDF.  Relative ones are joined to the page's ``address`` (which
+    ends in a slash).  Those on the archive's own host come first, files by name second;
+    among equals the place in the page decides.  Order by priority and pos.
+    """
+    attribute = lambda tag, name: F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", 1)
+    either = lambda tag, name: F.concat(attribute(tag, name), F.regexp_extract(tag, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1))
+    low, page = F.lower, T.text_or_empty(F.col(html))
+    has_pdf = lambda c: low(c).contains(".pdf") | low(c).contains("/pdf/")
+    metas = F.filter(
+        F.transform(F.regexp_extract_all(page, F.lit(r"(?is)(<meta\b[^>]*>)")), lambda t: F.struct(low(F.concat(either(t, "name"), either(t, "property"))).alias("name"), T.strip_ws(either(t, "content")).alias("link"))),
+        lambda m: m["name"].contains("pdf") | low(m["link"]).endswith(".pdf"),
+    )
+    anchors = F.filter(
+        F.transform(F.regexp_extract_all(page, F.lit(r"(?is)(<a\b[^>]*>.*?</a>)")), lambda t: F.struct(low(t).alias("all"), T.strip_ws(either(t, "href")).alias("link"))),
+        lambda a: has_pdf(a["link"]) | F.regexp_replace(a["all"], r"(?s)\bhref\s*=\s*(?:\"[^\"]*\"|'[^']*')", "").contains("pdf"),
+    )
+    tags = F.flatten(F.transform(F.regexp_extract_all(page, F.lit(r"(?is)(<[a-z][^>]*>)")), lambda t: F.regexp_extract_all(t, F.lit(r"(?is)([\w:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))"))))
+    attributes = F.filter(
+        F.transform(tags, lambda x: F.struct(low(F.regexp_extract(x, r"^([\w:-]+)", 1)).alias("name"), F.regexp_extract(x, r"(?s)=\s*[\"'](.*)[\"']$", 1).alias("link"))), lambda a: a["name"].contains("pdf") | has_pdf(a["link"])
+    )
+    quoted = [r"(?i)[\"'](https?://[^\"']+?\.pdf(?:\?[^\"']*)?)[\"']", r"(?i)[\"'](/[^\"']+?\.pdf(?:\?[^\"']*)?)[\"']", r"(?i)[\"'](pdf/[^\"']+?\.pdf(?:\?[^\"']*)?)[\"']", r"(?i)(https?://[^\s\"'<>]+?\.full\.pdf(?:\?[^\s\"'<>]*)?)"]
+    links = F.concat(*[F.transform(c, lambda x: x["link"]) for c in (metas, anchors, attributes)], *[F.regexp_extract_all(page, F.lit(q), 1) for q in quoted])
+    base = F.lit(address) if isinstance(address, str) else address
+    each = pages.select(id_col, base.alias("base"), F.posexplode(links).alias("pos", "raw"))
+    each = each.withColumn("link", F.replace(F.replace(T.strip_ws(F.col("raw")), F.lit("\\/"), F.lit("/")), F.lit("&amp;"), F.lit("&")))
+    named = has_pdf(F.col("link")) | low("link").contains("downloadpdf")
+    each = each.where((F.col("link") != "") & ~F.col("link").rlike("^(?:#|javascript:|mailto:)") & named)
+    host = F.regexp_extract("base", r"^(https?://[^/]+)", 1)
+    scheme = F.regexp_extract("base", r"^(https?:)", 1)
+    url = F.when(F.col("link").rlike("(?i)^[a-z][a-z0-9+.-]*:"), F.col("link")).when(F.col("link").startswith("//"), F.concat(scheme, "link")).when(F.col("link").startswith("/"), F.concat(host, "link")).otherwise(F.concat("base", "link"))
+    once = each.select(id_col, "pos", url.alias("url")).groupBy(id_col, "url").agg(F.min("pos").alias("pos"))
+    small = low("url")
+    priority = F.when(small.contains("pmc.ncbi.nlm.nih.gov") & small.contains("/pdf/"), 0).when(small.endswith(".pdf") | small.contains(".pdf?"), 1).otherwise(2)
+    return once.select(id_col, "url", priority.alias("priority"), "pos")
+
+
 SECTION_SHAPE = "array<struct<label:string,text:string,weight:double>>"
 ARTICLE_SHAPE = f"title string, abstract string, journal string, authors array<string>, doi string, pmcid string, pmid string, year int, date date, kind string, subjects array<string>, sections {SECTION_SHAPE}, by_section map<string,string>, body string"
 

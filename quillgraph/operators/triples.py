@@ -122,3 +122,23 @@ def delta(new: DataFrame, old: DataFrame, columns: Sequence[str], order: str) ->
     first = new.select(F.col(order), *keys).groupBy(*names).agg(F.min(order).alias(order))
     fresh = first.join(old.select(*keys).distinct(), names, "left_anti").select(order)
     return new.join(fresh, order, "left_semi").select(*new.columns)
+
+
+REJECTED_KEY = ["Subject", "Predicate", "Object", "Section", "PMCID", "Reason"]
+
+
+def rejected_delta(new: DataFrame, stored: DataFrame, order: str) -> DataFrame:
+    """Rows of ``new`` (REJECTED_KEY and ``order``) that the rejected table doesn't have, the
+    first of equal ones.
+
+    Stored rows are compared by clean values, known section, article and reason, whatever
+    the case, and count only with all but the reason; new ones are compared as they are.
+    """
+    low = lambda c: F.lower(T.text_or_empty(F.col(c)))
+    reason = F.lower(T.squeeze(F.col("Reason")))
+    names = [f"k{c}" for c in REJECTED_KEY]
+    there = stored.select(*[F.lower(T.triple_value(F.col(c))).alias(f"k{c}") for c in SPO], F.lower(T.section(F.col("Section"))).alias("kSection"), T.strip_ws(T.text_or_empty(F.col("PMCID"))).alias("kPMCID"), reason.alias("kReason"))
+    there = there.where(" and ".join(f"{n} <> ''" for n in names[:-1])).distinct()
+    keyed = new.select(order, *[low(c).alias(f"k{c}") for c in REJECTED_KEY[:4]], T.text_or_empty(F.col("PMCID")).alias("kPMCID"), reason.alias("kReason"))
+    fresh = keyed.groupBy(*names).agg(F.min(order).alias(order)).join(there, names, "left_anti").select(order)
+    return new.join(fresh, order, "left_semi").select(*new.columns)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.operators.triples import delta
-from quillgraph.runtime import discard
+from quillgraph.runtime import discard, write_small
 
 
 def append_new(new: DataFrame, path: str, keys: Sequence[str], order: str) -> None:
@@ -38,3 +40,12 @@ def write_csv(df: DataFrame, path: str, one_line: Sequence[str] = ()) -> None:
     """CSV with a header; line breaks in the ``one_line`` columns become spaces."""
     flat = {c: F.regexp_replace(c, r"\s*[\r\n]+\s*", " ") for c in one_line}
     df.withColumns(flat).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
+def write_record(spark, record: Mapping[str, object], path: str, by: str = "") -> dict:
+    """A small settings record as one JSON file, with who wrote it and when; there as a
+    whole or not at all."""
+    told = dict(record) | {"updated_at": datetime.now(timezone.utc).isoformat(), "updated_by": by}
+    discard(spark, path)
+    write_small(spark, path, json.dumps(told, indent=2))
+    return told

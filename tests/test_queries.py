@@ -34,4 +34,4 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(registry.QUERIES) - set(registry.ORACLES) == {"p1_found", "p1_flags", "kg_signature"}
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"p1_found", "p1_flags"}

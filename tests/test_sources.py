@@ -81,3 +81,37 @@ def test_queue_stream_keeps_late_rows_and_repeats_nothing(spark, tmp_path):
     want = ordered_distinct(queue_candidates(spark.createDataFrame(every, shape)), "pmcid", "row_id")
     got = spark.read.parquet(queue).select("pmcid", "row_id").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) == [(5, 1), (6, 2), (7, 3), (8, 5)]
+
+
+def test_encodings(spark, tmp_path):
+    """UTF-8, else Windows-1252, else Latin-1, for texts and for CSV."""
+    from quillgraph.sources.files import latest_change, read_csv, read_texts
+
+    texts = {"a": "ü – “x”".encode(), "b": "ü – “x”".encode("cp1252"), "c": "ü \x81".encode("latin-1"), "d": b"\xef\xbb\xbfx"}
+    for name, raw in texts.items():
+        (tmp_path / f"{name}.txt").write_bytes(raw)
+    got = {r.path[-5]: r.text for r in read_texts(spark, f"{tmp_path}/*.txt").collect()}
+    assert got == {"a": "ü – “x”", "b": "ü – “x”", "c": "ü \x81", "d": "x"}
+    changed = latest_change(spark, f"{tmp_path}/*.txt").first()
+    assert changed.newest >= changed.oldest
+    for i, encoding in enumerate(("utf-8", "cp1252")):
+        (tmp_path / f"{i}.csv").write_bytes("Subject,Note\r\nGen “A”,naïve – x\r\n".encode(encoding))
+        assert [tuple(r) for r in read_csv(spark, f"{tmp_path}/{i}.csv", ["Subject", "Note"]).collect()] == [("Gen “A”", "naïve – x")]
+
+
+def test_a_record_is_written_whole(spark, tmp_path):
+    from quillgraph.sources.files import read_json_records
+    from quillgraph.sources.sinks import write_record
+
+    path = f"{tmp_path}/control.json"
+    write_record(spark, {"kg_cache_mode": "off"}, path, "a")
+    told = write_record(spark, {"kg_cache_mode": "scheduled", "kg_cache_ttl_minutes": 60}, path, "b")
+    r = read_json_records(spark, path, "kg_cache_mode string, kg_cache_ttl_minutes int, updated_by string, updated_at string", {}).first()
+    assert (r.kg_cache_mode, r.kg_cache_ttl_minutes, r.updated_by, r.updated_at) == ("scheduled", 60, "b", told["updated_at"])
+
+
+def test_exists(spark):
+    from quillgraph.operators.ingest import exists
+
+    df = spark.createDataFrame([(1,), (None,)], "pmcid bigint")
+    assert exists(df, "pmcid", 1) and not exists(df, "pmcid", 2) and not exists(df.limit(0), "pmcid", 1)
