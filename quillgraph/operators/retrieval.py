@@ -1,8 +1,9 @@
 """Lexical retrieval over triples for a table of questions: postings joins, no loops.
 
-Questions are rows ``qid, text``; every step is one plan for all of them.  Scoring
-only meets triples that share a token with the question, which is exact: without a
-common token the score is 0.
+Questions are rows ``qid, text``; every step is one plan for all of them.  A question
+meets the triples that hold one of its leading tokens: with a focus those that the focus
+asks for, for a list of the best those without which no place on it can be reached.  Only
+these pairs are scored, each from the triple's own tokens.
 """
 
 from __future__ import annotations
@@ -109,43 +110,84 @@ def query_phrases(questions: DataFrame, shape: DataFrame) -> DataFrame:
     return parts.groupBy("qid", "term").agg(F.sum("w").alias("w"), F.max("in_focus").alias("in_focus"))
 
 
-def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool = True) -> DataFrame:
+#: Postings of one token that one task meets; the commonest HOT_TOKENS tokens at most are split.
+SPREAD, HOT_TOKENS = 50_000, 100_000
+#: Most that common tokens can multiply a score by, and what the topic adds.
+MOST_TIMES, TOPICAL = 1 + 8 * 0.18, 0.25
+
+
+def meetings(docs: DataFrame, lead: DataFrame) -> DataFrame:
+    """``qid, doc``: each question with the documents that hold one of its tokens in ``lead``
+    (``qid, token``), once for each.  The postings of a common token are spread over several tasks."""
+    width = shuffle_width(docs.sparkSession)
+    asked = lead.select("token").distinct()
+    held = postings(docs).join(asked, "token", "left_semi")
+    hot = cut(held.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > SPREAD).select("token", F.ceil(F.col("n") / SPREAD).alias("salts")), "hot-tokens")
+    hot = F.broadcast(hot.orderBy(F.col("salts").desc()).limit(HOT_TOKENS))
+    left = held.join(hot, "token", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("salts")), F.lit(0).cast("bigint"))).drop("salts")
+    right = lead.join(hot, "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("salts"), F.lit(1).cast("bigint")) - 1))).drop("salts")
+    # few tokens meet many documents: a fixed number of tasks, so that small inputs aren't put in one
+    return right.repartition(width, "token", "salt").join(left.repartition(width, "token", "salt"), ["token", "salt"]).select("qid", "doc")
+
+
+def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool = True, k: int | None = None) -> DataFrame:
     """``qid, doc, score`` of all pairs with a common token that match the focus.
 
     Sum of idf x weight over common tokens; two or more of them multiply by
     1 + 0.18 x min(n, 8); 3 x weight for each phrase the document holds; 0.25 if it
-    names the disease.  Focus: a strong token or a phrase; without strong tokens an
-    intent term; without those everything.
+    names the disease.  ``idf`` has every token of ``docs``.  Focus: a strong token or a phrase; without strong tokens an
+    intent term; without those everything.  With ``k`` (and no focus) the pairs that can't
+    be among a question's best k are left out.
     """
     strong, shape = question_focus(questions, idf)
     strong, shape = cut(strong, "strong"), cut(shape, "shape")
-    weights = query_weights(questions, strong, shape).join(idf, "token", "left").withColumn("w", F.col("w") * F.coalesce("idf", F.lit(1.0)))
-    marked = weights.join(strong.select("qid", "token", F.lit(True).alias("is_strong")), ["qid", "token"], "left").join(
-        shape.select("qid", F.explode("intent_terms").alias("token"), F.lit(True).alias("is_intent")), ["qid", "token"], "left"
-    )
-    # a few tokens meet many documents: a fixed spread, so that small inputs aren't put in one task
-    width = shuffle_width(docs.sparkSession)
-    hits = (
-        marked.repartition(width, "token")
-        .join(postings(docs).repartition(width, "token"), "token")
-        .groupBy("qid", "doc")
-        .agg(F.sum("w").alias("base"), F.count("*").alias("n"), F.max("is_strong").alias("by_strong"), F.max("is_intent").alias("by_intent"))
-    )
+    weights = cut(query_weights(questions, strong, shape).join(idf, "token").select("qid", "token", (F.col("w") * F.col("idf")).alias("w")), "weights")
     terms = cut(query_phrases(questions, shape), "phrases")
-    held = (
+    held = cut(
         contains_join(docs.select(F.col("doc").alias("id"), F.col("searchable").alias("text")), terms.select("qid", "term"))
         .join(terms, ["qid", "term"])
         .groupBy("qid", F.col("id").alias("doc"))
-        .agg(F.sum(F.col("w") * 3).alias("bonus"), F.max("in_focus").alias("by_phrase"))
+        .agg(F.sum(F.col("w") * 3).alias("bonus"), F.max("in_focus").alias("by_phrase")),
+        "held",
+    )
+    none = F.array().cast("array<string>")
+    asked = cut(
+        shape.select("qid", "intent_terms")
+        .join(strong.groupBy("qid").agg(F.collect_list("token").alias("strong")), "qid", "left")
+        .join(weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("weights")), "qid", "left")
+        .select("qid", "intent_terms", F.coalesce("strong", none).alias("strong"), "weights"),
+        "asked",
     )
-    of_question = shape.select("qid", (F.size("intent_terms") > 0).alias("has_intent")).join(strong.select("qid").distinct().withColumn("has_strong", F.lit(True)), "qid", "left")
-    full = hits.join(held, ["qid", "doc"], "left").join(of_question, "qid").join(docs.select("doc", F.array_contains("tokens", "dravet").alias("topical")), "doc")
-    base = F.col("base") * F.when(F.col("n") >= 2, 1 + F.least(F.col("n"), F.lit(8)) * 0.18).otherwise(1.0)
-    out = full.withColumn("score", F.round(base + F.coalesce("bonus", F.lit(0.0)) + F.when(F.col("topical"), 0.25).otherwise(0.0), 6))
+
+    def exact(pairs: DataFrame) -> DataFrame:
+        """Score of pairs (``qid, doc``), and by what they match."""
+        full = pairs.join(docs.select("doc", "tokens"), "doc").join(asked, "qid").join(held, ["qid", "doc"], "left")
+        common = F.filter(F.transform("tokens", lambda t: F.element_at("weights", t)), lambda w: w.isNotNull())
+        full = full.withColumn("common", common).where(F.size("common") > 0)
+        n = F.size("common")
+        base = F.aggregate("common", F.lit(0.0), lambda x, w: x + w) * F.when(n >= 2, 1 + F.least(n, F.lit(8)) * 0.18).otherwise(1.0)
+        score = F.round(base + F.coalesce("bonus", F.lit(0.0)) + F.when(F.array_contains("tokens", "dravet"), TOPICAL).otherwise(0.0), 6)
+        by_focus = F.when(F.size("strong") > 0, F.arrays_overlap("tokens", "strong") | F.coalesce("by_phrase", F.lit(False))).when(F.size("intent_terms") > 0, F.arrays_overlap("tokens", "intent_terms")).otherwise(True)
+        return full.select("qid", "doc", score.alias("score"), by_focus.alias("by_focus"))
+
     if focus:
-        yes = lambda c: F.coalesce(c, F.lit(False))
-        out = out.where(F.when(yes("has_strong"), yes("by_strong") | yes("by_phrase")).when(F.col("has_intent"), yes("by_intent")).otherwise(True))
-    return out.select("qid", "doc", "score")
+        wanted = F.when(F.size("strong") > 0, F.col("strong")).when(F.size("intent_terms") > 0, F.col("intent_terms")).otherwise(F.map_keys("weights"))
+        lead = asked.select("qid", F.explode(wanted).alias("token"))
+        phrased = held.where("by_phrase").select("qid", "doc")
+        return exact(meetings(docs, lead).unionByName(phrased).distinct()).where("by_focus").select("qid", "doc", "score")
+    if k is None:
+        return exact(meetings(docs, weights.select("qid", "token")).distinct()).select("qid", "doc", "score")
+    # what the three weightiest tokens and the phrases find gives a least score of the k-th
+    first = Window.partitionBy("qid").orderBy(F.col("w").desc(), "token")
+    lead = weights.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 3).select("qid", "token")
+    phrased = held.select("qid", "doc")
+    early = best(exact(meetings(docs, lead).unionByName(phrased).distinct()).select("qid", "doc", "score"), k)
+    least = cut(early.where(F.col("rank") == k).select("qid", F.col("score").alias("least")), "least")
+    # the lightest tokens that all together fall short of it lead to nothing new
+    up_to = Window.partitionBy("qid").orderBy("w", F.col("token").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = weights.withColumn("reach", F.sum("w").over(up_to) * MOST_TIMES + TOPICAL + 1e-5).join(least, "qid", "left")
+    lead = reach.where(F.col("least").isNull() | (F.col("reach") >= F.col("least"))).select("qid", "token")
+    return exact(meetings(docs, lead).unionByName(phrased).distinct()).select("qid", "doc", "score")
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:

@@ -213,7 +213,7 @@ def kg_focus_filter(spark: SparkSession, d: str) -> DataFrame:
 
 def kg_score_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return retrieval.best(retrieval.scored(docs, questions(spark, d), cut(retrieval.inverse_frequency(docs), "idf"), focus=False), 10)
+    return retrieval.best(retrieval.scored(docs, questions(spark, d), cut(retrieval.inverse_frequency(docs), "idf"), focus=False, k=10), 10)
 
 
 def kg_pmcid_rank(spark: SparkSession, d: str) -> DataFrame:
