@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
 from quillgraph.operators.retrieval import contains_join
-from quillgraph.runtime import cut
+from quillgraph.runtime import cut, over_cores
 
 
 def _ascii_words(c: Column) -> Column:
@@ -102,26 +102,32 @@ def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10, caps: d
         .groupBy("qid", "pmcid")
         .agg(*[F.max(F.col("stage") == k).alias(f"s{k}") for k in (1, 2, 3, 4)])
     )
-    narrow = cut(_staged(found.withColumn("i1", F.col("s1")), ((2, 2), (3, 2), (4, 2)), caps), "narrow")
+    narrow = cut(_staged(cut(found.withColumn("i1", F.col("s1")), "found"), ((2, 2), (3, 2), (4, 2)), caps), "narrow")
     none_yet = cut(terms.join(narrow.select("qid").distinct(), "qid", "left_anti"), "none-yet")
     any_of = lambda c, k: none_yet.select("qid", F.explode(F.array_distinct(c)).alias("term"), F.lit(str(k)).alias("k"))
     broad_terms = cut(any_of(F.col("anchors"), 5).unionByName(any_of(F.col("intents"), 6)), "broad-terms")
     broad = contains_join(titles, broad_terms.select("qid", "term")).join(broad_terms, ["qid", "term"])
     late = broad.groupBy("qid", F.col("id").alias("pmcid")).agg(F.max(F.col("k") == "5").alias("s5"), F.max(F.col("k") == "6").alias("s6"))
-    late = _staged(late.withColumn("i1", F.lit(False)), ((5, 1), (6, 1)), caps)
+    late = cut(_staged(cut(late.withColumn("i1", F.lit(False)), "late"), ((5, 1), (6, 1)), caps), "broad")
     flags = [f"i{k}" for k in range(1, 7)]
     keep = lambda df: df.select("qid", "pmcid", *[F.col(f) if f in df.columns else F.lit(False).alias(f) for f in flags])
-    return _scored(keep(narrow).unionByName(keep(late)).join(terms, "qid"), a, most)
+    return _scored(over_cores(keep(narrow)).unionByName(over_cores(keep(late))).join(terms, "qid"), a, most)
 
 
 def _staged(flags: DataFrame, stages: tuple[tuple[int, int], ...], caps: dict[int, int]) -> DataFrame:
     """Take stage after stage (number, guard): a stage counts for a question only while it
-    has fewer articles than the guard."""
-    whole = Window.partitionBy("qid")
-    taken = F.col("i1")
+    has fewer articles than the guard.
+
+    How many it has is counted over all of them, by aggregation: a cap is above every
+    guard, so it changes no answer.
+    """
+    so_far, counts, taken = F.col("i1"), [], F.col("i1")
+    for k, _ in stages:
+        counts.append(F.sum(so_far.cast("int")).alias(f"n{k}"))
+        so_far = so_far | F.col(f"s{k}")
+    flags = flags.join(flags.groupBy("qid").agg(*counts), "qid")
     for k, fewer in stages:
-        flags = flags.withColumn("n", F.sum(taken.cast("int")).over(whole))
-        take = F.col(f"s{k}") & (F.col("n") < fewer)
+        take = F.col(f"s{k}") & (F.col(f"n{k}") < fewer)
         if k in caps:
             flags = flags.withColumn("place", F.row_number().over(Window.partitionBy("qid", f"s{k}").orderBy("pmcid")))
             take = take & (F.col("place") <= caps[k])

@@ -131,7 +131,7 @@ def control_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 def jats_sections(spark: SparkSession, d: str) -> DataFrame:
     """Documents written as article XML and parsed again: a round trip of every text."""
-    docs = table(spark, d, "documents", ["doc_id", "text", "section"])
+    docs = table(spark, d, "documents", ["doc_id", "text", "section"], spread=True)
     esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     body = esc(F.regexp_replace(T.text_or_empty(F.col("text")), r"[^\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]", " "))
     xml = F.concat(F.lit("<!DOCTYPE article SYSTEM 'a.dtd'><article><body><sec><title>"), esc(T.text_or_empty(F.col("section"))), F.lit("</title><p>"), body, F.lit("</p></sec></body></article>"))

@@ -12,12 +12,12 @@ from quillgraph.runtime import table
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every author of every article row, with its place."""
-    return split_packed(table(spark, sf_dir, "article", ["row_id", "authors"]), "row_id", "authors").select("row_id", "pos", "author")
+    return split_packed(table(spark, sf_dir, "article", ["row_id", "authors"], spread=True), "row_id", "authors").select("row_id", "pos", "author")
 
 
 def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values the parser read under each error flag."""
-    out = split_packed(table(spark, sf_dir, "article", ["row_id", "authors"]), "row_id", "authors")
+    out = split_packed(table(spark, sf_dir, "article", ["row_id", "authors"], spread=True), "row_id", "authors")
     return out.groupBy("flag").agg(F.count("*").alias("values_read"), F.countDistinct("row_id").alias("rows_read"))
 
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from quillgraph.functions import constants as C
 from quillgraph.functions import text as T
 from quillgraph.operators import articles, classify, compact, retrieval, triples
-from quillgraph.runtime import cut, table
+from quillgraph.runtime import cut, over_cores, table
 
 SPO = ["Subject", "Predicate", "Object"]
 REJECTED = ["row_id", *SPO, "Section", "PMCID", "Reason"]
 
 
 def rejected(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "kg_triples_rejected", REJECTED)
+    return table(spark, d, "kg_triples_rejected", REJECTED, spread=True)
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
@@ -35,12 +35,12 @@ def text_split_camel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_singularize(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents", ["text"]).select(F.explode(T.words(F.lower("text"))).alias("word")).distinct()
+    words = table(spark, d, "documents", ["text"], spread=True).select(F.explode(T.words(F.lower("text"))).alias("word")).distinct()
     return words.select("word", T.singular(F.col("word")).alias("singular"))
 
 
 def text_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", joined(T.kg_tokens(F.col("text")), " ").alias("tokens"))
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).select("doc_id", joined(T.kg_tokens(F.col("text")), " ").alias("tokens"))
 
 
 def text_article_tokens(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +52,7 @@ def text_ngrams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_strip_markdown(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", T.plain_text(F.col("text")).alias("plain"))
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).select("doc_id", T.plain_text(F.col("text")).alias("plain"))
 
 
 def label_camelize(spark: SparkSession, d: str) -> DataFrame:
@@ -91,14 +91,14 @@ def triple_lines_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def answer_sanitize(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(T.text_or_empty(F.col("text")), F.lit(" (see KG-grounded note)  https://x.example.org/a end"))
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", T.sanitized(t).alias("clean"))
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).select("doc_id", T.sanitized(t).alias("clean"))
 
 
 def answer_sections(spark: SparkSession, d: str) -> DataFrame:
     body = F.regexp_replace(T.text_or_empty(F.col("text")), r"\[\[|\]\]", "")
     t = F.concat(F.lit("[[ Answer ]]\n"), body, F.lit("\n[[KG_SUMMARY]] sum [[raw_triples ]]\na | b | c"))
     s = T.marked_sections(t)
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", s.answer.alias("answer"), s.kg_summary.alias("kg_summary"), s.raw_triples.alias("raw_triples"), T.finalized(t).alias("shown"))
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).select("doc_id", s.answer.alias("answer"), s.kg_summary.alias("kg_summary"), s.raw_triples.alias("raw_triples"), T.finalized(t).alias("shown"))
 
 
 def triples_normalized(spark: SparkSession, d: str) -> DataFrame:
@@ -179,12 +179,12 @@ def kg_signature(spark: SparkSession, d: str) -> DataFrame:
 def _docs(spark: SparkSession, d: str) -> DataFrame:
     """Unique triples as documents; the id is that of the first reference."""
     r = references(spark, d).select("ref_id", *[T.strip_ws(T.text_or_empty(F.col(c))).alias(c) for c in SPO])
-    return cut(retrieval.documents(r.groupBy(*SPO).agg(F.min("ref_id").alias("ref_id")), "ref_id"), "docs")
+    return over_cores(cut(retrieval.documents(r.groupBy(*SPO).agg(F.min("ref_id").alias("ref_id")), "ref_id"), "docs"))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """The stated query set of searches: documents whose id is divisible by 20."""
-    return table(spark, d, "documents", ["doc_id", "text"]).where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), "text")
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).where("doc_id % 20 = 0 and text is not null").select(F.col("doc_id").alias("qid"), "text")
 
 
 def kg_token_df(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +240,7 @@ def _ranked(spark: SparkSession, d: str, caps: dict[int, int] | None = None) ->
     strong, shape = retrieval.question_focus(q, retrieval.inverse_frequency(docs))
     terms = cut(articles.question_terms(q, strong, shape.select("qid", "intent_terms")), "terms")
     rows = articles.current_articles(table(spark, d, "article", ["pmcid", "row_id", "pmid", "title", "abstract", "journal", "first_author", "authors", "year"]))
-    return articles.rank_articles(cut(rows, "articles"), terms, caps=caps)
+    return articles.rank_articles(over_cores(cut(rows, "articles")), terms, caps=caps)
 
 
 def article_rank_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -270,7 +270,7 @@ def reference_payload(spark: SparkSession, d: str) -> DataFrame:
 def _doc_sections(spark: SparkSession, d: str) -> DataFrame:
     label = T.section_label(F.col("section"))
     one = F.array(F.struct(label.alias("label"), T.text_or_empty(F.col("text")).alias("text"), T.section_weight(label).alias("weight")))
-    return table(spark, d, "documents", ["doc_id", "section", "text"]).select("doc_id", T.text_or_empty(F.col("text")).alias("text"), one.alias("sections"))
+    return table(spark, d, "documents", ["doc_id", "section", "text"], spread=True).select("doc_id", T.text_or_empty(F.col("text")).alias("text"), one.alias("sections"))
 
 
 def section_weighted_score(spark: SparkSession, d: str) -> DataFrame:
@@ -300,7 +300,7 @@ def classify_legacy(spark: SparkSession, d: str) -> DataFrame:
 
 def classify_legacy_body(spark: SparkSession, d: str) -> DataFrame:
     none = F.lit("")
-    return table(spark, d, "documents", ["doc_id", "text"]).select("doc_id", classify.first_reading(none, none, F.col("text"), none).alias("t")).select("doc_id", "t.*")
+    return table(spark, d, "documents", ["doc_id", "text"], spread=True).select("doc_id", classify.first_reading(none, none, F.col("text"), none).alias("t")).select("doc_id", "t.*")
 
 
 QUERIES = {

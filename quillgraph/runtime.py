@@ -32,11 +32,25 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None) -> DataFrame:
-    """Read one Parquet table of a data folder, pruned to ``columns`` if given."""
+def table(spark: SparkSession, sf_dir: str, name: str, columns: Iterable[str] | None = None, spread: bool = False) -> DataFrame:
+    """Read one Parquet table of a data folder, pruned to ``columns`` if given; for work that
+    costs much a row, ``spread`` over the cores."""
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    return over_cores(df) if spread else df
+
+
+#: Tasks that rows of one scan task are spread over at most.
+SPREAD_TASKS = 64
+
+
+def over_cores(df: DataFrame) -> DataFrame:
+    """``df`` of a scan, its rows dealt out where a few small files would leave half of the
+    cores idle.  A table of as many scan tasks as cores, so any large one, stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    tasks = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(min(cores, SPREAD_TASKS * max(1, tasks))) if 2 * tasks <= cores else df
 
 
 def work_root(spark: SparkSession) -> str:
