@@ -111,7 +111,7 @@ def rank_articles(articles: DataFrame, terms: DataFrame, most: int = 10, caps: d
     late = cut(_staged(cut(late.withColumn("i1", F.lit(False)), "late"), ((5, 1), (6, 1)), caps), "broad")
     flags = [f"i{k}" for k in range(1, 7)]
     keep = lambda df: df.select("qid", "pmcid", *[F.col(f) if f in df.columns else F.lit(False).alias(f) for f in flags])
-    return _scored(over_cores(keep(narrow)).unionByName(over_cores(keep(late))).join(terms, "qid"), a, most)
+    return _scored(over_cores(keep(narrow)).unionByName(over_cores(keep(late))).join(terms, "qid"), articles.where("pmcid is not null"), most)
 
 
 def _staged(flags: DataFrame, stages: tuple[tuple[int, int], ...], caps: dict[int, int]) -> DataFrame:
@@ -140,7 +140,10 @@ def _scored(candidates: DataFrame, a: DataFrame, most: int) -> DataFrame:
     title = T.split_camel(F.col("title"))
     parts = [F.nullif(T.text_or_empty(F.col(c)), F.lit("")) for c in ("title", "journal")]
     text = T.split_camel(F.concat_ws(" ", *parts))
-    s = candidates.join(a, "pmcid").select("*", title.alias("tx"), text.alias("ax")).withColumn("tt", F.array_distinct(T.article_tokens(F.col("tx")))).withColumn("at", F.array_distinct(T.article_tokens(F.col("ax"))))
+    # words of an article are the same for every question that meets it
+    met = a.join(candidates.select("pmcid").distinct(), "pmcid", "left_semi").select("pmcid", "title", "first_author", "authors", "year", title.alias("tx"), text.alias("ax"))
+    met = cut(met.withColumn("tt", F.array_distinct(T.article_tokens(F.col("tx")))).withColumn("at", F.array_distinct(T.article_tokens(F.col("ax")))), "met")
+    s = candidates.join(met, "pmcid")
     s = s.select(
         "*",
         F.size(F.filter("phrases", lambda p: F.col("tx").contains(p))).alias("pt"),
