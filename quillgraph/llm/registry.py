@@ -19,16 +19,16 @@ TRIPLE = ["Subject", "Predicate", "Object"]
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rejected triples that repeat an earlier one in other writing."""
-    return duplicate_rows(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
+    return duplicate_rows(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE], spread=True), "row_id", TRIPLE)
 
 
 def p3_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per triple with the number of its copies, as first written."""
-    return distinct_records(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
+    return distinct_records(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE], spread=True), "row_id", TRIPLE)
 
 
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    article = table(spark, sf_dir, "article", ["row_id", "authors", "first_author"])
+    article = table(spark, sf_dir, "article", ["row_id", "authors", "first_author"], spread=True)
     authors = split_packed(article, "row_id", "authors").select(F.col("author").alias("name"))
     first = article.select(F.trim(F.regexp_replace("first_author", r"(?U)\s+", " ")).alias("name"))
     return link_names(authors.unionByName(first))
@@ -50,7 +50,7 @@ def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mapped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE])
+    rows = table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE], spread=True)
     return map_values(rows, "row_id", TRIPLE, table(spark, sf_dir, "canonical_label"))
 
 
@@ -66,18 +66,18 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All entries within the distance of each distinct value, nearest or not."""
-    values = typed_values(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE]), "row_id", TRIPLE)
+    values = typed_values(table(spark, sf_dir, "kg_triples_rejected", ["row_id", *TRIPLE], spread=True), "row_id", TRIPLE)
     near = near_entries(values, table(spark, sf_dir, "canonical_label"))
     return near.select("value_key", "occurrences", F.explode("near").alias("n")).select("value_key", "occurrences", "n.entry_id", "n.distance").where(F.col("entry_id") != OPPOSITE)
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+    return encode_corpus(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True), "doc_id", "text")
 
 
 def _mixed(spark: SparkSession, sf_dir: str, *, half: bool = False, entropy: float | None = None) -> tuple[DataFrame, DataFrame]:
-    docs = cut(token_counts(table(spark, sf_dir, "documents", ["doc_id", "source", "text"]), "text"), "token-counts")
+    docs = cut(token_counts(table(spark, sf_dir, "documents", ["doc_id", "source", "text"], spread=True), "text"), "token-counts")
     targets = table(spark, sf_dir, "mix_target")
     if entropy is not None:
         return mix_sources(docs, targets, entropy=entropy)
@@ -117,12 +117,12 @@ def p7_entropy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that are, or hold, what a broken page, form or template left behind."""
-    return residue_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+    return residue_documents(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True), "doc_id", "text")
 
 
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containment of each document's most residual window, where any retrieves an exemplar."""
-    scored = residue_windows(table(spark, sf_dir, "documents", ["doc_id", "text"]), "doc_id", "text")
+    scored = residue_windows(table(spark, sf_dir, "documents", ["doc_id", "text"], spread=True), "doc_id", "text")
     return scored.groupBy(F.col("id").alias("doc_id")).agg(F.round(F.max("containment"), 6).alias("containment"))
 
 
