@@ -220,6 +220,10 @@ def several_authors(all_: Column) -> Column:
     return let(strip_ws(text_or_empty(all_)), lambda t: t.contains(";") | t.contains("|") | t.contains(" and ") | (F.size(authors(t)) > 1))
 
 
+# The patterns below (marks of answers, of markdown and of hidden parts) are fixed values of
+# the format that is read.
+
+
 def sanitized(c: Column) -> Column:
     """An answer without grounding notes, web addresses and spare blanks."""
     t = text_or_empty(c)

@@ -119,6 +119,17 @@ def results_first(found: DataFrame, order: str) -> DataFrame:
     return best.select("pmcid", "b.later", "b.first_row", "b.first_ref")
 
 
+def results_first_of(triples: DataFrame, refs: DataFrame, order: str) -> DataFrame:
+    """``results_first`` of all references of some triples, without meeting each row of a
+    repeated triple with each of its references: both sides are aggregated first."""
+    keys = ["ns", "np", "no"]
+    rows = triples.groupBy(*[normalize_label(F.col(c)).alias(k) for c, k in zip(SPO, keys)]).agg(F.min(order).alias("first_row"))
+    later = (F.lower("Section") != "results").cast("int").alias("later")
+    told = reference_index(refs).where("pmcid is not null").groupBy(*keys, "pmcid", later).agg(F.min("ref_id").alias("first_ref"))
+    best = rows.join(told, keys).groupBy("pmcid").agg(F.min(F.struct("later", "first_row", "first_ref")).alias("b"))
+    return best.select("pmcid", "b.later", "b.first_row", "b.first_ref")
+
+
 def stats(triples: DataFrame) -> DataFrame:
     """``nodes, predicates, edges``."""
     return triples.select(F.explode(F.array("Subject", "Object")).alias("x"), "Predicate").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.text import squeeze, strip_ws, text_or_empty
@@ -62,7 +62,14 @@ def filter_articles(
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """``<column>, n, pct`` of all rows, nulls included, to one place."""
     counted = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counted.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
+    return _with_percent(counted)
+
+
+def _with_percent(counted: DataFrame) -> DataFrame:
+    """Shares of counts in their sum: one row with the sum meets all, and no task holds all
+    values, however many there are."""
+    whole = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__whole"))
+    return counted.crossJoin(F.broadcast(whole)).withColumn("pct", percent(F.col("n"), F.col("__whole"))).drop("__whole")
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -87,7 +94,7 @@ def type_counts(df: DataFrame) -> DataFrame:
     """
     raw = df.groupBy("type").agg(F.count("*").alias("n"))
     labelled = raw.select(type_label(F.col("type")).alias("type"), "n").where("type is not null").groupBy("type").agg(F.sum("n").alias("n"))
-    return labelled.withColumn("pct", percent(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(1)))))
+    return _with_percent(labelled)
 
 
 def all_facets(df: DataFrame) -> DataFrame:

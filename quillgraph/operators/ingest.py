@@ -13,14 +13,16 @@ from quillgraph.functions import text as T
 from quillgraph.runtime import ship
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
     """The snapshot after an upsert: rows of ``new`` replace or join those of ``old``.
 
-    Columns that ``new`` lacks keep their old value; of several new rows with one key
-    the last by all columns counts; null keys of ``new`` are left out.
+    Columns that ``new`` lacks keep their old value; of several new rows with one key the
+    last by ``order`` counts (a unique column of ``new`` that isn't stored), without one the
+    last by all columns; null keys of ``new`` are left out.
     """
-    cols = [c for c in new.columns if c != key]
-    one = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*cols)).alias("__n"))
+    cols = [c for c in new.columns if c not in (key, order)]
+    last = F.max_by(F.struct(*cols), order) if order else F.max(F.struct(*cols))
+    one = new.where(F.col(key).isNotNull()).groupBy(key).agg(last.alias("__n"))
     both = old.join(one, key, "full_outer")
     take = {c: F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(c)) if c in old.columns else F.col(f"__n.{c}") for c in cols}
     return both.select(*[take.get(c, F.col(c)).alias(c) for c in old.columns], *[take[c].alias(c) for c in cols if c not in old.columns])

@@ -27,7 +27,7 @@ from quillgraph.runtime import cut, need
 
 FOREVER = np.iinfo(np.int64).max
 BEFORE_ALL = np.iinfo(np.int64).min
-MAX_RANGES = 4096
+MAX_RANGES = 32_768
 # Digits of other scripts and their ASCII forms.
 OTHER_DIGITS = "０１２３４５６７８９٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹"
 ASCII_DIGITS = "0123456789" * 3
@@ -68,8 +68,9 @@ def lex_search(keys: np.ndarray, times: np.ndarray, k: np.ndarray, t: np.ndarray
 
 
 def _bounds(parents: DataFrame, range_rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lower bounds of all ranges but the first, from a bounded sample: at most
-    20 x MAX_RANGES rows reach the driver.  Bounds only balance the work."""
+    """Lower bounds of all ranges but the first, from a bounded sample: some 20 rows a range,
+    40 x MAX_RANGES at most, reach the driver.  Bounds only balance the work: above
+    MAX_RANGES x ``range_rows`` stays (2.1 billion) ranges, and their arrays, grow."""
     n = parents.count()
     ranges = int(min(MAX_RANGES, max(1, -(-n // range_rows))))
     if ranges == 1:

@@ -62,8 +62,7 @@ def article_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 def article_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = current_articles(table(spark, d, "article", ["pmcid", "row_id", "type", "ds", "organism"])).select("pmcid", "type", "ds", "organism")
-    new = table(spark, d, "ingest_result").where("pmcid is not null").groupBy("pmcid").agg(F.max_by("ds", "row_id").alias("ds"), F.max_by("axis", "row_id").alias("axis"))
-    return ingest.upsert(old, new, "pmcid")
+    return ingest.upsert(old, table(spark, d, "ingest_result", ["pmcid", "row_id", "ds", "axis"]), "pmcid", "row_id")
 
 
 def author_split(spark: SparkSession, d: str) -> DataFrame:

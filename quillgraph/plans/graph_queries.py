@@ -165,7 +165,7 @@ def kg_refs_for_triples(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kg_results_first_refs(spark: SparkSession, d: str) -> DataFrame:
-    return compact.results_first(kg_refs_for_triples(spark, d), "row_id")
+    return compact.results_first_of(rejected(spark, d), references(spark, d), "row_id")
 
 
 def kg_stats(spark: SparkSession, d: str) -> DataFrame:
