@@ -6,10 +6,12 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+from quillgraph.operators import packed
+
 # Words before and behind a person's name.
 TITLES = frozenset("dr prof professor mr mrs ms sir dame rev fr herr frau dipl ing hon docent doc priv doz pd".split())
-DEGREES = frozenset("md phd msc bsc mph mbbs mbchb dphil dsc ma ba ms bs mba rn do dds dvm pharmd mphil frcp frcpch facs mrcp edd jd llm llb meng beng jr sr ii iii".split())
-PARTICLES = frozenset("de da di du do dos das del della den der van von vom zu zur la le el al bin ibn ten ter te".split())
+DEGREES = packed.DEGREES - {"iv", "dr", "prof"}  # these are initials or titles here
+PARTICLES = packed.PARTICLES
 # Words that make a name an organisation's, with what is written for them.
 ORGANISATION = {
     "inst": "institute", "institut": "institute", "institute": "institute", "univ": "university", "uni": "university", "university": "university", "hosp": "hospital", "hsp": "hospital", "hospital": "hospital", "dept": "department", "dpt": "department", "dep": "department", "department": "department",

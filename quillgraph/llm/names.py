@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.name_forms import BODY_WORDS, NICKNAMES, read_name
@@ -395,8 +395,8 @@ def link_names(spellings: DataFrame) -> DataFrame:
     )
     # without any full name: all that share surname and first letter, if their middles agree
     loners = bare.join(chosen, ["surname", "first", "short", "middle"], "left")
-    alone = Window.partitionBy("surname", "first")
-    loners = loners.withColumn("m", F.size(F.collect_set(F.when(F.col("middle") != "", F.col("middle"))).over(alone)))
+    alone = bare.groupBy("surname", "first").agg(F.count_distinct(F.when(F.col("middle") != "", F.col("middle"))).alias("m"))
+    loners = loners.join(alone, ["surname", "first"])
     own = F.concat_ws("|", F.lit("person"), "surname", F.concat(F.lit("~"), "first"))
     bare_nodes = loners.select(
         "surname",
