@@ -8,7 +8,7 @@ these pairs are scored, each from the triple's own tokens.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgraph.functions import constants as C
@@ -58,6 +58,11 @@ def contains_join(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return met.join(t, "term").where(F.col("also").isNull() | F.col("text").contains(F.col("also"))).select("qid", "id", "term", "also")
 
 
+def _tokens_of(questions: DataFrame) -> Column:
+    """Tokens of questions, as made before or from their text."""
+    return F.col("tokens") if "tokens" in questions.columns else T.kg_tokens(F.col("text"))
+
+
 def question_focus(questions: DataFrame, idf: DataFrame, limit: int = 8) -> tuple[DataFrame, DataFrame]:
     """``(strong, shape)``: the most specific tokens ``qid, token, idf`` of each question,
     and ``qid, phrases, intent_terms``.
@@ -67,7 +72,7 @@ def question_focus(questions: DataFrame, idf: DataFrame, limit: int = 8) -> tupl
     through, the first 12.
     """
     broad = F.array(*[F.lit(w) for w in C.BROAD_TOKENS])
-    q = questions.select("qid", T.kg_tokens(F.col("text")).alias("tokens"))
+    q = questions.select("qid", _tokens_of(questions).alias("tokens"))
     each = q.select("qid", F.explode(F.array_distinct("tokens")).alias("token")).where(~F.array_contains(broad, F.col("token")))
     ranked = each.join(idf, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(1.0)))
     top = Window.partitionBy("qid").orderBy(F.col("idf").desc(), F.col("token").desc())
@@ -87,7 +92,7 @@ def question_focus(questions: DataFrame, idf: DataFrame, limit: int = 8) -> tupl
 def query_weights(questions: DataFrame, strong: DataFrame, shape: DataFrame) -> DataFrame:
     """``qid, token, w``: weights add up over question, answer, strong tokens and intents."""
     parts = [
-        questions.select("qid", F.explode(F.array_distinct(T.kg_tokens(F.col("text")))).alias("token"), F.lit(5.0).alias("w")),
+        questions.select("qid", F.explode(F.array_distinct(_tokens_of(questions))).alias("token"), F.lit(5.0).alias("w")),
         strong.select("qid", "token", F.lit(7.0).alias("w")),
         shape.select("qid", F.explode("intent_terms").alias("token"), F.lit(2.0).alias("w")),
     ]
@@ -139,9 +144,16 @@ def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool =
     intent term; without those everything.  With ``k`` (and no focus) the pairs that can't
     be among a question's best k are left out.
     """
+    questions = cut(questions.withColumn("tokens", T.kg_tokens(F.col("text"))), "questions")
     strong, shape = question_focus(questions, idf)
     strong, shape = cut(strong, "strong"), cut(shape, "shape")
-    weights = cut(query_weights(questions, strong, shape).join(idf, "token").select("qid", "token", (F.col("w") * F.col("idf")).alias("w")), "weights")
+    weights = query_weights(questions, strong, shape).join(idf, "token").select("qid", "token", (F.col("w") * F.col("idf")).alias("w"))
+    marked = cut(
+        weights.join(strong.select("qid", "token", F.lit(True).alias("is_strong")), ["qid", "token"], "left").join(
+            shape.select("qid", F.explode("intent_terms").alias("token"), F.lit(True).alias("is_intent")), ["qid", "token"], "left"
+        ),
+        "weights",
+    )
     terms = cut(query_phrases(questions, shape), "phrases")
     held = cut(
         contains_join(docs.select(F.col("doc").alias("id"), F.col("searchable").alias("text")), terms.select("qid", "term"))
@@ -150,44 +162,36 @@ def scored(docs: DataFrame, questions: DataFrame, idf: DataFrame, focus: bool =
         .agg(F.sum(F.col("w") * 3).alias("bonus"), F.max("in_focus").alias("by_phrase")),
         "held",
     )
-    none = F.array().cast("array<string>")
-    asked = cut(
-        shape.select("qid", "intent_terms")
-        .join(strong.groupBy("qid").agg(F.collect_list("token").alias("strong")), "qid", "left")
-        .join(weights.groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("weights")), "qid", "left")
-        .select("qid", "intent_terms", F.coalesce("strong", none).alias("strong"), "weights"),
-        "asked",
-    )
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    asked = cut(shape.select("qid", (F.size("intent_terms") > 0).alias("has_intent")).join(strong.select("qid").distinct().withColumn("has_strong", F.lit(True)), "qid", "left"), "asked")
 
     def exact(pairs: DataFrame) -> DataFrame:
-        """Score of pairs (``qid, doc``), and by what they match."""
-        full = pairs.join(docs.select("doc", "tokens"), "doc").join(asked, "qid").join(held, ["qid", "doc"], "left")
-        common = F.filter(F.transform("tokens", lambda t: F.element_at("weights", t)), lambda w: w.isNotNull())
-        full = full.withColumn("common", common).where(F.size("common") > 0)
-        n = F.size("common")
-        base = F.aggregate("common", F.lit(0.0), lambda x, w: x + w) * F.when(n >= 2, 1 + F.least(n, F.lit(8)) * 0.18).otherwise(1.0)
-        score = F.round(base + F.coalesce("bonus", F.lit(0.0)) + F.when(F.array_contains("tokens", "dravet"), TOPICAL).otherwise(0.0), 6)
-        by_focus = F.when(F.size("strong") > 0, F.arrays_overlap("tokens", "strong") | F.coalesce("by_phrase", F.lit(False))).when(F.size("intent_terms") > 0, F.arrays_overlap("tokens", "intent_terms")).otherwise(True)
+        """Score of pairs (``qid, doc``) with a common token, and what they match."""
+        each = pairs.join(docs.select("doc", "tokens"), "doc").select("qid", "doc", F.array_contains("tokens", "dravet").alias("topical"), F.explode("tokens").alias("token"))
+        hits = each.join(marked, ["qid", "token"]).groupBy("qid", "doc", "topical").agg(F.sum("w").alias("base"), F.count("*").alias("n"), F.max("is_strong").alias("by_strong"), F.max("is_intent").alias("by_intent"))
+        full = hits.join(held, ["qid", "doc"], "left").join(asked, "qid")
+        base = F.col("base") * F.when(F.col("n") >= 2, 1 + F.least(F.col("n"), F.lit(8)) * 0.18).otherwise(1.0)
+        score = F.round(base + F.coalesce("bonus", F.lit(0.0)) + F.when(F.col("topical"), TOPICAL).otherwise(0.0), 6)
+        by_focus = F.when(yes("has_strong"), yes("by_strong") | yes("by_phrase")).when(F.col("has_intent"), yes("by_intent")).otherwise(True)
         return full.select("qid", "doc", score.alias("score"), by_focus.alias("by_focus"))
 
     if focus:
-        wanted = F.when(F.size("strong") > 0, F.col("strong")).when(F.size("intent_terms") > 0, F.col("intent_terms")).otherwise(F.map_keys("weights"))
-        lead = asked.select("qid", F.explode(wanted).alias("token"))
+        wanted = F.when(yes("has_strong"), yes("is_strong")).when(F.col("has_intent"), yes("is_intent")).otherwise(True)
+        lead = marked.join(asked, "qid").where(wanted).select("qid", "token")
         phrased = held.where("by_phrase").select("qid", "doc")
         return exact(meetings(docs, lead).unionByName(phrased).distinct()).where("by_focus").select("qid", "doc", "score")
     if k is None:
-        return exact(meetings(docs, weights.select("qid", "token")).distinct()).select("qid", "doc", "score")
-    # what the three weightiest tokens and the phrases find gives a least score of the k-th
+        return exact(meetings(docs, marked.select("qid", "token")).distinct()).select("qid", "doc", "score")
+    # what the three weightiest tokens find gives a least score of the k-th
     first = Window.partitionBy("qid").orderBy(F.col("w").desc(), "token")
-    lead = weights.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 3).select("qid", "token")
-    phrased = held.select("qid", "doc")
-    early = best(exact(meetings(docs, lead).unionByName(phrased).distinct()).select("qid", "doc", "score"), k)
+    lead = marked.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= 3).select("qid", "token")
+    early = best(exact(meetings(docs, lead).distinct()).select("qid", "doc", "score"), k)
     least = cut(early.where(F.col("rank") == k).select("qid", F.col("score").alias("least")), "least")
     # the lightest tokens that all together fall short of it lead to nothing new
     up_to = Window.partitionBy("qid").orderBy("w", F.col("token").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = weights.withColumn("reach", F.sum("w").over(up_to) * MOST_TIMES + TOPICAL + 1e-5).join(least, "qid", "left")
+    reach = marked.withColumn("reach", F.sum("w").over(up_to) * MOST_TIMES + TOPICAL + 1e-5).join(least, "qid", "left")
     lead = reach.where(F.col("least").isNull() | (F.col("reach") >= F.col("least"))).select("qid", "token")
-    return exact(meetings(docs, lead).unionByName(phrased).distinct()).select("qid", "doc", "score")
+    return exact(meetings(docs, lead).unionByName(held.select("qid", "doc")).distinct()).select("qid", "doc", "score")
 
 
 def best(pairs: DataFrame, k: int) -> DataFrame:
