@@ -59,6 +59,8 @@ edit|delete|change|remove this|or|and edit|delete|remove|it? post|page|item|entr
 sample|example|demo text|content|post
 click|tap|double to select|edit|start|begin the? text|typing|box|editing box?
 lorem ipsum
+dear|hello|hi|hey SLOT your results|order|request|account|appointment|manuscript|file|report|download|invoice is|are|has|been|have ready|received|confirmed|approved|available|processed|shipped|rejected
+tbd|tba|tbc|todo|fixme|placeholder|untitled
 lipsum|placeholder
 n.n.n.|n.n. n.n.?
 """
@@ -131,7 +133,7 @@ NAME|status|code|message|data|path|error|errors|detail|reason|trace|timestamp|ty
 error code|message|status|CODE message|no|such|requestid|@thing|CODE
 traceback|stacktrace|stack most|trace|dump recent? call|follows? last?
 file? FILE line in?
-TROUBLE index|connection|read|x|key|object|name|value|unexpected|no|null|cannot|undefined|timed|invalid|such|could|division|maximum|not? refused|reset|out|range|undefined|end|input|element|after|defined|reference|token|type|property|exceeded|zero|found|subscriptable|pointer? FILE|NAME|of|is|in?
+TROUBLE index|connection|read|x|key|object|name|value|unexpected|no|null|cannot|can't|undefined|timed|invalid|such|could|division|maximum|not|broken|literal|base|recursion|depth|int|string|float|convert|argument|arguments|unsupported|operand|memory|space|permission|expected|got|missing|positional|keyword|takes|given|list|dict|tuple|indices|must|callable|iterable|unhashable|decode|encode|codec|byte|bytes|position|attribute|module|named|socket|pipe|file|directory|exists|failed|while|reading|property|properties? refused|reset|out|range|undefined|end|input|element|after|defined|reference|token|type|property|exceeded|zero|found|subscriptable|pointer|closed|denied|with|for|by|peer|be|has|function|line|variable? FILE|FRAME|NAME|of|is|in|to|on|a?
 uncaught|unhandled TROUBLE|exception|error|promise x|is|FILE|undefined|rejection?
 caused by|from? TROUBLE|FRAME|FILE
 FRAME FILE?
@@ -187,6 +189,14 @@ your account|access|profile|request has|is|was been? locked|suspended|disabled|b
 preparing|generating|building|rendering your|the? @thing this|may|take|a|moment?
 cette|la? page|article n'existe|existe pas|plus
 page|objet non trouvé|trouvée
+host|server|domain|resource|object|item|record|user|account|key not found
+network|connection|server|ssl|proxy|database|script|application|internal|runtime|system|unknown|fatal error|failure occurred|try|again|please|check|your|connection|later|code|CODE?
+this|the? @thing|access is|restricted|limited|reserved|available? to|for? subscribers|members|customers|subscription|registered|users|only only|users|of|the|journal|institution?
+server|mysql|session|connection has? gone|went away
+this|the @thing @neg working|responding|loading|available right? now?
+javascript|js|scripts|scripting|cookies required|needed|necessary|mandatory to|for? view|see|use|read|run|display|load|access|this? @thing?
+@thing|browser|session|connection|request has|was|is timed|expired|closed|cancelled|canceled|aborted|terminated out?
+maximum|recursion|execution|memory|stack limit|depth|time|size|usage|overflow exceeded|reached
 der|server|dienst|die|seite ist|wird|wurde zurzeit|gerade|derzeit|momentan|vorübergehend in|nicht wartung|erreichbar|überlastet|gewartet|verfügbar|ausgefallen
 versuchen|bitte sie|es später|nochmals|morgen erneut|wieder|noch|einmal
 seite|artikel|dokument|datei|angeforderte|inhalt nicht|konnte werden? gefunden|abrufbar|verfügbar|vorhanden|existiert mehr?
@@ -245,7 +255,7 @@ browser|version is|not|no|longer supported|outdated|old|compatible
 checking|verifying your? browser|connection before|if|is? you|secure|accessing get? @thing?
 this|process may|can|should take a? moment|while|seconds not? block? scripts?
 loading|opening|preparing|fetching|starting|initializing the|your|please? @thing|wait|data if? nothing? happens? allow? javascript|js|scripts?
-loading wait|please|moment|data
+loading|loading... please? wait|moment|data|content|page
 if nothing happens|appears|loads allow|enable|click|reload javascript|js|scripts|scripting|here|cookies|page
 redirecting|forwarding|sending|redirected you|to|automatically @thing
 you may|might|need have|need to permit|allow|enable javascript|js|scripts|scripting|cookies

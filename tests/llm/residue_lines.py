@@ -1,5 +1,5 @@
-"""Labelled lines, split by family: exemplars and threshold were set with DEV, DEV_2 and
-DEV_3 (held out at first: recall 39 of 58 and 41 of 64 then), HELD_OUT was written after that and only scored.
+"""Labelled lines, split by family: exemplars and threshold were set with DEV and DEV_2 to
+DEV_4 (held out at first: recall 39 of 58, 41 of 64 and 47 of 59 then), HELD_OUT was written after that and only scored.
 
 Residue lines are worded as public software words them; plain lines write about such
 things, or use their words.
@@ -143,7 +143,7 @@ DEV_3_PLAIN = [
     "Die Seite der Lähmung wechselte in drei Fällen.",
 ]
 
-HELD_OUT = {
+DEV_4 = {
     "network": ["Unable to reach the server. Check your internet connection.", "The request timed out.", "Host not found", "Network error: please try again."],
     "library portal": ["This content is restricted to subscribers.", "The document you requested is not available.", "You don't have permission to view this document.", "Item not found in the archive."],
     "status pages": ["HTTP 500 - Internal server error", "Error 403 - Forbidden", "410 Gone", "The service is temporarily unavailable. Please try again later."],
@@ -160,7 +160,7 @@ HELD_OUT = {
     "spinner": ["Loading...  please wait", "If the page does not load, enable JavaScript."],
     "translated": ["Bitte versuchen Sie es später noch einmal.", "Veuillez activer JavaScript.", "Error interno del servidor", "Доступ запрещён", "服务器内部错误", "サーバーエラーが発生しました"],
 }
-HELD_OUT_PLAIN = [
+DEV_4_PLAIN = [
     "Gone are the days when children were sedated for an EEG.",
     "The request for approval was made in May.",
     "A second dose was required in 12 patients.",
@@ -192,3 +192,54 @@ HELD_OUT_PLAIN = [
     "Description of the cohort has been published.",
     "Load-dependent changes were seen in slices.",
 ]
+
+HELD_OUT = {
+    "network": ["The connection was reset.", "Server not found", "No internet connection. Please check your network.", "The requested URL could not be retrieved."],
+    "portal": ["This article is temporarily unavailable.", "You are not authorized to access this page.", "The file could not be opened.", "We couldn't find the page you were looking for."],
+    "codes": ["HTTP 404: Page not found", "Error 502", "429 Too Many Requests", "401 - Unauthorized: Access is denied"],
+    "maintenance": ["We are performing scheduled maintenance.", "The archive is offline for maintenance, please try again later.", "Service unavailable due to maintenance."],
+    "bots": ["Please confirm you are not a robot.", "Access denied: too many requests from your network.", "Complete the security check to continue."],
+    "exceptions": ["IndexError: list index out of range", "AttributeError: 'NoneType' object has no attribute 'text'", "java.io.FileNotFoundException: /data/article.xml (No such file or directory)", "Unhandled exception: TimeoutError", "fatal error: out of memory"],
+    "sql": ["ERROR: column \"title\" does not exist", "Could not connect to the database.", "SQL syntax error near 'FROM'"],
+    "apology": ["Sorry, an error occurred. Please try again.", "Oops, this page could not be found.", "Something went wrong while loading this article."],
+    "forms": ["[Enter title here]", "Type your abstract here", "Click to enter text", "Add caption here", "Your name here"],
+    "drafts": ["Discussion to be written.", "This section is a placeholder.", "Text goes here", "Table coming soon.", "Insert reference here"],
+    "mail": ["Dear Dr. {{last_name}},", "Hi {first_name}, thanks for your submission.", "Your manuscript {{ms_id}} has been received.", "Best wishes, ${editor_name}"],
+    "fields": ["Title: {{title}}", "Keywords: <<keyword1>>, <<keyword2>>", "Age: {{age}}, Sex: {{sex}}", "<%= section.body %>"],
+    "filler": ["Lorem ipsum dolor sit amet, consetetur sadipscing elitr", "Duis aute irure dolor in reprehenderit", "asdf qwerty asdf"],
+    "scripts": ["Please enable JavaScript to continue.", "This site needs JavaScript. Please enable it in your browser.", "JavaScript is turned off in your browser.", "Your browser doesn't support scripts.", "Enable scripts to view the full text."],
+    "waiting": ["Please wait while the page is loading.", "Loading article...", "You are being redirected.", "Checking your browser..."],
+    "translated": ["Seite nicht gefunden", "Zugriff verweigert", "Page non trouvée", "Veuillez activer JavaScript pour continuer.", "Por favor, habilite JavaScript.", "Ошибка сервера", "页面不存在"],
+}
+HELD_OUT_PLAIN = [
+    "Connections between the thalamus and cortex were reset by sleep.",
+    "The file of each patient was opened by two nurses.",
+    "Service providers were not told about group allocation.",
+    "The archive was searched for cases of early onset.",
+    "Maximum doses were reached within two weeks.",
+    "Access to the trial was limited to children under six.",
+    "The system failed to detect 4 of 20 seizures.",
+    "Users of the diary were asked to confirm each entry.",
+    "The full text is written in plain language.",
+    "Error correction was applied to all reads.",
+    "The record shows that the child was seizure free.",
+    "Hosts were infected with 10 parasites each.",
+    "Time limits of the test were not exceeded.",
+    "Scripts of the interviews were read by two coders.",
+    "Out of 40 members, 12 had a positive test.",
+    "The key finding is a lower rate of falls.",
+    "Please shake the bottle before use.",
+    "Your pharmacist can answer questions about storage.",
+    "Loading with phenytoin was not needed.",
+    "Not available: genotype data for two siblings.",
+    "The site of injection was checked for redness.",
+    "A placeholder tablet was given to controls.",
+    "The section was stained and examined.",
+    "Broken sleep was common in both groups.",
+    "Server and client cells exchange metabolites in this model.",
+    "The session was closed after all items were answered.",
+    "We were unable to confirm the diagnosis in two cases.",
+    "Data are available from the corresponding author.",
+    "The name of the drug was hidden from raters.",
+    "Ce service accueille des enfants épileptiques.",
+]

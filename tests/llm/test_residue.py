@@ -77,13 +77,13 @@ def test_against_plain_python(corpus):
 def test_retrieval_loses_no_exemplar():
     """Every exemplar that a sentence fits is retrieved through the index."""
     index = Index()
-    lines = [x for part in (L.DEV, L.DEV_2, L.DEV_3, L.HELD_OUT) for f in part.values() for x in f] + MENTIONS + CONTENT + RESIDUE
+    lines = [x for part in (L.DEV, L.DEV_2, L.DEV_3, L.DEV_4, L.HELD_OUT) for f in part.values() for x in f] + MENTIONS + CONTENT + RESIDUE
     for line in lines:
         found = Counter(tokens(line))
         assert {id(e) for e in index.retrieved(set(found))[0]} >= {id(e) for e in index.exemplars if e.fits(found)}
 
 
-@pytest.mark.parametrize("part, recall", [("DEV", 0.95), ("DEV_2", 0.95), ("DEV_3", 0.93), ("HELD_OUT", 0.79)])
+@pytest.mark.parametrize("part, recall", [("DEV", 0.95), ("DEV_2", 0.95), ("DEV_3", 0.93), ("DEV_4", 0.93), ("HELD_OUT", 0.89)])
 def test_labelled_lines(spark, part, recall):
     """Recall and precision on lines split by family; HELD_OUT had no part in the exemplars."""
     docs = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
