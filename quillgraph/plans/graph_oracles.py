@@ -305,3 +305,8 @@ ORACLES["reference_payload"] = (
     .replace("__LEAD__", f"(CASE WHEN {D.strip("coalesce(first_author, '')")} <> '' THEN {D.strip('first_author')} ELSE coalesce({_NAMES}[1], '') END)")
     .replace("__SEVERAL__", f"(len({_NAMES}) > 1 OR contains({_TRIMMED}, ';') OR contains({_TRIMMED}, '|') OR contains({_TRIMMED}, ' and '))")
 )
+_QS_ANSWERED = _QS.replace("SELECT doc_id AS qid, text,", "SELECT doc_id AS qid, text, coalesce(section, '') || ' ' || coalesce(source, '') AS answer,")
+ORACLES["kg_answer_weights"] = (
+    f"WITH {_DOCS}, {_QS_ANSWERED}, {_STRONG}, {_SHAPE} SELECT qid, token, round(sum(w), 6)::DOUBLE AS w FROM (SELECT qid, unnest(list_distinct(tokens)) AS token, 5.0::DOUBLE AS w FROM qs UNION ALL SELECT qid, token, 7.0 FROM strong "
+    f"UNION ALL SELECT qid, unnest(intent_terms), 2.0 FROM shape UNION ALL SELECT qid, unnest(list_distinct({D.kg_tokens('answer')})), 0.35 FROM qs) GROUP BY 1, 2"
+)

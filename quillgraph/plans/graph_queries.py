@@ -205,6 +205,14 @@ def question_shape(spark: SparkSession, d: str) -> DataFrame:
     return shape.select("qid", joined(F.col("phrases")).alias("phrases"), joined(F.col("intent_terms")).alias("intent_terms"))
 
 
+def kg_answer_weights(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of the tokens of questions that have an answer: section and source stand for it."""
+    docs = table(spark, d, "documents", ["doc_id", "text", "section", "source"], spread=True).where("doc_id % 20 = 0 and text is not null")
+    q = docs.select(F.col("doc_id").alias("qid"), "text", F.concat(T.text_or_empty(F.col("section")), F.lit(" "), T.text_or_empty(F.col("source"))).alias("answer"))
+    strong, shape = retrieval.question_focus(q, retrieval.inverse_frequency(_docs(spark, d)))
+    return retrieval.query_weights(q, strong, shape).select("qid", "token", F.round("w", 6).alias("w"))
+
+
 def kg_focus_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     found = retrieval.scored(docs, questions(spark, d), cut(retrieval.inverse_frequency(docs), "idf"))
@@ -308,7 +316,7 @@ QUERIES = {
     for f in (
         text_normalize_label, text_split_camel, text_singularize, text_tokenize, text_article_tokens, text_ngrams, text_strip_markdown, label_camelize, predicate_normalize, section_normalize, section_label_weight, parse_id_list,
         json_triples_parse, triple_lines_parse, answer_sanitize, answer_sections, triples_normalized, qa_reasons, qa_priority_dedup, qa_section_counts, qa_reason_histogram, triples_append_delta, rejected_append_delta,
-        kg_nodes, kg_predicates, kg_edges_encoded, kg_resolve_labels, kg_validate_triples, kg_refs_for_triples, kg_results_first_refs, kg_stats, kg_signature, kg_token_df, kg_token_idf, focus_terms, question_shape,
+        kg_nodes, kg_predicates, kg_edges_encoded, kg_resolve_labels, kg_validate_triples, kg_refs_for_triples, kg_results_first_refs, kg_stats, kg_signature, kg_token_df, kg_token_idf, focus_terms, question_shape, kg_answer_weights,
         kg_focus_filter, kg_score_topk, kg_pmcid_rank, kg_retrieve_support, search_phrases, article_rank_topk, article_rank_whole, merge_ranked_ids, merge_ranked_fallback, reference_payload, section_weighted_score, classify_topic, classify_organism, classify_axis,
         classify_type, classify_legacy, classify_legacy_body,
     )
