@@ -60,7 +60,8 @@ MARKS = [
         (("$",), rf"\${_LETTERS}\$", " SLOT "),
         (("xxxx",), r"xxxx +[^\W\d_](?:(?! xxxx)[\w .\-])* +xxxx\b", " SLOT "),
         (("<",), r"</?[a-z!?][^<>\n]*>", " "),
-        (("()", "at "), r"at\s+[\w.$]+\([\w.]+(?::\d+)?\)|(?<![\w.])[\w.]+\(\)", " FRAME "),
+        (("at ",), r"at\s+[\w.$]+\([\w.]+(?::\d+)?\)", " FRAME "),
+        (("()",), r"(?<![\w.])[\w.]+\(\)", " FRAME "),
         (("error", "exception", "java."), r"(?<![\w.])(?:\w+\.)*[a-z]+(?:error|exception)\b|\bjava\.lang\.\w+", " TROUBLE "),
         ((".js", ".py", ".php", ".java", ".go", ".htm"), r"(?<![\w./])[\w./]*\b\w+\.(?:js|py|php|java|go|html?)\b(?::\d+)*", " FILE "),
         (("4", "5"), r"[45]\d\d(?<![\d.,\-][45]\d\d)(?![\w%]|[.,]\d)", " CODE "),
@@ -112,6 +113,11 @@ def lines_ended(text: str) -> str:
     return BLOCK.sub("\n", text) if "<" in text else text
 
 
+def lines_of(text: str) -> list[tuple[str, set[str]]]:
+    """The marked lines of a text and the tokens of each."""
+    return [(line, set(words(line))) for line in LINES.split(marked(lines_ended(text))) if line]
+
+
 def sentences(line: str) -> Iterator[tuple[list[str], list[str]]]:
     """Of each sentence of a marked line its tokens, and those that are its own: without
     what it quotes, if OWN_WORDS words that say something stand around the quotes."""
@@ -209,14 +215,14 @@ class Index:
                 self.posting.setdefault(t, []).append(e)
         self.anchors = frozenset(self.posting)
 
-    def retrieved(self, found: set[str]) -> tuple[list[Exemplar], list[str]]:
+    def retrieved(self, found: set[str]) -> tuple[list[Exemplar], frozenset[str]]:
         """Exemplars that a text with these tokens could hold, and the tokens that led to them."""
         by: dict[Exemplar, list[str]] = {}
         for t in self.anchors.intersection(found):
             for e in self.posting[t]:
                 by.setdefault(e, []).append(t)
         by = {e: led for e, led in by.items() if e.fits(found)}
-        return list(by), list({t for led in by.values() for t in led})
+        return list(by), frozenset(t for led in by.values() for t in led)
 
     def fit(self, sentence: list[str], among: list[Exemplar]) -> Exemplar | None:
         """The exemplar that holds most of a sentence, of those it fills enough of."""
@@ -229,12 +235,11 @@ class Index:
                     best, most = e, share
         return best
 
-    def passages(self, text: str, among: list[Exemplar], led: list[str]) -> Iterator[tuple[Counter, Counter]]:
-        """For each window of a marked text that retrieves an exemplar: its tokens, and those held."""
-        for line in LINES.split(text):
-            if not any(t in line for t in led):
+    def passages(self, lines: list[tuple[str, set[str]]], among: list[Exemplar], led: frozenset[str]) -> Iterator[tuple[Counter, Counter]]:
+        """For each window of a text's lines that retrieves an exemplar: its tokens, and those held."""
+        for line, distinct in lines:
+            if led.isdisjoint(distinct):
                 continue
-            distinct = set(words(line))
             here = [e for e in among if e.fits(distinct)]
             if not here:
                 continue
@@ -315,11 +320,11 @@ def _passages(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 return out
 
             for i, text in enumerate(batch.column(1)):
-                s = marked(lines_ended(text.as_py()))
-                here = set(words(s))
+                lines = lines_of(text.as_py())
+                here: set[str] = set().union(*[found for _, found in lines])
                 seen.update(here)
                 among, led = index.retrieved(here)
-                for k, (every, held) in enumerate(index.passages(s, among, led) if among else ()):
+                for k, (every, held) in enumerate(index.passages(lines, among, led) if among else ()):
                     for t, n in every.items():
                         row.append(i)
                         for c, v in zip(cols, (k, t, n, held[t])):

@@ -8,7 +8,7 @@ import pytest
 import residue_lines as L
 from pyspark.sql import functions as F
 
-from quillgraph.llm.residue import COVERAGE, WINDOW, Index, document_frequencies, lines_ended, marked, pieces, residue_documents, residue_windows, sentences, tokens, without_residue, words
+from quillgraph.llm.residue import COVERAGE, WINDOW, Index, document_frequencies, lines_ended, lines_of, pieces, residue_documents, residue_windows, sentences, tokens, without_residue
 
 CONTENT = [
     "Seizure frequency fell in most children after the dose was raised.", "Parents kept a diary for twelve weeks and sleep improved.", "Two raters scored video recordings independently of the clinic visit.", "Recordings from neurons showed a sustained increase of firing.",
@@ -51,8 +51,8 @@ def test_rest_keeps_all_columns(corpus):
 
 
 def passages(index, text):
-    s = marked(lines_ended(text))
-    return list(index.passages(s, *index.retrieved(set(words(s)))))
+    lines = lines_of(text)
+    return list(index.passages(lines, *index.retrieved({t for _, found in lines for t in found})))
 
 
 def containments(freq, n, index, text):
