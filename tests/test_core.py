@@ -1,10 +1,13 @@
 """Hand-made cases and properties of the core operators."""
 
+import random
+import time
 from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillgraph import runtime
 from quillgraph.functions import text as T
 from quillgraph.operators import articles, classify, compact, control, facets, ingest, retrieval, triples
 from quillgraph.runtime import frequency_join
@@ -161,6 +164,42 @@ def test_contains_join(spark):
     assert sorted((r.qid, r.id, r.term) for r in retrieval.contains_join(texts, terms).collect()) == [(8, 1, "cat sat"), (9, 1, "cat"), (9, 2, "cat")]
 
 
+def test_term_hits_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["the", "seizure", "seizures", "of", "a", "epilepsy", "5", "drug", "xdrug", "", "é\U0001d518"]
+    made = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [(i, made(rng.randint(0, 9))) for i in range(300)] + [(300, None), (301, " the  seizure of a drug ")]
+    asked = sorted({(made(rng.randint(1, 6)), rng.choice([None, None, "drug", "of"])) for _ in range(200)} | {("he seizure of a", None), ("   ", None), ("eiz", "the")}, key=str)
+    got = retrieval.term_hits(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(asked * 2, "term string, also string"))
+    want = {(t, a, i) for t, a in asked if len(t) >= 3 for i, x in texts if x and len(x) >= 3 and t in x and (a is None or a in x)}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_cut_frees_the_shuffles_of_what_is_written(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (files.apply(i).getName() for i in range(files.size())) if n.startswith("shuffle_")}
+
+    before = shuffles()
+    runtime._RELEASED.clear()
+    runtime.cut(spark.range(1000).repartition(3, "id"), "freed")
+    ends = time.monotonic() + 15
+    while (left := shuffles() - before) and time.monotonic() < ends:
+        time.sleep(0.2)
+    assert not left
+
+
+def test_rank_articles_meets_each_article_once(spark):
+    """An article that meets a question by several terms and stages stands once on the list, with the stages it is in."""
+    shape = "qid int, phrases array<string>, anchors array<string>, intents array<string>"
+    terms = spark.createDataFrame([(1, ["sodium channel", "channel fever"], ["sodium", "fever"], []), (2, ["no such words"], ["fever", "cramp"], []), (3, [], ["absent"], ["chan", "fever"]), (4, ["whole abstract words"], ["rare", "thing"], [])], shape)
+    df = spark.createDataFrame([(1, "sodium channel fever", "sodium channel fever", None, None, None, None), (2, "fever", "cramp fever", None, None, None, None), (3, "rare", "a whole abstract words", None, None, None, None)], "pmcid int, title string, abstract string, journal string, first_author string, authors string, year int")
+    for caps in (None, articles.REFERENCE_CAPS):
+        got = sorted((r.qid, r.rank, r.pmcid, r.score) for r in articles.rank_articles(df, terms, 5, caps).collect())
+        assert got == [(1, 1, 1, 1600 + 240 + 70 + 250 + 500 + 200 + 40 + 2.0), (2, 1, 2, 120 + 35 + 40 + 2.0), (4, 1, 3, 120 + 35 + 40 + 2.0)]
+
+
 def test_idf(spark):
     docs = retrieval.documents(spark.createDataFrame([(i, "Gene" if i < 3 else f"Thing{i}x", "p", "q") for i in range(10)], "ref_id int, Subject string, Predicate string, Object string"), "ref_id")
     got = {r.token: r.idf for r in retrieval.inverse_frequency(docs).collect()}
